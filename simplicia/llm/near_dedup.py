@@ -48,10 +48,10 @@ def shingle_sets(w: Words, width: int) -> Iterator[np.ndarray]:
             s = np.sort(h[cut[i] : cut[i + 1]])
             yield s[np.concatenate([[True], s[1:] != s[:-1]])]
         elif n:
-            few = U64(n)
+            few = np.full(1, n, U64)
             for x in w.hash[w.word_at[i] : w.word_at[i + 1]]:
                 few = few * U64(0xD1342543DE82EF95) + x
-            yield mix(np.array([few], U64))
+            yield mix(few)
         else:
             yield np.zeros(0, U64)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplicia.llm import chat, mixing, near_dedup, quality, token_counts, url_filter
+from simplicia.llm import chat, hmm_lm, mixing, near_dedup, quality, token_counts, url_filter
 from simplicia.llm.shared import read
 
 
@@ -44,12 +44,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(read(spark, sf_dir, "documents"))
 
 
+def op8_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_url_filter, op3_token_counts, op4_near_dedup, op7_quality_rules, op9_source_mix)
+    f.__name__: f for f in (op1_chat_formatting, op2_url_filter, op3_token_counts, op4_near_dedup, op7_quality_rules, op8_hmm_score, op9_source_mix)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplicia.llm import chat, hmm_lm, mixing, near_dedup, quality, token_counts, url_filter
+from simplicia.llm import chat, hmm_lm, mixing, near_dedup, quality, token_counts, topk, url_filter
 from simplicia.llm.shared import read
 
 
@@ -40,6 +40,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", topk.quantized(F.col("embedding")).alias("v"))
+    return topk.top_k(rows.where("vec_id % 20 = 0"), rows, 20)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(read(spark, sf_dir, "documents"))
 
@@ -53,11 +58,12 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_url_filter, op3_token_counts, op4_near_dedup, op7_quality_rules, op8_hmm_score, op9_source_mix)
+    f.__name__: f for f in (op1_chat_formatting, op2_url_filter, op3_token_counts, op4_near_dedup, op6_top_k, op7_quality_rules, op8_hmm_score, op9_source_mix)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": chat.CHAT_SQL,
     "op2_url_filter": url_filter.FILTER_URLS_SQL,
+    "op6_top_k": topk.TOP_K_SQL,
     "op9_source_mix": mixing.PLAN_MIX_SQL,
 }

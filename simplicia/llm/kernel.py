@@ -28,7 +28,7 @@ _powers = np.ones(1, U64)
 _inverses = np.ones(1, U64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n of each at least."""
     global _powers, _inverses
     if len(_powers) < n:
@@ -64,6 +64,20 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def byte_prefix(data: np.ndarray, weights: np.ndarray = _WEIGHT) -> np.ndarray:
+    """Prefix sums of the weights of bytes, from which span_hashes takes the hash of any span."""
+    power, _ = power_tables(len(data) + 1)
+    prefix = np.zeros(len(data) + 1, U64)
+    np.cumsum(weights[data] * power[: len(data)], out=prefix[1:])
+    return prefix
+
+
+def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans; equal spans have equal hashes."""
+    _, inverse = power_tables(len(prefix) + 1)
+    return mix((prefix[end] - prefix[start]) * inverse[start])
+
+
 @dataclass
 class Words:
     """Words of the texts of rows first..last of a batch."""
@@ -83,15 +97,13 @@ class Words:
         return np.diff(self.word_at)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte spans; equal spans have equal hashes."""
-        _, inverse = _power_tables(len(self.prefix) + 1)
-        return mix((self.prefix[end] - self.prefix[start]) * inverse[start])
+        return span_hashes(self.prefix, start, end)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def _slices(offsets: np.ndarray, max_bytes: int) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, max_bytes: int) -> Iterator[tuple[int, int]]:
     n, i = len(offsets) - 1, 0
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + max_bytes, side="right")) - 1
@@ -104,7 +116,7 @@ def words_of(column: pa.Array, *, lower: bool, max_bytes: int = 1 << 21) -> Iter
     """Words of whole texts, some megabytes of text at a time."""
     data, offsets = text_buffers(column)
     weights = _WEIGHT_LOWER if lower else _WEIGHT
-    for first, last in _slices(offsets, max_bytes):
+    for first, last in slices(offsets, max_bytes):
         at = offsets[first : last + 1] - offsets[first]
         part = data[offsets[first] : offsets[last]]
         n = len(part)
@@ -116,9 +128,7 @@ def words_of(column: pa.Array, *, lower: bool, max_bytes: int = 1 << 21) -> Iter
         end = word.copy()
         end[:-1] &= ~word[1:] | edge[1:n]
         start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
-        power, _ = _power_tables(n + 1)
-        prefix = np.zeros(n + 1, U64)
-        np.cumsum(weights[part] * power[:n], out=prefix[1:])
+        prefix = byte_prefix(part, weights)
         words = Words(first, last, part, at, start, end, np.searchsorted(start, at), np.zeros(0, U64), prefix)
         words.hash = words.span_hash(start, end)
         yield words

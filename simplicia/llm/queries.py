@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplicia.llm import chat, hmm_lm, mixing, near_dedup, quality, token_counts, topk, url_filter
+from simplicia.llm import chat, hmm_lm, mixing, near_dedup, quality, sentence_pieces, token_counts, topk, toxicity, url_filter
 from simplicia.llm.shared import read
 
 
@@ -40,6 +40,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_and_decode(read(spark, sf_dir, "documents"))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", topk.quantized(F.col("embedding")).alias("v"))
     return topk.top_k(rows.where("vec_id % 20 = 0"), rows, 20)
@@ -57,8 +61,24 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(read(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_url_filter, op3_token_counts, op4_near_dedup, op6_top_k, op7_quality_rules, op8_hmm_score, op9_source_mix)
+    f.__name__: f
+    for f in (
+        op1_chat_formatting,
+        op2_url_filter,
+        op3_token_counts,
+        op4_near_dedup,
+        op5_sentence_pieces,
+        op6_top_k,
+        op7_quality_rules,
+        op8_hmm_score,
+        op9_source_mix,
+        op10_toxicity,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {

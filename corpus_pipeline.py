@@ -1,8 +1,57 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents, each written and read again.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from simplicia.llm import mixing, near_dedup, quality, sentence_pieces, toxicity
+from simplicia.llm.shared import read, written
+
+
+def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go."""
+    return toxicity.keep_harmless(docs, read(spark, sf_dir, "labels"))
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or diverge from their language go."""
+    return quality.keep_good(docs)
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one of the smallest doc_id."""
+    return near_dedup.keep_one(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a document stands as often as the mix takes it."""
+    return mixing.mix_documents(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source and the piece ids of every text of the mix."""
+    return sentence_pieces.encode_texts(docs).select("doc_id", "lang", "source", "ids")
+
+
+STAGES = [
+    ("toxicity", harmless),
+    ("quality", good),
+    ("near_dedup", unique),
+    ("mixing", mixed),
+    ("sentence_pieces", encoded),
+]
+
+#: SQL can't express the learned toxicity stage.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from simplicia.llm.shared import WORD, written
+from simplicia.llm.shared import WORD, fresh, written
 
 SEED = "mix-1"
 WEIGHTS = (1, 2, 3)
@@ -23,11 +23,11 @@ MAX_EPOCHS = 3
 RANGE_ROWS = 4096
 
 
-def _keyed(docs: DataFrame, seed: str) -> DataFrame:
-    """The rows with source, size and key; a null text has size 0."""
+def _keyed(docs: DataFrame, seed: str, name: str) -> DataFrame:
+    """The rows with size and key, under ``name`` and their own names; a null text has size 0."""
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    return docs.withColumns({"__size": size, "__key": key})
+    return docs.withColumns({f"{name}size": size, f"{name}key": key})
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -86,15 +86,13 @@ def _cuts(sized: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFram
     return sources.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "epochs", "cut")
 
 
-def _with_copies(docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: str) -> tuple[DataFrame, DataFrame]:
-    keyed = _keyed(docs, seed)
-    sized = written(keyed.select("source", F.col("__size").alias("size"), F.col("__key").alias("key")), "mix-sizes")
-    cuts = written(_cuts(sized, weights, max_epochs), "mix-cuts").select(*(F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target", "epochs", "cut")))
-    return keyed, cuts
-
-
-def _copies():
-    return F.col("__epochs") + F.when(F.col("__key") <= F.col("__cut"), 1).otherwise(0)
+def _with_copies(docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: str, name: str) -> DataFrame:
+    """The rows with size, key, source_size, target and copies, all under ``name`` and their own names."""
+    keyed = _keyed(docs, seed, name)
+    sized = written(keyed.select("source", F.col(f"{name}size").alias("size"), F.col(f"{name}key").alias("key")), "mix-sizes")
+    cuts = written(_cuts(sized, weights, max_epochs), "mix-cuts").select(*(F.col(c).alias(name + c) for c in ("source", "source_size", "target", "epochs", "cut")))
+    joined = keyed.join(cuts, F.col("source").eqNullSafe(F.col(f"{name}source")))
+    return joined.withColumn(f"{name}copies", F.col(f"{name}epochs") + F.when(F.col(f"{name}key") <= F.col(f"{name}cut"), 1).otherwise(0))
 
 
 def plan_mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
@@ -110,22 +108,22 @@ def plan_mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_epochs: i
     gives no rows.  The table of sources is one row per source and is ranked
     in one task.
     """
-    keyed, cuts = _with_copies(docs.select("doc_id", "text", "source"), weights, max_epochs, seed)
-    return keyed.join(cuts, keyed["source"].eqNullSafe(cuts["__source"])).select(
+    rows = _with_copies(docs.select("doc_id", "text", "source"), weights, max_epochs, seed, "__")
+    return rows.select(
         "doc_id",
         F.col("__size").alias("size"),
         F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"),
-        (F.col("__size") * _copies()).cast("long").alias("taken"),
+        (F.col("__size") * F.col("__copies")).cast("long").alias("taken"),
     )
 
 
 def mix_documents(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mixed documents themselves, with the columns of ``docs``; a document
     that is taken k times stands there k times."""
-    keyed, cuts = _with_copies(docs, weights, max_epochs, seed)
-    joined = keyed.join(cuts, keyed["source"].eqNullSafe(cuts["__source"])).where(_copies() > 0)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), _copies().cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    name = fresh(docs, "__mix_")
+    rows = _with_copies(docs, weights, max_epochs, seed, name).where(F.col(f"{name}copies") > 0)
+    return rows.withColumn(f"{name}copy", F.explode(F.sequence(F.lit(1), F.col(f"{name}copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: DuckDB SQL for plan_mix over the table documents.

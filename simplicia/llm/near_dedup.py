@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simplicia.llm.kernel import U64, Words, mix, windows, words_of
-from simplicia.llm.shared import written
+from simplicia.llm.shared import fresh, written
 
 
 @dataclass(frozen=True)
@@ -240,5 +240,6 @@ def keep_one(docs: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
 
     Rows with a null doc_id stay.
     """
-    gone = near_duplicates(docs, rules).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = fresh(docs, "__gone")
+    gone = near_duplicates(docs.select("doc_id", "text"), rules).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from simplicia.llm.kernel import U64, byte_prefix, mix, power_tables, slices, span_hashes, text_buffers
+from simplicia.llm.shared import with_columns_by
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -176,7 +177,7 @@ def load_pieces(path: str | None = None) -> Pieces:
     symbol = normal | {c: len(strings) + k for k, c in enumerate(lone)}
     other = len(strings) + len(lone)
     lowest = min((scores[k] for k in normal.values()), default=0.0) - _UNKNOWN_COST
-    score = np.full(other + 1, lowest)
+    score = np.full(other + 1, lowest, np.float32)
     score[list(normal.values())] = [scores[k] for k in normal.values()]
     p = Pieces(strings, kind, score, {}, np.zeros(0, np.int64), byte_id, byte_of, other, max(map(len, normal), default=1))
     usable = dict(symbol)
@@ -269,12 +270,12 @@ class Encoder:
         power, inverse = power_tables(n + 1)
         prefix = np.zeros((n + 1, m), U64)
         np.cumsum((_char_weights(codes) * power[:n]).T, axis=0, dtype=U64, out=prefix[1:])
-        best = np.full((n + 1, m), -np.inf)
+        best = np.full((n + 1, m), -np.inf, np.float32)  # as the library adds up
         best[0] = 0
         length = np.zeros((n + 1, m), np.int16)  # the backpointers
         last = np.full((n + 1, m), p.other, np.int64)
         for end in range(1, n + 1):
-            for size in range(1, min(end, p.longest) + 1):
+            for size in range(min(end, p.longest), 0, -1):  # of equal scores the longest piece stays
                 start = end - size
                 hashes, symbols = p.keys.get(size, (np.zeros(0, U64), np.zeros(0, np.int64)))
                 if len(hashes):
@@ -428,23 +429,24 @@ def encode_texts(docs: DataFrame, *, model: str | None = None, ids: str = "ids")
     ``docs`` has a column text; ``model`` is the path of a model file that the
     driver reads; its tables, whose size the vocabulary bounds, are broadcast.
     No begin, end or added symbols; strings of control symbols inside texts
-    are ordinary text.  A null or empty text has no ids.  Every input row
+    are ordinary text.  A null or empty text has no ids.  A column that is
+    named as the new one is replaced.  Every input row
     gives one row, repeated rows too; an empty table none.  No row moves
     between tasks.  Parts of texts are told apart by 64-bit hashes.
     """
     tables = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
+    docs = docs.drop(ids)
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         encoder = Encoder(tables.value)
         for batch in batches:
             done = 0
             for found, at in encoder.encode(batch.column("text")):
                 n = len(at) - 1
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found))
-                yield pa.RecordBatch.from_arrays([*(c.slice(done, n) for c in batch.columns), lists], [*batch.schema.names, ids])
+                yield batch.slice(done, n), [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found))]
                 done += n
 
-    return docs.mapInArrow(encoded, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return with_columns_by(docs, [T.StructField(ids, T.ArrayType(T.IntegerType()))], encoded)
 
 
 def decode_ids(tokens: DataFrame, *, model: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -453,8 +455,9 @@ def decode_ids(tokens: DataFrame, *, model: str | None = None, ids: str = "ids",
     Ids outside the vocabulary and null ids raise an error.
     """
     tables = tokens.sparkSession.sparkContext.broadcast(load_pieces(model))
+    tokens = tokens.drop(text)
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         decoder = Decoder(tables.value)
         for batch in batches:
             column = batch.column(ids)
@@ -463,9 +466,9 @@ def decode_ids(tokens: DataFrame, *, model: str | None = None, ids: str = "ids",
             if flat.null_count:
                 raise ValueError("an id is null")
             texts = decoder.decode(flat.to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
+            yield batch, [pa.array(texts, pa.string())]
 
-    return tokens.mapInArrow(decoded, T.StructType([*tokens.schema.fields, T.StructField(text, T.StringType())]))
+    return with_columns_by(tokens, [T.StructField(text, T.StringType())], decoded)
 
 
 def encode_and_decode(docs: DataFrame, *, model: str | None = None) -> DataFrame:

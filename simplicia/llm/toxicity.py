@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from simplicia.llm.hmm_lm import is_held_out
 from simplicia.llm.kernel import U64, Words, mix, words_of
-from simplicia.llm.shared import written
+from simplicia.llm.shared import fresh, with_columns_by, written
 
 
 @dataclass(frozen=True)
@@ -280,14 +280,14 @@ def train(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRul
 def _scored(docs: DataFrame, classifier: Classifier, name: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for w in words_of(batch.column("text"), lower=True):
                 out[w.first : w.last] = shared.value.score(w)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, name])
+            yield batch, [pa.array(out)]
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return with_columns_by(docs, [T.StructField(name, T.DoubleType())], score)
 
 
 def _predicted(score: Column) -> Column:
@@ -310,5 +310,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = To
 
 def keep_harmless(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules()) -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns."""
-    rows = _scored(docs, train(docs, labels, rules), "__toxicity")
-    return rows.where(_predicted(F.col("__toxicity")) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    name = fresh(docs, "__toxicity")
+    rows = _scored(docs, train(docs, labels, rules), name)
+    return rows.where(_predicted(F.col(name)) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))

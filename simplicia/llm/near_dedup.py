@@ -10,12 +10,17 @@ sets is concentrated around their similarity as with independent MinHash.
 Bands of coordinates give candidate pairs, which are confirmed on the full
 sets.  Texts with equal sets are one representative from the start.  A
 bucket's texts are first compared with the bucket's smallest one; what that
-connects needs no further comparison, and only pairs that are still in
-different components are compared with each other.
+connects needs no further comparison.  Of pairs that are still in different
+components, those go on to the full sets that three bounds leave open: the
+number of shingles that each shares with any other such text, the triangle
+inequality, which the Jaccard distance obeys, with the distances to the
+bucket's smallest text, and the sketches (a few bits of every coordinate, which
+tell more than one band does).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +42,18 @@ class DedupRules:
     bands: int = 64
     rows: int = 6
     seed: int = 7
+    #: Bits of each coordinate that are compared.
+    bits: int = 4
+    #: A pair is given up if its sketches differ by so many standard deviations more than those
+    #: of a pair at the limit; one at the limit is, with probability 3.4e-6.
+    deviations: float = 4.5
+
+    @property
+    def most_bits(self) -> int:
+        """How many bits of two sketches may differ."""
+        n, j = self.bands * self.rows, self.percent / 100
+        spread = math.sqrt(n * j * (1 - j)) * self.bits / 2, math.sqrt(n * (1 - j) * self.bits) / 2
+        return math.floor(n * self.bits * (1 - j) / 2 + self.deviations * math.hypot(*spread))
 
 
 def shingle_sets(w: Words, width: int) -> Iterator[np.ndarray]:
@@ -92,29 +109,39 @@ def band_keys(sketches: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
+def low_bits(sketches: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` bits of each coordinate, scrambled, packed into 64-bit words."""
+    h = mix(sketches ^ U64(0xA24BAED4963EE407))
+    planes = np.stack([(h >> U64(k)) & U64(1) for k in range(bits)], 2).astype(np.uint8).reshape(len(sketches), -1)
+    return np.packbits(np.pad(planes, ((0, 0), (0, -planes.shape[1] % 64))), axis=1).view(U64)
+
+
 def _list_array(rows: np.ndarray) -> pa.Array:
     n, k = rows.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(rows.reshape(-1).view(np.int64)))
 
 
 def _signatures(docs: DataFrame, rules: DedupRules) -> DataFrame:
-    """doc_id, n_shingles, two digests of the set, and band keys (none for an empty set)."""
+    """doc_id, n_shingles, two digests of the set, band keys and low bits of the sketch (zero for an empty set)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b, keys, has = [], [], [], [], []
+            n, a, b, keys, bits = [], [], [], [], []
             for w in words_of(batch.column("text"), lower=True):
                 sets = list(shingle_sets(w, rules.shingle_words))
                 n.append(np.array([len(s) for s in sets], np.int64))
                 a.append(np.array([mix(s).sum() for s in sets], U64))
                 b.append(np.array([mix(s ^ U64(0x5851F42D4C957F2D)).sum() for s in sets], U64))
-                keys.append(band_keys(sketch(sets, rules.bands * rules.rows, rules.seed), rules.rows))
+                made = sketch(sets, rules.bands * rules.rows, rules.seed)
+                keys.append(band_keys(made, rules.rows))
+                bits.append(low_bits(made, rules.bits))
             n, a, b = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((n, np.int64), (a, U64), (b, U64)))
-            keys = np.concatenate(keys) if keys else np.zeros((0, rules.bands), U64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _list_array(keys)], ["doc_id", "n", "a", "b", "bands"])
+            keys, bits = (np.concatenate(x) if x else np.zeros((0, 1), U64) for x in (keys, bits))
+            arrays = [batch.column("doc_id"), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _list_array(keys), _list_array(bits)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "a", "b", "bands", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(signed, f"doc_id {kind}, n long, a long, b long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(signed, f"doc_id {kind}, n long, a long, b long, bands array<long>, bits array<long>")
 
 
 def _full_sets(docs: DataFrame, rules: DedupRules) -> DataFrame:
@@ -132,18 +159,43 @@ def _full_sets(docs: DataFrame, rules: DedupRules) -> DataFrame:
     return docs.select("rep", "text").mapInArrow(made, f"rep {kind}, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose full sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (x, y), the size of their sets' intersection, both, and that of their union, all."""
     left = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("sx"))
     right = sets.select(F.col("rep").alias("y"), F.col("shingles").alias("sy"))
     both = F.size(F.array_intersect("sx", "sy"))
-    return (
-        pairs.join(left, "x")
-        .join(right, "y")
-        .withColumn("both", both)
-        .where(100 * F.col("both") >= percent * (F.size("sx") + F.size("sy") - F.col("both")))
-        .select("x", "y")
+    found = pairs.join(left, "x").join(right, "y").select("x", "y", both.alias("both"), (F.size("sx") + F.size("sy")).alias("all"))
+    return found.withColumn("all", F.col("all") - F.col("both"))
+
+
+def _linked(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(100 * F.col("both") >= percent * F.col("all")).select("x", "y")
+
+
+def _across(rest: DataFrame, sets: DataFrame, bits: DataFrame, rules: DedupRules) -> DataFrame:
+    """Pairs (x, y) of one bucket and two components that no bound rules out, each once.
+
+    ``rest`` has bucket, rep, n, component, and distance, to the bucket's leader.
+    """
+    own = rest.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))
+    items = sets.join(own.select("rep"), "rep").select("rep", F.explode("shingles").alias("shingle"))
+    lone = items.groupBy("shingle").agg(F.count("*").alias("k"), F.min("rep").alias("rep")).where("k = 1").groupBy("rep").agg(F.count("*").alias("lone"))
+    known = written(own.join(lone, "rep", "left").join(bits, "rep").withColumn("lone", F.coalesce("lone", F.lit(0))), "bounds")
+    rest = rest.join(known, "rep").withColumn("held", F.col("n") - F.col("lone")).where(100 * F.col("held") >= rules.percent * F.col("n"))
+    one, two = (rest.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in rest.columns if c != "bucket")) for k in "xy")
+    words = -(-rules.bands * rules.rows * rules.bits // 64)
+    differ = sum((F.bit_count(F.col("bits_x")[k].bitwiseXOR(F.col("bits_y")[k])) for k in range(words)), F.lit(0))
+    most = F.least("held_x", "held_y")
+    near = (
+        (F.col("rep_x") < F.col("rep_y"))
+        & (F.col("component_x") != F.col("component_y"))
+        & (100 * most >= rules.percent * (F.col("n_x") + F.col("n_y") - most))
+        & (F.abs(F.col("distance_x") - F.col("distance_y")) <= 1 - rules.percent / 100 + 1e-9)
+        & (differ <= rules.most_bits)
+        # of the buckets that both are in, the pair comes from the first
+        & (F.array_min(F.array_intersect("buckets_x", "buckets_y")) == one["bucket"])
     )
+    return one.join(two, (one["bucket"] == two["bucket"]) & near).select(F.col("rep_x").alias("x"), F.col("rep_y").alias("y"))
 
 
 def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -191,8 +243,8 @@ def find_components(docs: DataFrame, rules: DedupRules = DedupRules()) -> DataFr
     """
     signed = written(_signatures(docs, rules), "signatures")
     filled = signed.where("n > 0 AND doc_id IS NOT NULL")
-    reps = filled.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    reps = written(reps, "representatives")
+    reps = filled.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "bits"), "doc_id").alias("sketch"))
+    reps = written(reps.select("n", "a", "b", "rep", "sketch.bands", "sketch.bits"), "representatives")
 
     # Buckets of one text alone need no comparison.
     rows = reps.where("n > 1").select("rep", "n", F.explode("bands").alias("bucket"))
@@ -204,24 +256,18 @@ def find_components(docs: DataFrame, rules: DedupRules = DedupRules()) -> DataFr
     sets = written(_full_sets(texts, rules).dropDuplicates(["rep"]), "sets")
 
     stars = shared.where("rep <> leader").select(F.col("leader").alias("x"), F.col("rep").alias("y")).distinct()
-    first = written(_confirmed(stars, sets, rules.percent), "links")
+    compared = written(_compared(stars, sets), "stars")
+    first = _linked(compared, rules.percent)
     label = components(first).select(F.col("node").alias("rep"), "component")
     marked = shared.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
     # Only buckets that still hold several components are looked at again, and
     # in them only pairs across components that the leader has not settled.
     mixed = marked.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    rest = written(marked.where("rep <> leader").join(mixed, "bucket").select("bucket", "rep", "n", "component"), "unsettled")
-    one = rest.select("bucket", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    two = rest.select("bucket", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    across = (
-        one.join(two, "bucket")
-        .where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")))
-        .where(100 * F.least("nx", "ny") >= rules.percent * F.greatest("nx", "ny"))
-        .select("x", "y")
-        .distinct()
-    )
-    second = _confirmed(across, sets, rules.percent)
+    distances = compared.select(F.col("x").alias("leader"), F.col("y").alias("rep"), (1 - F.col("both") / F.col("all")).alias("distance"))
+    rest = marked.where("rep <> leader").join(mixed, "bucket").join(distances, ["leader", "rep"]).select("bucket", "rep", "n", "component", "distance")
+    across = _across(written(rest, "unsettled"), sets, reps.select("rep", "bits"), rules)
+    second = _linked(_compared(across, sets), rules.percent)
     label = components(first.union(second)).select(F.col("node").alias("rep"), "component")
 
     named = reps.select("n", "a", "b", "rep").join(label, "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))

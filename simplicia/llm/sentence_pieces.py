@@ -34,9 +34,12 @@ from simplicia.llm.shared import with_columns_by
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Text that a task looks at together, in bytes.
-TOGETHER = 1 << 22
-#: Parts and pairs of pieces that a task remembers; beyond that it starts anew, which costs time only.
+TOGETHER = 1 << 21
+#: Parts that a task remembers; beyond that it starts anew, which costs time only.
 REMEMBERED = 1 << 20
+#: Slots for pairs of pieces that a task remembers, and for hashes of pieces; powers of two.
+PAIR_SLOTS = 1 << 22
+PIECE_SLOTS = 1 << 16
 
 # Fixed values of the model file's format: fields of the messages, and kinds of pieces and models.
 _PIECE, _TRAINER, _NORMALIZER = 1, 2, 3
@@ -243,7 +246,10 @@ class Encoder:
 
     def __init__(self, pieces: Pieces) -> None:
         self.p = pieces
-        self.pairs = _Memory(np.int64)
+        self.pair = np.full(PAIR_SLOTS, -1, np.int64)  # the pair that a slot holds
+        self.pair_allowed = np.zeros(PAIR_SLOTS, bool)
+        # slots without any piece spare most searches
+        self.filled = {n: np.bincount((h & U64(PIECE_SLOTS - 1)).astype(np.int64), minlength=PIECE_SLOTS) > 0 for n, (h, _) in pieces.keys.items()}
         self.forget()
 
     def forget(self) -> None:
@@ -253,15 +259,16 @@ class Encoder:
         if self.p.kind != _BPE:
             return np.ones(len(a), bool)
         key = a * (self.p.other + 1) + b
-        found = self.pairs.find(key)
-        if (found < 0).any():
-            new = np.unique(key[found < 0])
-            if len(self.pairs.keys) + len(new) > REMEMBERED:
-                self.pairs = _Memory(np.int64)
-                new = np.unique(key)
-            self.pairs.add(new, self.p.apart(new // (self.p.other + 1), new % (self.p.other + 1)).astype(np.int64))
-            found = self.pairs.find(key)
-        return found > 0
+        slot = (mix(key.view(U64)) & U64(PAIR_SLOTS - 1)).astype(np.int64)
+        allowed = self.pair_allowed[slot]
+        new = np.flatnonzero(self.pair[slot] != key)
+        if len(new):
+            allowed[new] = self.p.apart(a[new], b[new])
+            self.pair[slot[new]] = key[new]
+            # of pairs that want one slot the last stays, in both tables
+            mine = new[self.pair[slot[new]] == key[new]]
+            self.pair_allowed[slot[mine]] = allowed[mine]
+        return allowed
 
     def best_paths(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For texts of equal length, a row of characters each: symbols, and where each text's begin."""
@@ -277,19 +284,25 @@ class Encoder:
         for end in range(1, n + 1):
             for size in range(min(end, p.longest), 0, -1):  # of equal scores the longest piece stays
                 start = end - size
-                hashes, symbols = p.keys.get(size, (np.zeros(0, U64), np.zeros(0, np.int64)))
-                if len(hashes):
+                open_ = best[start] > -np.inf
+                if size in p.keys:
+                    hashes, symbols = p.keys[size]
                     h = mix((prefix[end] - prefix[start]) * inverse[start])
-                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                    found = np.where(hashes[at] == h, symbols[at], p.other if size == 1 else -1)
-                elif size == 1:
-                    found = np.full(m, p.other)
+                    hit = np.flatnonzero(open_ & self.filled[size][(h & U64(PIECE_SLOTS - 1)).astype(np.int64)])
+                    at = np.minimum(np.searchsorted(hashes, h[hit]), len(hashes) - 1)
+                    sure = hashes[at] == h[hit]
+                    hit, found = hit[sure], symbols[at[sure]]
                 else:
-                    continue
-                hit = np.flatnonzero((found >= 0) & (best[start] > -np.inf))
+                    hit = found = np.zeros(0, np.int64)
+                if size == 1:
+                    # a character without a piece is a symbol too
+                    one = np.full(m, p.other)
+                    one[hit] = found
+                    hit = np.flatnonzero(open_)
+                    found = one[hit]
                 if not len(hit):
                     continue
-                symbol = found[hit]
+                symbol = found
                 score = best[start, hit] + p.score[symbol]
                 if start:
                     score[~self._allowed(last[start, hit], symbol)] = -np.inf
@@ -477,8 +490,19 @@ def encode_and_decode(docs: DataFrame, *, model: str | None = None) -> DataFrame
     A text with the mark U+2581 in it comes back with spaces there, as the
     library has it, so its round_trip is false.
     """
-    rows = decode_ids(encode_texts(docs.select("doc_id", "text"), model=model), model=model)
-    return rows.select(
+    rows = docs.select("doc_id", "text")
+    tables = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        encoder, decoder = Encoder(tables.value), Decoder(tables.value)
+        for batch in batches:
+            done = 0
+            for found, at in encoder.encode(batch.column("text")):
+                yield batch.slice(done, len(at) - 1), [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found)), pa.array(decoder.decode(found, at), pa.string())]
+                done += len(at) - 1
+
+    return with_columns_by(rows, added, both).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         "ids",

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ class HmmRules:
     #: Before those over all training texts, steps over about so many texts find a starting point.
     warm_up: int = 12
     warm_up_texts: int = 2000
-    #: Tokens whose counts every task holds; counts of all others are joined.
+    #: Tokens whose counts every task holds, at most; counts of all others are joined.
     held: int = 1 << 18
     smooth: float = 0.1
     seed: int = 11
@@ -201,10 +202,25 @@ def _normalised(m: Model, start: np.ndarray, move: np.ndarray, emit: np.ndarray)
     return Model(m.total, m.distinct, m.held_hash, m.held_count, m.own_class, m.bucket_tokens, m.bucket_distinct, start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0), m.rules)
 
 
+def _most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
+    """The tokens whose counts are above the least threshold that at most ``most`` tokens pass, in order of count.
+
+    The threshold comes from how many tokens have each count, summed up in
+    steps of 1/64 of a power of two, so the driver gets some thousand rows
+    and then ``most`` at most.
+    """
+    step = F.floor(F.log2("c") * 64).cast("int")
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).toPandas().sort_values("step", ascending=False)
+    fit = steps["step"][steps["n"].cumsum() <= most]
+    if not len(fit):
+        return counts.limit(0).toPandas()
+    return counts.where(step >= int(fit.min())).toPandas().sort_values(["c", "token"], ascending=[False, True], ignore_index=True)
+
+
 def _initial(counts: DataFrame, rules: HmmRules) -> Model:
     """Tables of counts, and lasting states that differ at random from the classes' shares."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(rules.held).toPandas()
+    top = _most_frequent(counts, rules.held)
     own = np.where(np.arange(len(top)) < rules.own, np.arange(len(top)), -1)
     h = top["token"].to_numpy(np.int64).view(U64)
     order = np.argsort(h)

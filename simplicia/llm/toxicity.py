@@ -39,7 +39,10 @@ class ToxicityRules:
     features: int = 4096
     em_rounds: int = 15
     l2: float = 1e-5
-    fit_rounds: int = 400
+    #: Steps of the fit, each over so many texts of the sample.
+    fit_steps: int = 800
+    fit_batch: int = 512
+    seed: int = 5
 
 
 #: Bytes of the beginnings of words that count as features, beside whole words (0).
@@ -145,16 +148,19 @@ class LabelModel:
 
 def _distinct_voters(text: np.ndarray, feature: np.ndarray, ratio: np.ndarray, n: int, rules: ToxicityRules) -> list[int]:
     """The features of highest ratio, without those that fire on nearly the same texts as one before."""
+    best = np.argsort(-ratio, kind="stable")[: 10 * rules.voters]
+    mine = np.isin(feature, best)
+    text, feature = text[mine], feature[mine]
     chosen: list[int] = []
     fires: list[np.ndarray] = []
-    for f in np.argsort(-ratio, kind="stable")[: 10 * rules.voters]:
+    for f in best:
         if ratio[f] < rules.voter_ratio or len(chosen) == rules.voters:
             break
-        mine = np.zeros(n, bool)
-        mine[text[feature == f]] = True
-        if all((mine & other).sum() < 0.8 * (mine | other).sum() for other in fires):
+        held = np.zeros(n, bool)
+        held[text[feature == f]] = True
+        if all((held & other).sum() < 0.8 * (held | other).sum() for other in fires):
             chosen.append(int(f))
-            fires.append(mine)
+            fires.append(held)
     return chosen
 
 
@@ -206,22 +212,35 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit_linear(text: np.ndarray, feature: np.ndarray, dense: np.ndarray, target: np.ndarray, width: int, rules: ToxicityRules) -> tuple[np.ndarray, np.ndarray, float]:
-    """Gradient steps on the logistic loss of soft targets, scaled for each weight by its gradients so far (Adam)."""
+def _fit_linear(cut: np.ndarray, feature: np.ndarray, dense: np.ndarray, target: np.ndarray, width: int, rules: ToxicityRules) -> tuple[np.ndarray, np.ndarray, float]:
+    """Steps on the logistic loss of soft targets over batches of texts, scaled for each weight by its gradients so far (Adam).
+
+    Text i holds the features ``feature[cut[i]:cut[i + 1]]``.
+    """
     n, d = len(target), width + dense.shape[1] + 1
-    column = np.concatenate([feature, *(np.full(n, width + j) for j in range(dense.shape[1] + 1))])
-    row = np.concatenate([text, *(np.arange(n) for _ in range(dense.shape[1] + 1))])
-    value = np.concatenate([np.ones(len(feature)), dense.T.ravel().astype(float), np.ones(n)])
-    x, first, second = np.zeros(d), np.zeros(d), np.zeros(d)
-    x[-1] = np.log(np.clip(target.mean(), 1e-3, 1 - 1e-3) / (1 - np.clip(target.mean(), 1e-3, 1 - 1e-3)))
+    rng = np.random.default_rng(rules.seed)
+    x, first, second, mean = np.zeros(d), np.zeros(d), np.zeros(d), np.zeros(d)
+    share = np.clip(target.mean(), 1e-3, 1 - 1e-3)
+    x[-1] = np.log(share / (1 - share))
     penalty = np.full(d, rules.l2)
     penalty[-1] = 0
-    for t in range(1, rules.fit_rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=value * x[column], minlength=n), -30, 30)))
-        gradient = np.bincount(column, weights=value * (p - target)[row], minlength=d) / n + penalty * x
+    queue = np.zeros(0, np.int64)
+    for t in range(1, rules.fit_steps + 1):
+        if len(queue) < min(rules.fit_batch, n):
+            queue = np.concatenate([queue, rng.permutation(n)])
+        batch, queue = queue[: rules.fit_batch], queue[rules.fit_batch :]
+        sizes = cut[batch + 1] - cut[batch]
+        row = np.repeat(np.arange(len(batch)), sizes)
+        held = feature[np.arange(len(row)) + np.repeat(cut[batch] - np.cumsum(sizes) + sizes, sizes)]
+        z = np.bincount(row, weights=x[held], minlength=len(batch)) + dense[batch] @ x[width:-1] + x[-1]
+        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[batch]
+        gradient = np.concatenate([np.bincount(held, weights=error[row], minlength=width), dense[batch].T @ error, [error.sum()]]) / len(batch) + penalty * x
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         x = x - 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-10)
+        if 2 * t > rules.fit_steps:  # the mean of the second half of the steps
+            mean += x
+    x = mean / (rules.fit_steps - rules.fit_steps // 2)
     return x[:width], x[width:-1], float(x[-1])
 
 
@@ -258,22 +277,26 @@ def train(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRul
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(w.first, n), pa.ListArray.from_arrays(pa.array(cut), pa.array(at.astype(np.int32))), pa.array(shown.astype(np.int32))], ["toxic", "held", "shown"])
 
     # bounded by max_labelled texts times their distinct known features
-    rows = sample.mapInArrow(featured, "toxic boolean, held array<int>, shown int").toPandas()
-    of = np.repeat(np.arange(len(rows)), [len(x) for x in rows["held"]])
-    at = np.concatenate([np.asarray(x, np.int64) for x in rows["held"]]) if len(of) else np.zeros(0, np.int64)
-    dense = (rows["shown"].to_numpy()[:, None] >> np.arange(len(PATTERNS))) & 1
-
-    voters = _distinct_voters(of, at, ratio, len(rows), rules)
+    rows = sample.mapInArrow(featured, "toxic boolean, held array<int>, shown int").toArrow().combine_chunks()
+    held = rows.column("held").combine_chunks()
+    at = held.flatten().to_numpy()
+    cut = np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy())])
+    n = rows.num_rows
+    of = np.repeat(np.arange(n, dtype=np.int32), np.diff(cut))
+    dense = ((rows.column("shown").to_numpy()[:, None] >> np.arange(len(PATTERNS))) & 1).astype(float)
+
+    voters = _distinct_voters(of, at, ratio, n, rules)
     place = np.full(len(known), -1)
     place[voters] = np.arange(len(voters))
-    lexicon = np.zeros((len(rows), len(voters)))
+    lexicon = np.zeros((n, len(voters)))
     mine = place[at] >= 0
     lexicon[of[mine], place[at][mine]] = 1
-    toxic = rows["toxic"].to_numpy(bool)
+    toxic = rows.column("toxic").to_numpy()
+    del of, mine
     # that no entry fires is a vote too, and so is a person's label either way
     votes = np.column_stack([lexicon, lexicon.sum(1) == 0, dense, toxic, ~toxic]).astype(float)
     posterior = fit_label_model(votes, toxic, rules.em_rounds, alone=2).posterior(votes)
-    weight, pattern_weight, bias = _fit_linear(of, at, dense, posterior, len(known), rules)
+    weight, pattern_weight, bias = _fit_linear(cut, at, dense, posterior, len(known), rules)
     return Classifier(known, weight, pattern_weight, bias)
 
 

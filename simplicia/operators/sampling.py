@@ -58,7 +58,7 @@ def connected(pairs: DataFrame, n: int, *, block: int = 40, fan_out: int = 20, s
             break
         # drop items of fewest pairs together, as long as their pairs are too many
         order = Window.orderBy("d", "x")
-        out = degree.orderBy("d", "x").limit(4 * block).withColumn("gone", F.sum("d").over(order)).where((F.col("gone") <= size - n) | (F.row_number().over(order) == 1)).select("x")
+        out = degree.orderBy("d", "x").limit(4 * block).withColumns({"gone": F.sum("d").over(order), "turn": F.row_number().over(order)}).where((F.col("gone") <= size - n) | (F.col("turn") == 1)).select("x")
         stay = degree.join(out, "x", "left_anti").select("x")
         kept = written(kept.join(stay.select(F.col("x").alias("left_item")), "left_item", "left_semi").join(stay.select(F.col("x").alias("right_item")), "right_item", "left_semi"), "kept")
     return kept

@@ -26,19 +26,19 @@ SHARD_ROWS = 8192
 BLOCK_QUERIES = 1024
 #: Rows of a shard that are looked at with one threshold.
 STEP_ROWS = 1024
-#: Integers up to here are exact in float64 sums.
-EXACT = 1 << 53
+#: Sums below are exact in float64, which is fast; larger ones take 64-bit integers.
+EXACT, LARGEST = 1 << 53, 1 << 63
 
 
 def quantized(embedding: Column, scale: int = 64) -> Column:
-    """floor(scale * x) of each component, taken as double; null unless all are finite."""
+    """floor(scale * x) of each component, taken as double; null unless all are finite (and below 2**46)."""
     x = F.transform(embedding, lambda v: v.cast("double"))
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 2.0**46))
     return F.when(finite, F.transform(x, lambda v: F.floor(v * scale).cast("long")))
 
 
-def _matrix(rows: list[list[int]], width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width))
+def _matrix(rows: list[list[int]], width: int, dtype: type) -> np.ndarray:
+    out = np.zeros((len(rows), width), dtype)
     for i, row in enumerate(rows):
         out[i, : len(row)] = row
     return out
@@ -56,9 +56,9 @@ class Shard:
         """Ids and scores of the k best rows other than the query, best first, ties to smaller ids."""
         bound = np.maximum(query * self.high, query * self.low)
         order = np.argsort(-bound, kind="stable")
-        rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0.0]])  # bound of the dimensions from each on
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        least = -np.inf
+        rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], np.zeros(1, bound.dtype)])  # bound of the dimensions from each on
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, bound.dtype)
+        least = -np.inf  # later a score, of the same kind as all sums
         for first in range(0, len(self.ids), STEP_ROWS):
             rows = slice(first, first + STEP_ROWS)
             # without the essential ones a row's bound is below the threshold
@@ -96,7 +96,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
     of shorter vectors count as 0.  A row is never its own query's answer
     (same vec_id).  Returns query_id, rank from 1, vec_id and score, ties to
     the smaller vec_id; fewer than k rows are all returned; empty tables give
-    no rows.  Every query meets every shard, block by block: a task holds one
+    no rows.  Scores that might not fit into 64 bits raise OverflowError.  Every query meets every shard, block by block: a task holds one
     shard and one block of queries, and sends k rows for each query on.
     """
     queries = written(queries.select("vec_id", "v").where("vec_id IS NOT NULL AND v IS NOT NULL"), "queries")
@@ -104,8 +104,10 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
     n_queries, (n_rows, width, largest) = queries.count(), rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     q_width, q_largest = queries.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     width = max(width or 0, q_width or 0, 1)
-    if width * (largest or 0) * (q_largest or 0) >= EXACT:
-        raise OverflowError("scores beyond 2**53 are not exact")
+    most = width * (largest or 0) * (q_largest or 0)
+    if most >= LARGEST:
+        raise OverflowError("scores may be beyond 64 bits")
+    dtype = np.float64 if most < EXACT else np.int64
 
     shards = _packed(rows, "vec_id", "shard", SHARD_ROWS, n_rows)
     blocks = _packed(queries, "vec_id", "block", BLOCK_QUERIES, n_queries).withColumnRenamed("rows", "queries")
@@ -119,9 +121,9 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 mine = batch.column("rows")[i].as_py()
-                shard = Shard(np.array([r["id"] for r in mine], np.int64), _matrix([r["v"] for r in mine], width))
+                shard = Shard(np.array([r["id"] for r in mine], np.int64), _matrix([r["v"] for r in mine], width, dtype))
                 asked = batch.column("queries")[i].as_py()
-                found = [(q["id"], *shard.best(q["id"], x, k)) for q, x in zip(asked, _matrix([q["v"] for q in asked], width), strict=True)]
+                found = [(q["id"], *shard.best(q["id"], x, k)) for q, x in zip(asked, _matrix([q["v"] for q in asked], width, dtype), strict=True)]
                 ids = np.repeat(np.array([q for q, _, _ in found], np.int64), [len(r) for _, r, _ in found])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([r for _, r, _ in found])), pa.array(np.concatenate([s for _, _, s in found]).astype(np.int64))], ["query_id", "vec_id", "score"])
 

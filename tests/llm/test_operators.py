@@ -291,6 +291,20 @@ def test_top_k_against_all_scores(spark):
     assert topk.top_k(empty(table), table).count() == 0 and topk.top_k(table, empty(table)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(9)
+    vectors = rng.integers(-(1 << 28), 1 << 28, (60, 5)).tolist()
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(vectors)] + [(60, vectors[0])], "vec_id long, v array<long>")
+    every = [*enumerate(vectors), (60, vectors[0])]
+    expected = []
+    for q, x in every:
+        scored = sorted((-sum(a * b for a, b in zip(x, v)), i) for i, v in every if i != q)[:4]
+        expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
+    same(topk.top_k(table, table, 4), expected, "query_id", "rank", "vec_id", "score")
+    with pytest.raises(OverflowError):
+        topk.top_k(table.withColumn("v", F.transform("v", lambda x: x * 16)), table)
+
+
 def test_quantized_leaves_out_what_isn_t_finite(spark):
     rows = [(1, [0.5, -0.51]), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, None), (5, [float("inf")]), (6, [])]
     table = spark.createDataFrame(rows, "vec_id long, e array<float>")

@@ -17,12 +17,12 @@ def uniform(pairs: DataFrame, n: int | None, *, seed: int = 0) -> DataFrame:
 
 def stratified(pairs: DataFrame, n: int, *, seed: int = 0) -> DataFrame:
     """n pairs, a fifth from each bin of gaps as far as a bin has them, the rest from all others, ties too."""
-    key = F.xxhash64(F.lit(seed), "pair_id")
-    binned = pairs.withColumns({"__bin": C.gap_bin(F.col("gap")), "__key": key})
-    ranked = binned.withColumn("__n", F.row_number().over(Window.partitionBy("__bin").orderBy("__key", "pair_id")))
-    first = F.col("__bin").isNotNull() & (F.col("__n") <= n // len(C.GAP_BINS))
-    # those of the bins first, then by hash: one limit takes both
-    return ranked.orderBy(F.when(first, 0).otherwise(1), "__key", "pair_id").limit(n).drop("__bin", "__key", "__n")
+    binned = pairs.withColumns({"__bin": C.gap_bin(F.col("gap")), "__key": F.xxhash64(F.lit(seed), "pair_id")})
+    # the limit on the rank is applied before the shuffle too, so a bin sends few rows
+    ranked = binned.where("__bin IS NOT NULL").withColumn("__n", F.row_number().over(Window.partitionBy("__bin").orderBy("__key", "pair_id")))
+    first = written(ranked.where(F.col("__n") <= n // len(C.GAP_BINS)).drop("__n"), "strata")
+    rest = binned.join(first.select("pair_id"), "pair_id", "left_anti").select(*binned.columns).orderBy("__key", "pair_id").limit(max(n - first.count(), 0))
+    return first.unionByName(rest).drop("__bin", "__key")
 
 
 def connected(pairs: DataFrame, n: int, *, block: int = 40, fan_out: int = 20, seed: int = 0) -> DataFrame:

@@ -302,7 +302,7 @@ def test_top_k_of_large_components(spark):
         expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
     same(topk.top_k(table, table, 4), expected, "query_id", "rank", "vec_id", "score")
     with pytest.raises(OverflowError):
-        topk.top_k(table.withColumn("v", F.transform("v", lambda x: x * 16)), table)
+        topk.top_k(table.withColumn("v", F.transform("v", lambda x: x * 64)), table)
 
 
 def test_quantized_leaves_out_what_isn_t_finite(spark):

@@ -34,11 +34,11 @@ from simplicia.llm.shared import with_columns_by
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Text that a task looks at together, in bytes.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 #: Parts that a task remembers; beyond that it starts anew, which costs time only.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 #: Slots for pairs of pieces that a task remembers, and for hashes of pieces; powers of two.
-PAIR_SLOTS = 1 << 22
+PAIR_SLOTS = 1 << 21
 PIECE_SLOTS = 1 << 16
 
 # Fixed values of the model file's format: fields of the messages, and kinds of pieces and models.
@@ -375,15 +375,16 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of whole texts and where each text's begin, some megabytes of text at a time."""
-        # the mark inside a text is a space to the model
-        data, offsets = text_buffers(pc.replace_substring(column, SPACE, " "))
-        for first, last in slices(offsets, TOGETHER):
+        _, whole = text_buffers(column)
+        for first, last in slices(whole, TOGETHER):
             n = last - first
-            at = offsets[first : last + 1] - offsets[first] + np.arange(n + 1)
+            # the mark inside a text is a space to the model; a part of the batch at a time, for less memory
+            data, offsets = text_buffers(pc.replace_substring(column.slice(first, n), SPACE, " "))
+            at = offsets + np.arange(n + 1)
             part = np.full(at[-1], 0x20, np.uint8)  # a space stands before each text
             mask = np.ones(len(part), bool)
             mask[at[:-1]] = False
-            part[mask] = data[offsets[first] : offsets[last]]
+            part[mask] = data
             space = part == 0x20
             begin = space.copy()
             begin[1:] &= ~space[:-1]

@@ -41,3 +41,20 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 2107
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_components_cover_every_line(spark):
+    sf = "/root/testdata/sf0.001"
+    up: dict[int, int] = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for (u,) in duckdb.connect().execute(f"SELECT DISTINCT l_orderkey FROM read_parquet('{sf}/lineitem.parquet')").fetchall():
+        a, b = sorted((top(u), top(u // 7)))
+        up[b] = a
+    found = {r["node"]: r["component"] for r in catalogue.QUERIES["graph_components_all"](spark, sf).collect()}
+    assert found == {x: top(x) for x in up}
+    assert len(found) > len({r["node"] for r in catalogue.QUERIES["graph_components"](spark, sf).collect()})

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -221,19 +222,19 @@ def _uv(p: DataFrame) -> DataFrame:
 
 
 @query(f"{X.SPARSE_SQL} SELECT x.a AS u, x.b AS v, y.b AS w FROM pairs x JOIN pairs y ON x.b = y.a JOIN pairs z ON z.a = x.a AND z.b = y.b")
-def pair_graph_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return complexes.pair_triangles(_uv(X.supplier_pairs(spark, sf_dir, sparse=True)))
+def pair_graph_triangles(spark: SparkSession, sf_dir: str, *, sparse: bool = True) -> DataFrame:
+    return complexes.pair_triangles(_uv(X.supplier_pairs(spark, sf_dir, sparse=sparse)))
 
 
 @query(f"{X.SPARSE_SQL} SELECT node, count(*) AS degree FROM (SELECT a AS node FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY node")
-def pair_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return complexes.degrees(_uv(X.supplier_pairs(spark, sf_dir, sparse=True)))
+def pair_degrees(spark: SparkSession, sf_dir: str, *, sparse: bool = True) -> DataFrame:
+    return complexes.degrees(_uv(X.supplier_pairs(spark, sf_dir, sparse=sparse)))
 
 
 @query(f"{X.SPARSE_SQL} SELECT pair_id, presentation FROM tasks WHERE a % 3 <> 0")
-def tasks_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = X.judgement_log(spark, sf_dir).where("cast(left_item as bigint) % 3 = 0")
-    todo = pairs.tasks(X.supplier_pairs(spark, sf_dir, sparse=True))
+def tasks_open(spark: SparkSession, sf_dir: str, *, sparse: bool = True) -> DataFrame:
+    done = X.judgement_log(spark, sf_dir, sparse=sparse).where("cast(left_item as bigint) % 3 = 0")
+    todo = pairs.tasks(X.supplier_pairs(spark, sf_dir, sparse=sparse))
     return pairs.open_tasks(todo, done).select("pair_id", "presentation")
 
 
@@ -246,34 +247,34 @@ def reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{X.SPARSE_SQL} SELECT "row", pair_id, presentation, model_side, CASE model_side WHEN 'left' THEN left_item WHEN 'right' THEN right_item END AS model_choice, CAST(model_correct AS DOUBLE) AS model_correct, CAST(agrees AS DOUBLE) AS model_agrees_with_human, error FROM log""")
-def judgement_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.judgement_log(spark, sf_dir).select("row", "pair_id", "presentation", "model_side", "model_choice", "model_correct", "model_agrees_with_human", "error")
+def judgement_records(spark: SparkSession, sf_dir: str, *, sparse: bool = True) -> DataFrame:
+    return X.judgement_log(spark, sf_dir, sparse=sparse).select("row", "pair_id", "presentation", "model_side", "model_choice", "model_correct", "model_agrees_with_human", "error")
 
 
 @query(f"""{X.SPARSE_SQL}
 SELECT count(*) AS n_judgements, count(DISTINCT pair_id) AS n_pairs, round(avg(model_correct), 6) AS model_accuracy, round(avg(agrees), 6) AS model_human_agreement,
        round(avg(CAST(model_side = 'left' AS INTEGER)), 6) AS model_left_rate, (SELECT round(avg(h), 6) FROM (SELECT pair_id, max(human_correct) AS h FROM log WHERE model_side IS NOT NULL GROUP BY pair_id)) AS human_accuracy
 FROM log WHERE model_side IS NOT NULL""")
-def accuracy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.accuracy(X.judgement_log(spark, sf_dir)), "model_accuracy", "model_human_agreement", "model_left_rate", "human_accuracy")
+def accuracy_report(spark: SparkSession, sf_dir: str, *, sparse: bool = True) -> DataFrame:
+    return rounded(reports.accuracy(X.judgement_log(spark, sf_dir, sparse=sparse)), "model_accuracy", "model_human_agreement", "model_left_rate", "human_accuracy")
 
 
 @query(f"""{X.SPARSE_SQL}, h AS (SELECT bin, pair_id, max(human_correct) AS c FROM log WHERE model_side IS NOT NULL AND human_correct IS NOT NULL AND bin IS NOT NULL GROUP BY 1, 2),
 m AS (SELECT bin, count(*) AS n, CAST(sum(model_correct) AS BIGINT) AS n_correct FROM log WHERE model_correct IS NOT NULL AND bin IS NOT NULL GROUP BY 1)
 SELECT m.bin, m.n, m.n_correct, g.human_n, g.human_correct FROM m LEFT JOIN (SELECT bin, count(*) AS human_n, CAST(sum(c) AS BIGINT) AS human_correct FROM h GROUP BY 1) g ON m.bin = g.bin""")
-def accuracy_by_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.accuracy_by_gap(X.judgement_log(spark, sf_dir))
+def accuracy_by_gap(spark: SparkSession, sf_dir: str, *, sparse: bool = True, scale: int = 1) -> DataFrame:
+    return reports.accuracy_by_gap(X.judgement_log(spark, sf_dir, sparse=sparse, scale=scale))
 
 
 @query(f"""{X.SPARSE_SQL} SELECT count(*) AS n_swap_pairs, count(*) FILTER (x.model_side = y.model_side) AS n_same
 FROM log x JOIN log y ON x.pair_id = y.pair_id AND x.swapped = 0 AND y.swapped = 1 WHERE x.model_side IS NOT NULL AND y.model_side IS NOT NULL""")
-def order_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.order_consistency(X.judgement_log(spark, sf_dir))
+def order_consistency(spark: SparkSession, sf_dir: str, *, sparse: bool = True) -> DataFrame:
+    return reports.order_consistency(X.judgement_log(spark, sf_dir, sparse=sparse))
 
 
 @query(f"{X.SPARSE_SQL} SELECT label, u, v, round(value, 6) + 0.0 AS value FROM flows")
-def edge_flow_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pairs.flows(X.judgement_log(spark, sf_dir)), "value")
+def edge_flow_canonical(spark: SparkSession, sf_dir: str, *, sparse: bool = True) -> DataFrame:
+    return rounded(pairs.flows(X.judgement_log(spark, sf_dir, sparse=sparse)), "value")
 
 
 @query(f"""{X.PAIRS_SQL},
@@ -298,21 +299,21 @@ def hodge_degree1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{X.SPARSE_SQL} SELECT "row", annotator, count(model_correct) OVER w AS n_scored, CAST(coalesce(sum(model_correct) OVER w, 0) AS BIGINT) AS n_correct
 FROM log WINDOW w AS (PARTITION BY annotator ORDER BY "row" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
-def running_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.running_accuracy(X.judgement_log(spark, sf_dir), "annotator")
+def running_accuracy(spark: SparkSession, sf_dir: str, *, sparse: bool = True) -> DataFrame:
+    return reports.running_accuracy(X.judgement_log(spark, sf_dir, sparse=sparse), "annotator")
 
 
 @query(f"""{X.SPARSE_SQL}, one AS (
   SELECT CAST(count(*) AS VARCHAR) AS a, CAST(count(error) AS VARCHAR) AS b, format('{{:.2f}}%', 100 * avg(model_correct)) AS c, format('{{:.2f}}%', 100 * avg(human_correct)) AS d,
          format('{{:.2f}}%', 100 * avg(agrees)) AS e, format('{{:.2f}}%', 100 * avg(CASE WHEN model_side = 'left' THEN 1 ELSE 0 END)) AS f, format('{{:.2f}}', median(latency_s)) AS g FROM log)
 SELECT unnest(['judgements recorded', 'errors', 'model accuracy vs true order', 'human accuracy vs true order', 'model agrees with human', 'model left-side rate', 'median latency (s)']) AS metric, unnest([a, b, c, d, e, f, g]) AS value FROM one""")
-def summary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.summary(X.judgement_log(spark, sf_dir))
+def summary_metrics(spark: SparkSession, sf_dir: str, *, sparse: bool = True) -> DataFrame:
+    return reports.summary(X.judgement_log(spark, sf_dir, sparse=sparse))
 
 
 @query(f"{X.SPARSE_SQL} SELECT count(*) AS n_records, count(DISTINCT pair_id) AS n_pairs, count(error) AS n_errors, round(avg(model_correct), 6) AS model_accuracy FROM log")
-def log_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reports.status(X.judgement_log(spark, sf_dir)), "model_accuracy")
+def log_status(spark: SparkSession, sf_dir: str, *, sparse: bool = True) -> DataFrame:
+    return rounded(reports.status(X.judgement_log(spark, sf_dir, sparse=sparse)), "model_accuracy")
 
 
 @query("WITH ids AS (SELECT unnest(range(0, (SELECT max(n_nationkey) * 2 + 1 FROM nation))) AS id) SELECT id, replace(coalesce(n_name, '?'), '_', ' ') AS label FROM ids LEFT JOIN nation ON id = n_nationkey * 2")
@@ -321,10 +322,10 @@ def concept_labels_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"{X.SPARSE_SQL} SELECT 'mock-q4' AS model_name, count(*) AS n_records, count(model_correct) AS n_scored, CAST(sum(model_correct) AS DOUBLE) AS n_correct, count(error) AS n_errors FROM log")
-def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_counts(spark: SparkSession, sf_dir: str, *, sparse: bool = True) -> DataFrame:
     """The log as files that come twice, streamed into a table without repeats, and counted."""
     root = f"{shared_dir(spark)}/simplicia/stream-{uuid.uuid4().hex}"
-    log = X.judgement_log(spark, sf_dir).repartition(4, "pair_id")
+    log = X.judgement_log(spark, sf_dir, sparse=sparse).repartition(4, "pair_id")
     for _ in range(2):
         log.write.mode("append").json(f"{root}/log")
         stream.to_parquet(stream.once_per_task(stream.read_log(spark, f"{root}/log")), f"{root}/table", f"{root}/checkpoint").awaitTermination()
@@ -350,6 +351,25 @@ def clique_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.clique_pairs(items, labels, keep=0.75)
 
 
+#: The queries over three pairs in ten once more, over all pairs, each with its SQL over all pairs.
+for _f in (pair_graph_triangles, pair_degrees, tasks_open, judgement_records, accuracy_report, order_consistency, edge_flow_canonical, running_accuracy, summary_metrics, log_status, stream_counts):
+    QUERIES[f"{_f.__name__}_all"] = partial(_f, sparse=False)
+    ORACLE_SQL[f"{_f.__name__}_all"] = ORACLE_SQL[_f.__name__].replace(X.SPARSE_SQL, X.PAIRS_SQL, 1)
+QUERIES["accuracy_by_gap_all"] = partial(accuracy_by_gap, sparse=False, scale=X.GAP_SCALE)
+ORACLE_SQL["accuracy_by_gap_all"] = ORACLE_SQL["accuracy_by_gap"].replace(X.SPARSE_SQL, X.SCALED_SQL, 1)
+
+
+@query()
+def pairs_connected_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.connected(X.part_pairs(spark, sf_dir), 200)
+
+
+@query()
+def clique_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = X.part_labels(spark, sf_dir).drop("a", "b")
+    return pairs.clique_pairs(sampling.clique_items(X.part_pairs(spark, sf_dir), 8), labels, keep=0.75)
+
+
 def _graph(spark: SparkSession) -> DataFrame:
     return written(spectral.largest_component(spectral.random_graph(spark, 100, 0.05)), "graph")
 

@@ -125,23 +125,43 @@ def supplier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of supplier pairs that share a part; choices follow from the ids."""
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
     both = lines.withColumnRenamed("s", "a").join(lines.withColumnRenamed("s", "b"), "p").where("a < b")
-    ab = both.groupBy("a", "b").agg(F.min("p").alias("part"))
+    return _labels(both.groupBy("a", "b").agg(F.min("p").alias("annotator")))
+
+
+def _labels(ab: DataFrame) -> DataFrame:
     chosen = F.when((F.col("a") + F.col("b")) % 11 != 0, F.when((F.col("a") * 7 + F.col("b") * 13) % 10 < 6, F.col("a")).otherwise(F.col("b")))
-    return ab.select("a", "b", F.col("a").cast("string").alias("left"), F.col("b").cast("string").alias("right"), chosen.cast("string").alias("choice"), F.col("part").cast("string").alias("annotator"))
+    return ab.select("a", "b", F.col("a").cast("string").alias("left"), F.col("b").cast("string").alias("right"), chosen.cast("string").alias("choice"), F.col("annotator").cast("string").alias("annotator"))
+
+
+def part_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of all part pairs that share an order, a graph that its data leaves incomplete."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
+    both = lines.withColumnRenamed("p", "a").join(lines.withColumnRenamed("p", "b"), "o").where("a < b")
+    return _labels(both.groupBy("a", "b").agg(F.min("o").alias("annotator")))
+
+
+def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged pairs of parts."""
+    scores = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("item"), F.floor("p_retailprice").cast("int").alias("score"))
+    return pairs.build_pairs(part_labels(spark, sf_dir), scores)
+
+
+#: Divided by this, account balances of -1,000 to 10,000 differ by 200 at most, where the last bin of gaps ends.
+GAP_SCALE = 55
 
 
-def supplier_pairs(spark: SparkSession, sf_dir: str, *, sparse: bool = False) -> DataFrame:
-    """Judged pairs of suppliers; sparse keeps three in ten."""
+def supplier_pairs(spark: SparkSession, sf_dir: str, *, sparse: bool = False, scale: int = 1) -> DataFrame:
+    """Judged pairs of suppliers; sparse keeps three in ten, scale divides the scores."""
     labels = supplier_labels(spark, sf_dir)
     if sparse:
         labels = labels.where("(a * 31 + b * 17) % 10 < 3")
-    scores = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("item"), F.floor("s_acctbal").cast("int").alias("score"))
+    scores = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("item"), F.floor(F.col("s_acctbal") / scale).cast("int").alias("score"))
     return pairs.build_pairs(labels, scores)
 
 
-def judgement_log(spark: SparkSession, sf_dir: str, *, sparse: bool = True) -> DataFrame:
+def judgement_log(spark: SparkSession, sf_dir: str, *, sparse: bool = True, scale: int = 1) -> DataFrame:
     """A log of answers that follow from the ids, with errors and leanings to the first item."""
-    t = pairs.tasks(supplier_pairs(spark, sf_dir, sparse=sparse))
+    t = pairs.tasks(supplier_pairs(spark, sf_dir, sparse=sparse, scale=scale))
     a, b = F.col("left_item").cast("long"), F.col("right_item").cast("long")
     swapped: Column = (F.col("presentation") == "swapped").cast("int")
     first, second = F.when(swapped == 1, F.col("right_score")).otherwise(F.col("left_score")), F.when(swapped == 1, F.col("left_score")).otherwise(F.col("right_score"))
@@ -164,15 +184,15 @@ def judgement_log(spark: SparkSession, sf_dir: str, *, sparse: bool = True) -> D
     return pairs.records(answered)
 
 
-def _pairs_sql(condition: str) -> str:
+def _pairs_sql(condition: str, score: str = "s_acctbal") -> str:
     return f"""
 WITH sp AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
 ab AS (SELECT x.s AS a, y.s AS b, min(x.p) AS part FROM sp x JOIN sp y ON x.p = y.p AND x.s < y.s WHERE {condition} GROUP BY 1, 2),
 pairs AS (
   SELECT a, b, a || '|' || b AS pair_id, CAST(a AS VARCHAR) AS left_item, CAST(b AS VARCHAR) AS right_item,
-         CAST(floor(l.s_acctbal) AS INTEGER) AS left_score, CAST(floor(r.s_acctbal) AS INTEGER) AS right_score,
-         abs(CAST(floor(l.s_acctbal) AS INTEGER) - CAST(floor(r.s_acctbal) AS INTEGER)) AS gap,
-         CASE WHEN floor(l.s_acctbal) = floor(r.s_acctbal) THEN 'tie' WHEN floor(l.s_acctbal) > floor(r.s_acctbal) THEN 'left' ELSE 'right' END AS true_side,
+         CAST(floor(l.{score}) AS INTEGER) AS left_score, CAST(floor(r.{score}) AS INTEGER) AS right_score,
+         abs(CAST(floor(l.{score}) AS INTEGER) - CAST(floor(r.{score}) AS INTEGER)) AS gap,
+         CASE WHEN floor(l.{score}) = floor(r.{score}) THEN 'tie' WHEN floor(l.{score}) > floor(r.{score}) THEN 'left' ELSE 'right' END AS true_side,
          CASE WHEN (a + b) % 11 <> 0 THEN CASE WHEN (a * 7 + b * 13) % 10 < 6 THEN 'left' ELSE 'right' END END AS human_side,
          CAST(part AS VARCHAR) AS annotator
   FROM ab JOIN supplier l ON l.s_suppkey = a JOIN supplier r ON r.s_suppkey = b),
@@ -202,6 +222,7 @@ flows AS (
 
 PAIRS_SQL = _pairs_sql("true")
 SPARSE_SQL = _pairs_sql("(x.s * 31 + y.s * 17) % 10 < 3")
+SCALED_SQL = _pairs_sql("true", f"s_acctbal / {GAP_SCALE}")
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:

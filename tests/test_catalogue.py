@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from simplicia.plans import catalogue
+from simplicia.plans import catalogue, fixtures
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 #: Their SQL holds for complete complexes only, which the smallest tables lack.
@@ -58,3 +58,25 @@ def test_components_cover_every_line(spark):
     found = {r["node"]: r["component"] for r in catalogue.QUERIES["graph_components_all"](spark, sf).collect()}
     assert found == {x: top(x) for x in up}
     assert len(found) > len({r["node"] for r in catalogue.QUERIES["graph_components"](spark, sf).collect()})
+
+
+def test_all_pairs_are_judged(spark):
+    sf = "/root/testdata/sf0.01"  # 100 suppliers, each pair of which shares a part
+    n = 100 * 99 // 2
+    assert catalogue.QUERIES["judgement_records_all"](spark, sf).count() == 2 * n
+    assert catalogue.QUERIES["log_status_all"](spark, sf).first()["n_pairs"] == n
+    ties = fixtures.supplier_pairs(spark, sf, scale=fixtures.GAP_SCALE).where("gap = 0").count()
+    records = fixtures.judgement_log(spark, sf, sparse=False, scale=fixtures.GAP_SCALE)
+    binned = sum(r["n"] for r in catalogue.QUERIES["accuracy_by_gap_all"](spark, sf).collect())
+    assert 0 < ties < n / 10
+    assert binned == records.where("model_side IS NOT NULL AND gap > 0").count()
+
+
+def test_samples_of_a_graph_incomplete_by_its_data(spark, sf_dir):
+    pairs = fixtures.part_pairs(spark, sf_dir).select("left_item", "right_item")
+    con = duckdb.connect()
+    n = con.execute(f"WITH l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM read_parquet('{sf_dir}/lineitem.parquet')) SELECT count(DISTINCT (x.p, y.p)) FROM l x JOIN l y ON x.o = y.o AND x.p < y.p").fetchall()[0][0]
+    assert pairs.count() == pairs.distinct().count() == n
+    sample = catalogue.QUERIES["pairs_connected_all"](spark, sf_dir).select("left_item", "right_item")
+    assert sample.subtract(pairs).isEmpty() and 3 <= sample.count() <= 200
+    assert catalogue.QUERIES["clique_pairs_all"](spark, sf_dir).count() == 21  # three quarters of 28

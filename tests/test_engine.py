@@ -112,6 +112,20 @@ def test_solver_ends_without_rows(spark):
     assert x.count() == 0 and rest.count() == 0
 
 
+def test_solver_goes_on_until_the_tolerance(spark):
+    rng = np.random.default_rng(1)  # 89 triangles on 14 items: 81 steps, off by 1e-5 after 60
+    triangles = sorted({tuple(sorted(rng.choice(14, 3, replace=False).tolist())) for _ in range(100)})
+    s2 = rng.random(len(triangles))
+    edges, d2, _, _ = dense(triangles)
+    expected = np.linalg.lstsq(d2.T, s2, rcond=None)[0]
+    tri = table(spark, triangles, s2)
+    with pytest.raises(ArithmeticError, match="no convergence after 3 steps"):
+        hodge.edge_projection(tri, solver.SolverRules(max_steps=3))
+    s1, _ = hodge.edge_projection(tri)
+    found = {(r["a"], r["b"]): r["s1_star"] for r in s1.collect()}
+    assert np.allclose([found[e] for e in edges], expected, atol=1e-8)
+
+
 def test_slates(spark):
     rows = [([3, 1, 2], [1]), ([1, 2, 3], [2, 3, 9]), ([1, 1, 2], [1]), ([1, 2], [1]), ([1, 2, 3, 4], []), ([1, 2, 3], [1, 2, 3]), ([1, 2, 3, 4, 5], [5])]
     slates = spark.createDataFrame(rows, "slate array<long>, purchased array<long>")

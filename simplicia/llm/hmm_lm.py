@@ -31,9 +31,8 @@ class HmmRules:
     own: int = 2048
     buckets: int = 2048
     iterations: int = 2
-    #: Before those over all training texts, steps over about so many texts find a starting point.
+    #: Steps before those; every step goes over all training texts, whatever their number.
     warm_up: int = 12
-    warm_up_texts: int = 2000
     #: Tokens whose counts every task holds, at most; counts of all others are joined.
     held: int = 1 << 18
     smooth: float = 0.1
@@ -65,6 +64,7 @@ class Model:
     move: np.ndarray  # from state, to state
     emit: np.ndarray  # class, state
     rules: HmmRules
+    likelihoods: tuple[float, ...] = ()  # of all training texts' classes before each step, natural logarithm
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class of each token, and its place among the held ones or -1."""
@@ -142,6 +142,7 @@ class Packed:
     def expected(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, moves and emissions."""
         alpha, b, scale = self.forward(m)
+        self.likelihood = float(np.log(scale).sum())
         at, active = self.at.tolist(), self.active.tolist()
         beta = np.ones_like(b)
         move_t = m.move.T.copy()
@@ -173,28 +174,54 @@ def _batch_tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
 
 
-def _improve(train: DataFrame, model: Model) -> Model:
-    """One Baum-Welch step over all training texts."""
+def _encoded(train: DataFrame, model: Model) -> DataFrame:
+    """Each text's classes as bytes, so that the steps needn't split texts again."""
     held = train.sparkSession.sparkContext.broadcast(model)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for batch in batches:
+            for _, _, tokens, n in _token_rows(batch):
+                classes = m.lookup(tokens)[0].astype(_class_type(m))
+                at = np.concatenate([[0], np.cumsum(n)])
+                yield pa.RecordBatch.from_arrays([pa.array([classes[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], ["classes"])
+
+    return train.select("text").mapInArrow(encode, "classes binary")
+
+
+def _class_type(m: Model) -> type:
+    return np.uint16 if len(m.emit) <= 1 << 16 else np.uint32
+
+
+def _improve(encoded: DataFrame, model: Model) -> Model:
+    """One Baum-Welch step over all training texts."""
+    held = encoded.sparkSession.sparkContext.broadcast(model)
     s, k = model.rules.states, len(model.emit)
+    size = s + s * s + k * s
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        total = np.zeros(s + s * s + k * s)
+        kind = np.dtype(_class_type(m))
+        total = np.zeros(size + 1)
         for batch in batches:
-            tokens, n = _batch_tokens(batch)
+            texts = batch.column("classes").to_pylist()
+            classes = np.frombuffer(b"".join(texts), kind).astype(np.int64)
+            n = np.array([len(x) // kind.itemsize for x in texts], np.int64)
             at = np.concatenate([[0], np.cumsum(n)])
             for i, j in _groups(n, m.rules.together):
-                start, moves, emits = Packed(m.lookup(tokens[at[i] : at[j]])[0], n[i:j]).expected(m)
-                total += np.concatenate([start, moves.ravel(), emits.ravel()])
+                packed = Packed(classes[at[i] : at[j]], n[i:j])
+                start, moves, emits = packed.expected(m)
+                total += np.concatenate([start, moves.ravel(), emits.ravel(), [packed.likelihood]])
         slots = np.flatnonzero(total).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], ["slot", "value"])
 
-    rows = train.select("text").mapInArrow(expect, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
-    total = np.zeros(s + s * s + k * s)
+    rows = encoded.mapInArrow(expect, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
+    total = np.zeros(size + 1)
     total[rows["slot"].to_numpy()] = rows["value"].to_numpy()
     held.unpersist()
-    return _normalised(model, total[:s], total[s : s + s * s].reshape(s, s), total[s + s * s :].reshape(k, s))
+    better = _normalised(model, total[:s], total[s : s + s * s].reshape(s, s), total[s + s * s : size].reshape(k, s))
+    better.likelihoods = (*model.likelihoods, float(total[size]))
+    return better
 
 
 def _normalised(m: Model, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
@@ -241,13 +268,9 @@ def train(docs: DataFrame, rules: HmmRules = HmmRules()) -> tuple[Model, DataFra
     """The model and the counts (token, c) of all texts of ``docs``, whose column is text."""
     counts = written(docs.select("text").mapInArrow(_count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")), "token-counts")
     model = _initial(counts, rules)
-    texts = counts.where(F.col("token") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    one_in = max(1, texts // rules.warm_up_texts)
-    few = written(docs.where(F.pmod(F.xxhash64(F.lit("warm-up"), "text"), F.lit(one_in)) == 0).select("text"), "warm-up")
-    for _ in range(rules.warm_up):
-        model = _improve(few, model)
-    for _ in range(rules.iterations):
-        model = _improve(docs, model)
+    encoded = written(_encoded(docs, model), "classes")
+    for _ in range(rules.warm_up + rules.iterations):
+        model = _improve(encoded, model)
     return model, counts
 
 

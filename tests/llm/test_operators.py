@@ -423,6 +423,23 @@ def test_forward_and_expected_counts_are_those_of_all_paths():
     assert np.allclose(moves, expected) and math.isclose(starts.sum(), 3) and math.isclose(emits.sum(), 8)
 
 
+def test_every_step_goes_over_all_training_texts(spark):
+    """Against the same steps in one process, on more texts than a sample would take."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, rng.integers(1, 6))) for _ in range(5000)]
+    rules = hmm_lm.HmmRules(own=16, buckets=16, iterations=1, warm_up=2)
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    model, counts = hmm_lm.train(rows, rules)
+    m = hmm_lm._initial(counts, rules)
+    tokens, n = hmm_lm._batch_tokens(rows.toArrow().combine_chunks().to_batches()[0])
+    packed, seen = hmm_lm.Packed(m.lookup(tokens)[0], n), []
+    for _ in range(3):
+        seen.append(packed.log_likelihood(packed.forward(m)[2]).sum())
+        m = hmm_lm._normalised(m, *packed.expected(m))
+    assert np.allclose(model.move, m.move) and np.allclose(model.emit, m.emit) and np.allclose(model.start, m.start)
+    assert np.allclose(model.likelihoods, seen) and seen[0] < seen[1] < seen[2]
+
+
 def test_states_beat_the_unigram_on_held_out_texts(spark):
     rows = read(spark, "/root/testdata/sf0.01", "documents")
     base, score = hmm_lm.score_texts(rows).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()

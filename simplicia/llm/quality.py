@@ -35,7 +35,7 @@ class QualityRules:
     word_slack: float = 1.2
     #: A word is common in a language from this share on, so a language has 625 at most.
     common_share: float = 0.0016
-    #: The largest languages have references; texts of others are judged by the base rules.
+    #: References of so many languages, the largest, go to every task; those of all others are joined to their texts.
     max_languages: int = 500
 
 
@@ -158,32 +158,52 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(cat(kind, np.int32)), pa.array(cat(item, np.int64)), pa.array(cat(count, np.int64))], ["lang", "kind", "item", "n"])
 
 
-def language_references(docs: DataFrame, rules: QualityRules) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+Reference = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def language_references(docs: DataFrame, rules: QualityRules) -> tuple[dict[str, Reference], DataFrame | None]:
     """For each language: characters by class, its common words' hashes in order, and
     their counts with all other words' last.
 
-    Counts cover all documents.  Only words of at least ``common_share`` of a
-    language come to the driver, so its size is bounded by languages times
-    1 / common_share.
+    Counts cover all documents.  Those of the largest languages come to the
+    driver, whose size is bounded by languages times 1 / common_share; those of
+    all others, if there are any, are a table (lang, chars, words, counts).
     """
     counts = written(docs.select("lang", "text").mapInArrow(_tally, "lang string, kind int, item long, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "quality-counts")
-    totals = counts.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(rules.max_languages)
-    shown = counts.join(F.broadcast(totals), "lang").where((F.col("kind") == 0) | (F.col("n") >= rules.common_share * F.col("total")))
-    references: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    rows = shown.toPandas()
+    totals = written(counts.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("total")), "quality-totals")
+    largest = totals.orderBy(F.desc("total"), "lang").limit(rules.max_languages)
+    common = (F.col("kind") == 0) | (F.col("n") >= rules.common_share * F.col("total"))
+    references: dict[str, Reference] = {}
+    rows = counts.join(F.broadcast(largest), "lang").where(common).toPandas()
     for lang, part in rows.groupby("lang"):
         chars = part[part.kind == 0].set_index("item").n.reindex(range(CLASSES), fill_value=0).to_numpy(float)
-        common = part[part.kind == 1]
-        u = common["item"].to_numpy(np.int64).view(U64)
-        order = np.argsort(u)
-        n = common["n"].to_numpy(float)[order]
-        references[str(lang)] = chars, u[order], np.append(n, float(part.total.iloc[0]) - n.sum())
-    return references
+        words = part[part.kind == 1]
+        references[str(lang)] = _reference(chars, words["item"].to_numpy(np.int64), words["n"].to_numpy(float), float(part.total.iloc[0]))
+    if totals.count() <= rules.max_languages:
+        return references, None
+    others = counts.join(totals.where(~F.col("lang").isin(list(references))), "lang").where(common)
+    pick = lambda kind, of: F.collect_list(F.when(F.col("kind") == kind, of))
+    # at most CLASSES and 1 / common_share items
+    return references, written(others.groupBy("lang").agg(pick(0, F.struct("item", "n")).alias("chars"), pick(1, F.struct("item", "n")).alias("words"), F.first("total").alias("total")), "quality-references")
+
+
+def _reference(chars: np.ndarray, items: np.ndarray, n: np.ndarray, total: float) -> Reference:
+    u = items.view(U64)
+    order = np.argsort(u)
+    return chars, u[order], np.append(n[order], total - n.sum())
+
+
+def _joined_reference(chars: list[dict], words: list[dict], total: int) -> Reference:
+    by_class = np.zeros(CLASSES)
+    by_class[[x["item"] for x in chars]] = [x["n"] for x in chars]
+    return _reference(by_class, np.array([x["item"] for x in words], np.int64), np.array([x["n"] for x in words], float), float(total))
 
 
 def _measured(docs: DataFrame, rules: QualityRules, name: str) -> DataFrame:
     """All columns of ``docs`` and the counts and distances, under ``name`` and their own names."""
-    references = docs.sparkSession.sparkContext.broadcast(language_references(docs, rules))
+    largest, others = language_references(docs, rules)
+    references = docs.sparkSession.sparkContext.broadcast(largest)
+    side = fresh(docs, "__r_")
     added = [T.StructField(name + c, T.LongType()) for c in COUNTS] + [T.StructField(name + c, T.DoubleType()) for c in ("char_distance", "word_distance")]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
@@ -192,13 +212,18 @@ def _measured(docs: DataFrame, rules: QualityRules, name: str) -> DataFrame:
             out = {c: np.zeros(n, np.int64) for c in COUNTS}
             char_distance, word_distance = np.zeros(n), np.zeros(n)
             languages = _languages(batch)
+            known = references.value
+            if f"{side}total" in batch.schema.names:  # the join gives all texts of a language the same
+                names, first = np.unique(languages, return_index=True)
+                parts = [batch.column(side + c).take(pa.array(first)).to_pylist() for c in ("chars", "words", "total")]
+                known = {name: _joined_reference(*x) for name, *x in zip(names, *parts, strict=True) if x[2] is not None}
             for w in words_of(batch.column("text"), lower=False):
                 rows = slice(w.first, w.last)
                 for c, x in base_counts(w).items():
                     out[c][rows] = x
                 classes, of_word = char_classes(w), w.text_of_word()
-                for lang in set(languages[rows]) & references.value.keys():
-                    chars, common, counts = references.value[lang]
+                for lang in set(languages[rows]) & known.keys():
+                    chars, common, counts = known[lang]
                     mine = np.flatnonzero(languages[rows] == lang)
                     char_distance[w.first + mine] = js_distance(classes[mine], chars)
                     k = len(common)
@@ -209,7 +234,13 @@ def _measured(docs: DataFrame, rules: QualityRules, name: str) -> DataFrame:
                     word_distance[w.first + mine] = js_distance(histogram[mine], counts)
             yield batch, [*(pa.array(out[c]) for c in COUNTS), pa.array(char_distance), pa.array(word_distance)]
 
-    return with_columns_by(docs, added, measure)
+    if others is None:
+        return with_columns_by(docs, added, measure)
+    own = F.coalesce("lang", F.lit(_NO_LANGUAGE))
+    large = with_columns_by(docs.where(own.isin(list(largest))), added, measure)
+    joined = docs.where(~own.isin(list(largest))).join(others.toDF(*(side + c for c in others.columns)), own == F.col(f"{side}lang"), "left")
+    small = with_columns_by(joined, added, measure).drop(*(side + c for c in others.columns))
+    return large.union(small)
 
 
 def _base_failed(rules: QualityRules, name: str):

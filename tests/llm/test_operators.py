@@ -358,6 +358,24 @@ def test_quality_rejects_divergent_texts(spark):
     assert sum(verdicts.values()) == 100
 
 
+def test_quality_judges_languages_beyond_the_largest(spark):
+    words = {k: [f"{k}{n}word" for n in range(30)] for k in ("aa", "bb", "cc")}
+    rng = np.random.default_rng(3)
+    rows = [(f"{k}{i}", " ".join(rng.choice(words[k], 80)), k) for k, m in (("aa", 60), ("bb", 30), ("cc", 20)) for i in range(m)]
+    rows += [(f"junk {k}", " ".join(f"#{n}$%9{k}" for n in range(200)), k) for k in words]
+    rows += [("null", " ".join(rng.choice(words["aa"], 80)), None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string").withColumn("a.b", F.lit(1))
+    full = {r["doc_id"]: r for r in quality.judge_quality(docs).collect()}
+    few = quality.QualityRules(max_languages=1)
+    found = quality.judge_quality(docs, few).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r["kept"] == full[r["doc_id"]]["kept"] == (not r["doc_id"].startswith("junk"))
+        assert np.allclose([r["char_distance"], r["word_distance"]], [full[r["doc_id"]]["char_distance"], full[r["doc_id"]]["word_distance"]])
+    kept = quality.keep_good(docs, few)
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 3
+
+
 # 8. language-model scores
 
 

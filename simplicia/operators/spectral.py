@@ -91,36 +91,45 @@ def embedding(matrices: DataFrame) -> DataFrame:
 
 
 def phases(edges: DataFrame, places: DataFrame) -> DataFrame:
-    """(u, v, phase) for field 1: half of (y_v - y_u) (x_v + x_u); a field multiplies it."""
-    a = places.select(F.col("node").alias("u"), F.col("x").alias("xu"), F.col("y").alias("yu"))
-    b = places.select(F.col("node").alias("v"), F.col("x").alias("xv"), F.col("y").alias("yv"))
-    return edges.join(a, "u").join(b, "v").select("u", "v", ((F.col("yv") - F.col("yu")) * (F.col("xv") + F.col("xu")) / 2).alias("phase"))
+    """(u, v, phase) for field 1: half of (y_v - y_u) (x_v + x_u); a field multiplies it.
+
+    With a column graph in both tables, each graph has its own places.
+    """
+    keys = ["graph"] if "graph" in edges.columns else []
+    a = places.select(*keys, F.col("node").alias("u"), F.col("x").alias("xu"), F.col("y").alias("yu"))
+    b = places.select(*keys, F.col("node").alias("v"), F.col("x").alias("xv"), F.col("y").alias("yv"))
+    return edges.join(a, [*keys, "u"]).join(b, [*keys, "v"]).select(*keys, "u", "v", ((F.col("yv") - F.col("yu")) * (F.col("xv") + F.col("xu")) / 2).alias("phase"))
 
 
 def butterfly(phased: DataFrame, fields: DataFrame, *, most_edges: int = 200_000) -> DataFrame:
     """(field, k, eigenvalue) of the magnetic Laplacian for each row of ``fields`` (field).
 
-    Fields are independent and spread over tasks; the graph goes to all of
-    them, so its size is checked against ``most_edges`` first.
+    With a column graph in both tables, each row's field is for its graph, and
+    graph comes first in the result.  Rows are independent and spread over
+    tasks; the graphs go to all of them, so their size together is checked
+    against ``most_edges`` first.
     """
-    rows = phased.select("u", "v", "phase").limit(most_edges + 1).toPandas()
+    many = "graph" in phased.columns
+    name = F.col("graph").cast("string") if many else F.lit("")
+    rows = phased.select(name.alias("graph"), "u", "v", "phase").limit(most_edges + 1).toPandas()
     if len(rows) > most_edges:
-        raise ValueError("the graph is too large for dense spectra")
-    shared = phased.sparkSession.sparkContext.broadcast((rows["u"].to_numpy(), rows["v"].to_numpy(), rows["phase"].to_numpy()))
+        raise ValueError("the graphs are too large for dense spectra")
+    shared = phased.sparkSession.sparkContext.broadcast({g: tuple(part[c].to_numpy() for c in ("u", "v", "phase")) for g, part in rows.groupby("graph")})
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        u, v, phase = shared.value
-        n = int(max(u.max(), v.max())) + 1 if len(u) else 0
-        diagonal = np.bincount(np.concatenate([u, v]), minlength=n)
+        nothing = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         for batch in batches:
-            for field in batch["field"]:
-                m = np.diag(diagonal.astype(complex))
+            for graph, field in zip(batch["graph"], batch["field"]):
+                u, v, phase = shared.value.get(graph, nothing)
+                n = int(max(u.max(), v.max())) + 1 if len(u) else 0
+                m = np.diag(np.bincount(np.concatenate([u, v]), minlength=n).astype(complex))
                 m[u, v] = -np.exp(1j * field * phase)
                 m[v, u] = -np.exp(-1j * field * phase)
                 values = np.linalg.eigvalsh(m)
-                yield pd.DataFrame({"field": field, "k": np.arange(len(values)), "eigenvalue": values})
+                yield pd.DataFrame({"graph": graph, "field": field, "k": np.arange(len(values)), "eigenvalue": values})
 
-    return fields.select(F.col("field").cast("double").alias("field")).mapInPandas(solve, "field double, k long, eigenvalue double")
+    found = fields.select(name.alias("graph"), F.col("field").cast("double").alias("field")).mapInPandas(solve, "graph string, field double, k long, eigenvalue double")
+    return found if many else found.drop("graph")
 
 
 def layout(edges: DataFrame, *, spring: float = 0.15, rounds: int = 50, seed: int = 42, scale: float = 300.0) -> DataFrame:

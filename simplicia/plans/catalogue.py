@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -370,21 +370,32 @@ def clique_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.clique_pairs(sampling.clique_items(X.part_pairs(spark, sf_dir), 8), labels, keep=0.75)
 
 
-def _graph(spark: SparkSession) -> DataFrame:
-    return written(spectral.largest_component(spectral.random_graph(spark, 100, 0.05)), "graph")
+#: The four random graphs of the reference's run, and its fields from 0 to 50.
+GRAPHS = (0.02, 0.05, 0.10, 0.30)
+FIELDS = 3000
+
+
+def _graphs(spark: SparkSession) -> DataFrame:
+    """(graph, u, v): the largest component of each, under its probability."""
+    return reduce(DataFrame.union, [written(spectral.largest_component(spectral.random_graph(spark, 100, p)), "graph").select(F.lit(f"{p:.2f}").alias("graph"), "u", "v") for p in GRAPHS])
+
+
+def _laplacians(edges: DataFrame) -> DataFrame:
+    return reduce(DataFrame.union, [spectral.laplacian(edges.where(F.col("graph") == f"{p:.2f}")).select(F.lit(f"{p:.2f}").alias("graph"), "row", "col", "value") for p in GRAPHS])
 
 
 @query()
 def spectral_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.spectral_gaps(spectral.spectra(spectral.laplacian(_graph(spark)).withColumn("graph", F.lit("g"))))
+    return spectral.spectral_gaps(spectral.spectra(_laplacians(_graphs(spark))))
 
 
 @query()
 def butterfly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _graph(spark)
-    places = spectral.embedding(spectral.laplacian(edges).withColumn("graph", F.lit("g")))
-    fields = spark.range(60).select((F.col("id") * (50 / 59)).alias("field"))
-    return spectral.butterfly(spectral.phases(edges, places), fields)
+    edges = _graphs(spark)
+    places = spectral.embedding(_laplacians(edges))
+    names = F.array(*(F.lit(f"{p:.2f}") for p in GRAPHS))
+    rows = spark.range(FIELDS * len(GRAPHS)).select(F.get(names, (F.col("id") % len(GRAPHS)).cast("int")).alias("graph"), (F.floor(F.col("id") / len(GRAPHS)) * (50 / (FIELDS - 1))).alias("field"))
+    return spectral.butterfly(spectral.phases(edges, places), rows)
 
 
 @query("""

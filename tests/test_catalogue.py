@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from simplicia.plans import catalogue, fixtures
@@ -80,3 +81,16 @@ def test_samples_of_a_graph_incomplete_by_its_data(spark, sf_dir):
     sample = catalogue.QUERIES["pairs_connected_all"](spark, sf_dir).select("left_item", "right_item")
     assert sample.subtract(pairs).isEmpty() and 3 <= sample.count() <= 200
     assert catalogue.QUERIES["clique_pairs_all"](spark, sf_dir).count() == 21  # three quarters of 28
+
+
+def test_spectra_of_all_graphs_and_fields(spark, sf_dir):
+    found = catalogue.QUERIES["butterfly"](spark, sf_dir).toPandas()
+    each = found.groupby("graph").field.agg(["nunique", "min", "max"])
+    assert each.index.tolist() == ["0.02", "0.05", "0.10", "0.30"]
+    assert (each["nunique"] == 3000).all() and (each["min"] == 0).all() and np.allclose(each["max"], 50)
+    plain = {}  # without a field it is the Laplacian's spectrum
+    for r in catalogue.spectral.spectra(catalogue._laplacians(catalogue._graphs(spark))).collect():
+        plain.setdefault(r["graph"], []).append(r["eigenvalue"])
+    for graph, part in found[found.field == 0].groupby("graph"):
+        assert np.allclose(np.sort(part.eigenvalue), np.sort(plain[graph]))
+    assert {r["graph"] for r in catalogue.QUERIES["spectral_gaps"](spark, sf_dir).collect()} == set(plain)

@@ -45,7 +45,7 @@ def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", topk.quantized(F.col("embedding")).alias("v"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     return topk.top_k(rows.where("vec_id % 20 = 0"), rows, 20)
 
 

@@ -275,41 +275,61 @@ def test_unigram_paths_are_the_library_s(tmp_path):
 # 6. top-k
 
 
+def brute_top_k(asked, rows, k, scale=1.0):
+    """Every score as an integer of any size, by query row."""
+    weight = lambda v: [topk.exact_weight(float(x), scale) for x in v]
+    rows = [(i, weight(v)) for i, v in rows]
+    out = []
+    for q, v in asked:
+        x = weight(v)
+        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in rows if i != q)[:k]
+        out += [(q, rank, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for rank, (s, i) in enumerate(best, 1)]
+    return out
+
+
 def test_top_k_against_all_scores(spark):
     rng = np.random.default_rng(2)
-    vectors = rng.integers(-3, 4, (400, 6)).tolist()
-    rows = [(k, v) for k, v in enumerate(vectors)] + [(1000, None), (None, [1] * 6), (1001, [])]
-    table = spark.createDataFrame(rows, "vec_id long, v array<long>").withColumn("score", F.lit(9))
+    rows = [*enumerate(rng.integers(-3, 4, (400, 6)).tolist()), (1001, [])]
+    table = spark.createDataFrame([*rows, (1000, None), (None, [1] * 6)], "vec_id long, v array<long>").withColumn("score", F.lit(9))
     asked = table.where("vec_id % 7 = 0")
     for k in (5, 1000):
-        expected = []
-        for q in [i for i in [*range(400), 1001] if i % 7 == 0]:
-            qv = np.array(vectors[q] if q < 400 else [0] * 6)
-            scored = sorted((-int(qv @ np.array(v)), i) for i, v in [*enumerate(vectors), (1001, [0] * 6)] if i != q)[:k]
-            expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
-        same(topk.top_k(asked, table, k), expected, "query_id", "rank", "vec_id", "score")
+        same(topk.top_k(asked, table, k, 1.0), brute_top_k([r for r in rows if r[0] % 7 == 0], rows, k), "query_id", "rank", "vec_id", "score")
     assert topk.top_k(empty(table), table).count() == 0 and topk.top_k(table, empty(table)).count() == 0
 
 
-def test_top_k_of_large_components(spark):
+def test_top_k_over_many_cells(spark, monkeypatch):
+    """Rounds of shards and blocks, copies and ties among them."""
+    monkeypatch.setattr(topk, "LEAST_ROWS", 16)
+    monkeypatch.setattr(topk, "CELL_BYTES", 8 * 5 * 20)
+    rng = np.random.default_rng(4)
+    rows = list(enumerate(rng.normal(0, 1, (600, 5)).astype(np.float32).tolist()))
+    rows += [(k, rows[7][1]) for k in range(600, 700)]
+    table = spark.createDataFrame(rows, "vec_id long, v array<float>")
+    same(topk.top_k(table.where("vec_id % 10 = 0"), table, 6), brute_top_k([r for r in rows if r[0] % 10 == 0], rows, 6, 64.0), "query_id", "rank", "vec_id", "score")
+
+
+@pytest.mark.parametrize("size", [2.0**28, 2.0**60, 1e200, 1.5e308])
+def test_top_k_of_large_components(spark, size):
+    """Sums beyond 53 and 64 bits, ties by one, opposite signs, and small vectors beside large ones."""
     rng = np.random.default_rng(9)
-    vectors = rng.integers(-(1 << 28), 1 << 28, (60, 5)).tolist()
-    table = spark.createDataFrame([(k, v) for k, v in enumerate(vectors)] + [(60, vectors[0])], "vec_id long, v array<long>")
-    every = [*enumerate(vectors), (60, vectors[0])]
-    expected = []
-    for q, x in every:
-        scored = sorted((-sum(a * b for a, b in zip(x, v)), i) for i, v in every if i != q)[:4]
-        expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
-    same(topk.top_k(table, table, 4), expected, "query_id", "rank", "vec_id", "score")
-    with pytest.raises(OverflowError):
-        topk.top_k(table.withColumn("v", F.transform("v", lambda x: x * 64)), table)
-
-
-def test_quantized_leaves_out_what_isn_t_finite(spark):
-    rows = [(1, [0.5, -0.51]), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, None), (5, [float("inf")]), (6, [])]
-    table = spark.createDataFrame(rows, "vec_id long, e array<float>")
-    found = {r["vec_id"]: r["v"] for r in table.select("vec_id", topk.quantized(F.col("e")).alias("v")).collect()}
-    assert found == {1: [32, math.floor(64 * float(np.float32(-0.51)))], 2: None, 3: None, 4: None, 5: None, 6: []}
+    vectors = (rng.uniform(-1, 1, (40, 5)) * size).tolist() + rng.integers(-9, 9, (20, 5)).astype(float).tolist()
+    vectors += [[size, 1.0, 0, 0, 0], [size, 2.0, 0, 0, 0], [1e15, 1.0], [-size, 0, 0, 0, 0], vectors[0]]
+    rows = list(enumerate(vectors))
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, v array<double>")
+    same(topk.top_k(table, table, 7), brute_top_k(rows, rows, 7, 64.0), "query_id", "rank", "vec_id", "score")
+
+
+def test_top_k_of_repeated_ids(spark):
+    """A repeated id has a list for each of its rows, in which none of its rows stand."""
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 5.0])]
+    table = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    same(topk.top_k(table.where("vec_id = 20"), table, 3), brute_top_k([r for r in rows if r[0] == 20], rows, 3, 64.0), "query_id", "rank", "vec_id", "score")
+
+
+def test_top_k_leaves_out_what_isn_t_finite(spark):
+    rows = [(1, [0.5, -0.51]), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, None), (5, [float("inf")]), (6, []), (7, [1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, v array<float>")
+    same(topk.top_k(table, table), [(1, 1, 7, 32 * 64), (1, 2, 6, 0), (6, 1, 1, 0), (6, 2, 7, 0), (7, 1, 1, 32 * 64), (7, 2, 6, 0)], "query_id", "rank", "vec_id", "score")
 
 
 # 7. quality rules

@@ -3,8 +3,8 @@
 Every document gets a hash-random key.  Within a source the documents are
 ordered by that key; equal-width ranges of the key are the sort partitions, so
 no sampling is needed and reruns agree.  Sums by range, prefix sums over the
-ranges and a prefix sum inside the one range that holds the cut find the key
-up to which a source's documents are taken once more than its whole epochs.
+ranges and prefix sums inside the one range that holds the cut find the key
+before which a source's documents are taken once more than its whole epochs.
 """
 
 from __future__ import annotations
@@ -20,7 +20,11 @@ from simplicia.llm.shared import WORD, fresh, written
 SEED = "mix-1"
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-RANGE_ROWS = 4096
+#: Rows of a range of keys, about.
+RANGE_ROWS = 64
+#: Rows with the key of a cut that are numbered together.
+TIED_ROWS = 4096
+KEY_DIGITS = 32
 
 
 def _keyed(docs: DataFrame, seed: str, name: str) -> DataFrame:
@@ -58,41 +62,74 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epoch
     )
 
 
+def _holding(sums: DataFrame, found: DataFrame, digits: int) -> DataFrame:
+    """(source, prefix, before, rest, words, n): of the longer prefixes within the ones found, the one that holds the cut.
+
+    ``sums`` has source, key (or the beginnings of keys), words and n.
+    """
+    inside = sums.join(found.select(F.col("source").alias("of"), "prefix", F.col("before").alias("start"), "rest"), F.col("source").eqNullSafe(F.col("of")) & F.startswith("key", "prefix"))
+    level = inside.groupBy("source", F.substring("key", 1, digits).alias("prefix")).agg(F.sum("words").alias("words"), F.sum("n").alias("n"), F.first("start").alias("start"), F.first("rest").alias("rest"))
+    up_to = Window.partitionBy("source").orderBy("prefix")
+    level = level.withColumn("before", F.col("start") + F.sum("words").over(up_to) - F.col("words"))
+    return level.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))).select("source", "prefix", "before", "rest", "words", "n")
+
+
 def _cuts(sized: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFrame:
-    """(source, source_size, target, epochs, cut): keys up to cut count once more."""
+    """(source, source_size, target, epochs, cut, n, m): keys before cut count once more, and m of the n rows with that key.
+
+    The cut is looked for among the ranges of keys that begin alike, then among
+    the ranges of the one that holds it, then among its keys, so a task never
+    orders more than the square root of the rows of a source, or the few keys
+    of a range.  Rows with one key have one size, and are counted first.
+    """
     rows = sized.count()
-    digits = max(1, math.ceil(math.log(max(rows, 1) / RANGE_ROWS, 16))) if rows > RANGE_ROWS else 1
-    ranged = sized.withColumn("range", F.substring("key", 1, digits))
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    sources = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
+    digits = max(2, math.ceil(math.log(max(rows, 1) / RANGE_ROWS, 16))) if rows > RANGE_ROWS else 2
+    ranges = written(sized.groupBy("source", F.substring("key", 1, digits).alias("key")).agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-ranges")
+    sources = source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    sources = sources.withColumn("epochs", whole).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    parts = sources.select(F.col("source").alias("of"), "rest")
-    up_to = Window.partitionBy("source").orderBy("range")
-    at_cut = (
-        sums.withColumn("before", F.sum("words").over(up_to) - F.col("words"))
-        .join(parts, F.col("source").eqNullSafe(F.col("of")))
-        .where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
-        .select("of", F.col("range").alias("cut_range"), "before", "rest")
-    )
-    in_range = Window.partitionBy("source", "range").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
-    cut = (
-        ranged.join(at_cut, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("cut_range")))
-        .withColumn("upto", F.col("before") + F.sum("size").over(in_range))
-        .groupBy("source")
-        .agg(F.coalesce(F.max(F.when(F.col("upto") - F.col("size") / 2 <= F.col("rest"), F.col("key"))), F.min("range")).alias("cut"))
-    )
-    cut = cut.select(F.col("source").alias("of"), "cut")
-    return sources.join(cut, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "epochs", "cut")
-
-
-def _with_copies(docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: str, name: str) -> DataFrame:
-    """The rows with size, key, source_size, target and copies, all under ``name`` and their own names."""
-    keyed = _keyed(docs, seed, name)
-    sized = written(keyed.select("source", F.col(f"{name}size").alias("size"), F.col(f"{name}key").alias("key")), "mix-sizes")
-    cuts = written(_cuts(sized, weights, max_epochs), "mix-cuts").select(*(F.col(c).alias(name + c) for c in ("source", "source_size", "target", "epochs", "cut")))
+    sources = written(sources.withColumn("epochs", whole).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-sources")
+    found = sources.select("source", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"), "rest")
+    for level in sorted({digits // 2, digits}):
+        found = _holding(ranges, found, level)
+    keys = _holding(sized.select("source", "key", F.col("size").alias("words"), F.lit(1).cast("long").alias("n")), written(found, "mix-found"), KEY_DIGITS)
+    # a row counts where the middle of its words lies before the cut
+    fit = F.floor((F.col("rest") - F.col("before")) / (F.col("words") / F.col("n")) + 0.5).cast("long")
+    keys = keys.select(F.col("source").alias("of"), F.col("prefix").alias("cut"), "n", F.least(fit, F.col("n")).alias("m"))
+    cuts = sources.join(keys, F.col("source").eqNullSafe(F.col("of")), "left")
+    # rounding may leave a whole epoch as the rest
+    more = F.when(F.col("cut").isNull() & (F.col("source_size") > 0) & (F.col("rest") >= F.col("source_size")), 1).otherwise(0)
+    return cuts.select("source", "source_size", "target", (F.col("epochs") + more).alias("epochs"), "cut", "n", "m")
+
+
+def _chosen(tied: DataFrame, name: str) -> DataFrame:
+    """``tied`` (rows at the cut of their source) with a column ``name``chosen: 1 for m of each n, else 0.
+
+    The rows are dealt into parts by place, m goes to whole parts as long as
+    they fit, and the one part after them is numbered.
+    """
+    at, part, rank, before = (name + c for c in ("at", "part", "rank", "before"))
+    tied = written(tied.withColumn(at, F.monotonically_increasing_id()), "mix-tied")
+    parts = F.greatest(F.lit(1), F.ceil(F.col(f"{name}n") / F.lit(TIED_ROWS)))
+    tied = tied.withColumn(part, F.pmod(F.xxhash64(at), parts))
+    sizes = tied.groupBy(F.col(f"{name}source").alias(f"{name}of"), F.col(part).alias(f"{name}in")).agg(F.count("*").alias(f"{name}rows"))
+    sizes = sizes.withColumn(before, F.sum(f"{name}rows").over(Window.partitionBy(f"{name}of").orderBy(f"{name}in")) - F.col(f"{name}rows"))
+    joined = tied.join(sizes, F.col(f"{name}source").eqNullSafe(F.col(f"{name}of")) & (F.col(part) == F.col(f"{name}in")))
+    joined = joined.withColumn(rank, F.row_number().over(Window.partitionBy(f"{name}of", part).orderBy(at)))
+    return joined.withColumn(f"{name}chosen", F.when(F.col(before) + F.col(rank) <= F.col(f"{name}m"), 1).otherwise(0))
+
+
+def _with_copies(keyed: DataFrame, cuts: DataFrame, name: str) -> DataFrame:
+    """``keyed`` (rows with source, and size and key under ``name``) with source_size, target and copies under ``name``."""
+    split = not cuts.where("m > 0 AND m < n").isEmpty()
+    cuts = cuts.select(*(F.col(c).alias(name + c) for c in cuts.columns))
+    key, cut, m, n = (F.col(name + c) for c in ("key", "cut", "m", "n"))
     joined = keyed.join(cuts, F.col("source").eqNullSafe(F.col(f"{name}source")))
-    return joined.withColumn(f"{name}copies", F.col(f"{name}epochs") + F.when(F.col(f"{name}key") <= F.col(f"{name}cut"), 1).otherwise(0))
+    at_cut = F.coalesce((key == cut) & (m > 0) & (m < n), F.lit(False))
+    plain = joined.withColumn(f"{name}chosen", F.when((key < cut) | ((key == cut) & (m == n)), 1).otherwise(0))
+    if split:
+        # several rows share the key at which a source is cut
+        plain = plain.where(~at_cut).unionByName(_chosen(joined.where(at_cut), name).select(*(F.col(f"`{c}`") for c in plain.columns)))
+    return plain.withColumn(f"{name}copies", F.col(f"{name}epochs") + F.col(f"{name}chosen"))
 
 
 def plan_mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
@@ -104,12 +141,15 @@ def plan_mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_epochs: i
     times all of a source and once more those before the cut, so a source is
     at most half a document off its target.  A document without words has
     size and taken 0.  A null source is a source of its own.  Rows that agree
-    in doc_id and text share a key and are taken together.  An empty table
-    gives no rows.  The table of sources is one row per source and is ranked
-    in one task.
+    in doc_id and text share a key; where the cut falls among them, as many of
+    them as fit are taken once more, one like the other.  An empty table gives
+    no rows.  The table of sources is one row per source and is ranked in one
+    task.
     """
-    rows = _with_copies(docs.select("doc_id", "text", "source"), weights, max_epochs, seed, "__")
-    return rows.select(
+    keyed = _keyed(docs.select("doc_id", "text", "source"), seed, "__").drop("text")
+    keyed = written(keyed, "mix-sizes")
+    cuts = written(_cuts(keyed.select("source", F.col("__size").alias("size"), F.col("__key").alias("key")), weights, max_epochs), "mix-cuts")
+    return _with_copies(keyed, cuts, "__").select(
         "doc_id",
         F.col("__size").alias("size"),
         F.col("__source_size").alias("source_size"),
@@ -120,9 +160,14 @@ def plan_mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_epochs: i
 
 def mix_documents(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mixed documents themselves, with the columns of ``docs``; a document
-    that is taken k times stands there k times."""
+    that is taken k times stands there k times.  Nulls, ties and repeated rows
+    are as in ``plan_mix``; of rows that agree in doc_id and text but differ
+    elsewhere, any may be the ones that are taken once more."""
     name = fresh(docs, "__mix_")
-    rows = _with_copies(docs, weights, max_epochs, seed, name).where(F.col(f"{name}copies") > 0)
+    keyed = _keyed(docs, seed, name)
+    sized = written(keyed.select("source", F.col(f"{name}size").alias("size"), F.col(f"{name}key").alias("key")), "mix-sizes")
+    cuts = written(_cuts(sized, weights, max_epochs), "mix-cuts")
+    rows = _with_copies(keyed, cuts, name).where(F.col(f"{name}copies") > 0)
     return rows.withColumn(f"{name}copy", F.explode(F.sequence(F.lit(1), F.col(f"{name}copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
@@ -149,7 +194,7 @@ parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM targets),
 running AS (
   SELECT d.doc_id, d.size, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size AS rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM sized d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
        CAST(size * (epochs + CASE WHEN upto - size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken

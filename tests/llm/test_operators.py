@@ -10,6 +10,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -515,6 +516,29 @@ def test_mixed_documents_hold_what_the_plan_says(nasty):
     assert mixing.mix_documents(nasty).columns == nasty.columns
 
 
+@pytest.mark.parametrize("together", [4096, 8])
+def test_mix_cuts_among_equal_rows(spark, monkeypatch, together):
+    """Equal rows share a key; as many of them are taken as fit, in the plan and in the mix."""
+    monkeypatch.setattr(mixing, "TIED_ROWS", together)
+    rows = [(None, "a b c", "x")] * 100 + [(None, "d e f", "y")] * 100 + [(5, "same row", None)] * 40 + [(k, "w " * (k % 7), None) for k in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7).withColumn("a.b", F.lit(1))
+    found = mixing.plan_mix(table).collect()
+    taken: Counter = Counter()
+    target = {}
+    for r in found:
+        target[r["source_size"], r["target"]] = r["target"]
+        taken[r["source_size"], r["target"]] += r["taken"]
+    assert len(target) == 3 and all(abs(taken[k] - target[k]) <= 3 for k in target)
+    duck = duckdb.connect()
+    duck.register("documents", pa.table(dict(zip(("doc_id", "text", "source"), zip(*rows)))))
+    columns = ("doc_id", "size", "source_size", "target", "taken")
+    expected = duck.sql(f"SELECT {', '.join(columns)} FROM ({mixing.PLAN_MIX_SQL})").fetchall()
+    assert Counter((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in found) == Counter((*r[:3], round(r[3], 6), r[4]) for r in expected)
+    mixed = mixing.mix_documents(table)
+    assert mixed.columns == table.columns
+    assert sum(len(WORD.findall(r["text"])) for r in mixed.collect()) == sum(taken.values())
+
+
 # 10. toxicity
 
 

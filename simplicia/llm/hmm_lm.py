@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simplicia.llm.kernel import U64, mix, words_of
+from simplicia.llm.kernel import U64, mix, text_buffers, words_of
 from simplicia.llm.shared import written
 
 
@@ -30,15 +30,14 @@ class HmmRules:
     #: Tokens with a class of their own, and buckets for all others.
     own: int = 2048
     buckets: int = 2048
-    iterations: int = 2
-    #: Steps before those; every step goes over all training texts, whatever their number.
-    warm_up: int = 12
+    #: Baum-Welch steps; every step goes over all training texts, whatever their number.
+    steps: int = 8
     #: Tokens whose counts every task holds, at most; counts of all others are joined.
     held: int = 1 << 18
     smooth: float = 0.1
     seed: int = 11
     #: Tokens of the texts that a task runs the recursions on at a time.
-    together: int = 600_000
+    together: int = 200_000
 
 
 END = int(mix(np.array([0x454E44], U64)).view(np.int64)[0])
@@ -158,12 +157,17 @@ class Packed:
         return gamma[: at[1]].sum(0), moves, emits
 
 
-def _groups(lengths: np.ndarray, together: int) -> Iterator[tuple[int, int]]:
-    ends = np.cumsum(lengths)
+def _groups(lengths: np.ndarray, together: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts of like length together, longest first: their numbers, and the places of their tokens."""
+    order = np.argsort(-lengths, kind="stable")
+    first = np.cumsum(lengths) - lengths
+    ends = np.cumsum(lengths[order])
     i = 0
-    while i < len(lengths):
+    while i < len(order):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + together, side="right")))
-        yield i, j
+        rows = order[i:j]
+        n = lengths[rows]
+        yield rows, np.arange(n.sum()) + np.repeat(first[rows] - (np.cumsum(n) - n), n)
         i = j
 
 
@@ -204,12 +208,10 @@ def _improve(encoded: DataFrame, model: Model) -> Model:
         kind = np.dtype(_class_type(m))
         total = np.zeros(size + 1)
         for batch in batches:
-            texts = batch.column("classes").to_pylist()
-            classes = np.frombuffer(b"".join(texts), kind).astype(np.int64)
-            n = np.array([len(x) // kind.itemsize for x in texts], np.int64)
-            at = np.concatenate([[0], np.cumsum(n)])
-            for i, j in _groups(n, m.rules.together):
-                packed = Packed(classes[at[i] : at[j]], n[i:j])
+            data, at = text_buffers(batch.column("classes"))
+            classes, n = np.frombuffer(data.tobytes(), kind), np.diff(at) // kind.itemsize
+            for rows, places in _groups(n, m.rules.together):
+                packed = Packed(classes[places].astype(np.int64), n[rows])
                 start, moves, emits = packed.expected(m)
                 total += np.concatenate([start, moves.ravel(), emits.ravel(), [packed.likelihood]])
         slots = np.flatnonzero(total).astype(np.int32)
@@ -230,18 +232,21 @@ def _normalised(m: Model, start: np.ndarray, move: np.ndarray, emit: np.ndarray)
 
 
 def _most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
-    """The tokens whose counts are above the least threshold that at most ``most`` tokens pass, in order of count.
+    """The ``most`` most frequent tokens, ties to the smaller hash, in order of count.
 
-    The threshold comes from how many tokens have each count, summed up in
-    steps of 1/64 of a power of two, so the driver gets some thousand rows
-    and then ``most`` at most.
+    How many tokens have each count, in steps of 1/64 of a power of two, gives
+    the steps that fit whole; only the next step is sorted, for what is left.
+    The driver gets some thousand rows, and then ``most`` at most.
     """
     step = F.floor(F.log2("c") * 64).cast("int")
     steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).toPandas().sort_values("step", ascending=False)
-    fit = steps["step"][steps["n"].cumsum() <= most]
-    if not len(fit):
-        return counts.limit(0).toPandas()
-    return counts.where(step >= int(fit.min())).toPandas().sort_values(["c", "token"], ascending=[False, True], ignore_index=True)
+    whole = steps["n"].cumsum() <= most
+    left = most - int(steps["n"][whole].sum())
+    parts = [counts.where(step >= int(steps["step"][whole].min())).toPandas()] if whole.any() else []
+    if left and not whole.all():
+        parts.append(counts.where(step == int(steps["step"][~whole].max())).orderBy(F.desc("c"), "token").limit(left).toPandas())
+    top = pd.concat(parts) if parts else counts.limit(0).toPandas()
+    return top.sort_values(["c", "token"], ascending=[False, True], ignore_index=True)
 
 
 def _initial(counts: DataFrame, rules: HmmRules) -> Model:
@@ -269,7 +274,7 @@ def train(docs: DataFrame, rules: HmmRules = HmmRules()) -> tuple[Model, DataFra
     counts = written(docs.select("text").mapInArrow(_count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")), "token-counts")
     model = _initial(counts, rules)
     encoded = written(_encoded(docs, model), "classes")
-    for _ in range(rules.warm_up + rules.iterations):
+    for _ in range(rules.steps):
         model = _improve(encoded, model)
     return model, counts
 
@@ -287,22 +292,21 @@ def _partial_scores(docs: DataFrame, model: Model) -> DataFrame:
         log_count = np.log10(m.held_count + r.smooth)
         for batch in batches:
             tokens, n = _batch_tokens(batch)
-            at = np.concatenate([[0], np.cumsum(n)])
             known, open_, base, full = (np.zeros(len(n)) for _ in range(4))
-            for i, j in _groups(n, r.together):
-                h = tokens[at[i] : at[j]]
+            for texts, places in _groups(n, r.together):
+                h = tokens[places]
                 classes, held = m.lookup(h)
-                of = np.repeat(np.arange(j - i), n[i:j])
-                add = lambda x, of=of, k=j - i: np.bincount(of, weights=x, minlength=k)
+                of = np.repeat(np.arange(len(texts)), n[texts])
+                add = lambda x, of=of, k=len(texts): np.bincount(of, weights=x, minlength=k)
                 count = np.where(held >= 0, log_count[held], 0.0) if len(log_count) else np.zeros(len(h))
-                known[i:j] = add((held >= 0).astype(float))
-                open_[i:j] = add((held < 0).astype(float))
-                base[i:j] = add(count - in_all)
+                known[texts] = add((held >= 0).astype(float))
+                open_[texts] = add((held < 0).astype(float))
+                base[texts] = add(count - in_all)
                 shared_class = classes >= r.own
                 bucket = np.where(shared_class, classes - r.own, 0)
                 within = np.where(shared_class, count - in_bucket[bucket], 0.0)
-                packed = Packed(classes, n[i:j])
-                full[i:j] = add(within) + packed.log_likelihood(packed.forward(m)[2]) / np.log(10)
+                packed = Packed(classes, n[texts])
+                full[texts] = add(within) + packed.log_likelihood(packed.forward(m)[2]) / np.log(10)
             arrays = [batch.column("doc_id"), batch.column("key"), pa.array(n), pa.array(known.astype(np.int64)), pa.array(open_.astype(np.int64)), pa.array(base), pa.array(full)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n_tokens", "n_held", "n_open", "base", "full"])
 

@@ -52,10 +52,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts and the offsets of each; a null text counts as empty."""
+    """Bytes of all texts (or binary values) and the offsets of each; a null text counts as empty."""
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = pc.fill_null(column, "")
-    column = column.cast(pa.large_string())
+        column = pc.fill_null(column, b"" if binary else "")
+    column = column.cast(pa.large_binary() if binary else pa.large_string())
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()

@@ -130,9 +130,8 @@ def _signatures(docs: DataFrame, rules: DedupRules) -> DataFrame:
             n, a, b, keys, bits = [], [], [], [], []
             for w in words_of(batch.column("text"), lower=True):
                 sets = list(shingle_sets(w, rules.shingle_words))
-                n.append(np.array([len(s) for s in sets], np.int64))
-                a.append(np.array([mix(s).sum() for s in sets], U64))
-                b.append(np.array([mix(s ^ U64(0x5851F42D4C957F2D)).sum() for s in sets], U64))
+                for into, digest in zip((n, a, b), _digests(sets), strict=True):
+                    into.append(digest)
                 made = sketch(sets, rules.bands * rules.rows, rules.seed)
                 keys.append(band_keys(made, rules.rows))
                 bits.append(low_bits(made, rules.bits))
@@ -144,19 +143,28 @@ def _signatures(docs: DataFrame, rules: DedupRules) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(signed, f"doc_id {kind}, n long, a long, b long, bands array<long>, bits array<long>")
 
 
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and two digests of each set."""
+    return np.array([len(s) for s in sets], np.int64), np.array([mix(s).sum() for s in sets], U64), np.array([mix(s ^ U64(0x5851F42D4C957F2D)).sum() for s in sets], U64)
+
+
 def _full_sets(docs: DataFrame, rules: DedupRules) -> DataFrame:
-    """rep, shingles: the sorted set of each text."""
+    """rep, shingles: the sorted set of each representative, from those of its texts that have its digests a and b."""
     kind = dict(docs.dtypes)["rep"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words_of(batch.column("text"), lower=True):
                 sets = list(shingle_sets(w, rules.shingle_words))
+                part = batch.slice(w.first, w.last - w.first)
+                _, a, b = _digests(sets)
+                mine = (a == part.column("a").to_numpy().view(U64)) & (b == part.column("b").to_numpy().view(U64))
+                sets = [s for s, fits in zip(sets, mine, strict=True) if fits]
                 at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(w.first, w.last - w.first), pa.ListArray.from_arrays(pa.array(at), values)], ["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("rep").filter(pa.array(mine)), pa.ListArray.from_arrays(pa.array(at), values)], ["rep", "shingles"])
 
-    return docs.select("rep", "text").mapInArrow(made, f"rep {kind}, shingles array<long>")
+    return docs.select("rep", "a", "b", "text").mapInArrow(made, f"rep {kind}, shingles array<long>")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -232,27 +240,34 @@ def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 def find_components(docs: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
-    ``docs`` has doc_id (unique, not null) and text; other columns are ignored.
+    ``docs`` has doc_id and text; other columns are ignored.
     A-Z are lower-cased.  A text with fewer words than a shingle is one
     shingle; a null text or one without words has an empty set and is linked
     with nothing.  Two texts are linked where 100 * intersection >= percent *
     union; component_id is the smallest doc_id that links reach.  Repeated
-    rows of a doc_id stay rows; rows with a null doc_id come back with a null
-    component.  Shingles are compared by 64-bit hashes, sets by 128-bit
+    rows of a doc_id stay rows; where they hold different texts, the document
+    is linked with whatever one of its texts is.  Rows with a null doc_id come
+    back with a null component.  Shingles are compared by 64-bit hashes, sets by 128-bit
     digests.  No bucket is capped, and no pair of equal sets is ever made.
     """
     signed = written(_signatures(docs, rules), "signatures")
     filled = signed.where("n > 0 AND doc_id IS NOT NULL")
     reps = filled.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "bits"), "doc_id").alias("sketch"))
     reps = written(reps.select("n", "a", "b", "rep", "sketch.bands", "sketch.bits"), "representatives")
+    # a doc_id may stand for several texts; then the texts' digests tell them apart
+    texts_of = filled.select("doc_id", "n", "a", "b").groupBy("doc_id").agg(F.min(F.struct("n", "a", "b")).alias("one"), F.max(F.struct("n", "a", "b")).alias("other")).where("one <> other")
+    several = not texts_of.isEmpty()
+    if several:
+        reps = written(reps.withColumn("rep", F.struct(F.col("rep").alias("doc_id"), "a", "b")), "representatives")
+    doc_id = F.col("rep.doc_id") if several else F.col("rep")
 
     # Buckets of one text alone need no comparison.
     rows = reps.where("n > 1").select("rep", "n", F.explode("bands").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("k"), F.min("rep").alias("leader")).where("k > 1").drop("k")
     shared = written(rows.join(buckets, "bucket").select("bucket", "rep", "n", "leader"), "buckets")
 
-    needed = shared.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep")
+    needed = reps.join(shared.select("rep").distinct(), "rep").select("rep", doc_id.alias("of"), "a", "b")
+    texts = docs.select(F.col("doc_id").alias("of"), "text").join(needed, "of")
     sets = written(_full_sets(texts, rules).dropDuplicates(["rep"]), "sets")
 
     stars = shared.where("rep <> leader").select(F.col("leader").alias("x"), F.col("rep").alias("y")).distinct()
@@ -268,9 +283,16 @@ def find_components(docs: DataFrame, rules: DedupRules = DedupRules()) -> DataFr
     rest = marked.where("rep <> leader").join(mixed, "bucket").join(distances, ["leader", "rep"]).select("bucket", "rep", "n", "component", "distance")
     across = _across(written(rest, "unsettled"), sets, reps.select("rep", "bits"), rules)
     second = _linked(_compared(across, sets), rules.percent)
-    label = components(first.union(second)).select(F.col("node").alias("rep"), "component")
-
+    links = first.union(second)
+    if several:
+        # all texts of a document with that of its smallest digests
+        every = filled.join(texts_of, "doc_id").select("one", "n", "a", "b").distinct().join(reps.select("n", "a", "b", "rep"), ["n", "a", "b"])
+        least = every.where(F.col("one") == F.struct("n", "a", "b")).select("one", F.col("rep").alias("x")).distinct()
+        links = links.union(every.join(least, "one").where("x <> rep").select("x", F.col("rep").alias("y")))
+    label = components(links).select(F.col("node").alias("rep"), "component")
     named = reps.select("n", "a", "b", "rep").join(label, "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))
+    if several:
+        named = named.withColumn("component", F.col("component.doc_id"))
     found = signed.select("doc_id", "n", "a", "b").join(named, ["n", "a", "b"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

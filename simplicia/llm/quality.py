@@ -53,7 +53,8 @@ _CLASS[0x80:0xC0] = _CONTINUATION
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _SPACES = (_CLASS == 3) | (_CLASS == 4)
-_NO_LANGUAGE = ""
+#: Languages are told apart by their names after this sign; no name at all is null, which is not the empty name.
+_NAMED, _NO_LANGUAGE = "=", ""
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -132,7 +133,7 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 
 
 def _languages(batch: pa.RecordBatch) -> np.ndarray:
-    return np.array([_NO_LANGUAGE if x is None else x for x in batch.column("lang").to_pylist()], object)
+    return np.array([_NO_LANGUAGE if x is None else _NAMED + x for x in batch.column("lang").to_pylist()], object)
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +237,7 @@ def _measured(docs: DataFrame, rules: QualityRules, name: str) -> DataFrame:
 
     if others is None:
         return with_columns_by(docs, added, measure)
-    own = F.coalesce("lang", F.lit(_NO_LANGUAGE))
+    own = F.coalesce(F.concat(F.lit(_NAMED), "lang"), F.lit(_NO_LANGUAGE))
     large = with_columns_by(docs.where(own.isin(list(largest))), added, measure)
     joined = docs.where(~own.isin(list(largest))).join(others.toDF(*(side + c for c in others.columns)), own == F.col(f"{side}lang"), "left")
     small = with_columns_by(joined, added, measure).drop(*(side + c for c in others.columns))
@@ -261,8 +262,9 @@ def judge_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> Data
     ``docs`` has doc_id, text and lang; other columns are ignored.  Returns
     doc_id, the counts, base_failed, kept, char_distance and word_distance, one
     row for each input row.  A null or empty text has no words, so it fails
-    the base rules; a null language is a language of its own.  Words, lines
-    and windows are compared by 64-bit hashes.
+    the base rules; a null language is a language of its own, and so is the
+    empty one.  Repeated rows are judged alike, and count in the references as
+    often as they stand.  Words, lines and windows are compared by 64-bit hashes.
     """
     m = _measured(docs.select("doc_id", "text", "lang"), rules, "")
     failed = _base_failed(rules, "")

@@ -33,6 +33,8 @@ LEAST_ROWS = 2048
 GROWTH = 16
 #: Rows and queries that are multiplied at once.
 STEP_ROWS, STEP_QUERIES = 2048, 256
+#: Competitive rows are probed one by one where they are fewer than one in so many.
+FEW = 256
 #: Sums of integers below this are exact in float64.
 EXACT = 2.0**53
 #: Components beyond this are scaled down where scores are estimated.
@@ -143,9 +145,16 @@ def _competitive(q: np.ndarray, postings: np.ndarray, spare: np.ndarray, high: n
     fresh = np.isneginf(need)  # without a threshold all dimensions are essential, so the sums are whole
     if fresh.any() and partial.shape[1] > k:
         need[fresh] = np.partition(partial[fresh], -k, axis=1)[:, -k] - 2 * error[fresh]
-    query, row = np.nonzero((partial >= need[:, None]) & ~np.isneginf(partial))
+    competitive = partial >= np.maximum(need, np.finfo(float).min)[:, None]
+    rest = spare.any(0)
+    if rest.any() and competitive.sum() * FEW > competitive.size:
+        # many rows stay competitive: the other postings are probed for all of them at once
+        partial += np.where(spare, q, 0.0)[:, rest] @ postings[rest]
+        competitive = partial >= np.maximum(np.where(fresh, need, least - error), np.finfo(float).min)[:, None]
+        rest[:] = False
+    query, row = np.nonzero(competitive)
     score = partial[query, row]
-    probed = np.flatnonzero(spare.any(1)[query])
+    probed = np.flatnonzero(spare.any(1)[query]) if rest.any() else ()
     if len(probed):
         score[probed] += np.einsum("ij,ij->i", np.where(spare, q, 0.0)[query[probed]], postings.T[row[probed]])
         reach = score + error[query] >= least[query]

@@ -2,11 +2,11 @@
 
 Voters are lexicon entries (words and beginnings of words that labelled toxic
 texts hold more often than others) and fixed patterns of shouting and symbols.
-A generative label model estimates how often each voter fires on toxic and on
-other texts, how voters depend on each other, and so a posterior for each
-text of the training sample; dependent voters share their weight.  A linear
-classifier over text features is trained on the posteriors and scores all
-texts.
+Labels choose the entries and have no vote.  A generative label model
+estimates from the votes of all training documents, labelled or not, how often
+each voter fires on toxic and on other texts and how voters depend on each
+other; dependent voters share their weight.  A linear classifier over text
+features is trained on the model's posteriors and scores all texts.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from simplicia.llm.shared import fresh, with_columns_by, written
 
 @dataclass(frozen=True)
 class ToxicityRules:
-    #: Documented bound: the classifier and the label model learn from a hash sample of so many labelled rows.
+    #: Documented bound: voters are chosen, and the classifier fitted, on a hash sample of so many labelled rows.
     max_labelled: int = 50_000
     #: A feature is looked at if so many toxic texts of the sample, and this share of them, hold it.
     min_texts: int = 3
@@ -35,6 +35,7 @@ class ToxicityRules:
     #: Log-likelihood ratio of voters and of the classifier's features, and their most.
     voter_ratio: float = 14.0
     feature_ratio: float = 10.0
+    #: Lexicon entries at most; with the other voters a text's votes fit into 64 bits.
     voters: int = 60
     features: int = 4096
     em_rounds: int = 15
@@ -151,7 +152,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _distinct_voters(text: np.ndarray, feature: np.ndarray, ratio: np.ndarray, n: int, rules: ToxicityRules) -> list[int]:
+def _distinct_voters(text: np.ndarray, feature: np.ndarray, ratio: np.ndarray, n: int, rules: ToxicityRules) -> np.ndarray:
     """The features of highest ratio, without those that fire on nearly the same texts as one before."""
     best = np.argsort(-ratio, kind="stable")[: 10 * rules.voters]
     mine = np.isin(feature, best)
@@ -166,35 +167,89 @@ def _distinct_voters(text: np.ndarray, feature: np.ndarray, ratio: np.ndarray, n
         if all((held & other).sum() < 0.8 * (held | other).sum() for other in fires):
             chosen.append(int(f))
             fires.append(held)
-    return chosen
+    return np.array(chosen, np.int64)
 
 
-def fit_label_model(votes: np.ndarray, anchor: np.ndarray, rounds: int, alone: int = 0) -> LabelModel:
-    """Expectation maximisation over votes (text, voter; 0 or 1), from the anchor's classes.
+def _votes(patterns_: np.ndarray, voters: int) -> np.ndarray:
+    """Text by voter, 0 or 1, of the bits of each text."""
+    return ((patterns_.view(U64)[:, None] >> np.arange(voters).astype(U64)) & U64(1)).astype(float)
+
+
+def _bits(hits: tuple[np.ndarray, np.ndarray], shown: np.ndarray, entries: int) -> np.ndarray:
+    """The votes of each text as bits: lexicon entries, that none of them fires, patterns."""
+    out = np.zeros(len(shown), U64)
+    np.bitwise_or.at(out, hits[0], U64(1) << hits[1].astype(U64))
+    out |= (out == 0).astype(U64) << U64(entries)
+    for k in range(shown.shape[1]):
+        out |= shown[:, k].astype(U64) << U64(entries + 1 + k)
+    return out.view(np.int64)
+
+
+def _vote_patterns(docs: DataFrame, entries: np.ndarray) -> DataFrame:
+    """(votes, n): how many texts vote alike."""
+    shared = docs.sparkSession.sparkContext.broadcast(entries)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in words_of(batch.column("text"), lower=True):
+                u, n = np.unique(_bits(_hits(w, shared.value), patterns(w), len(shared.value)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n.astype(np.int64))], ["votes", "n"])
+
+    return docs.select("text").mapInArrow(vote, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+
+
+def expected_votes(votes: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each class its weight, and how often voters fire in it, alone and together; ``q`` is the share of the toxic class."""
+    parts = []
+    for weight in (n * (1 - q), n * q):
+        parts.append(np.concatenate([[weight.sum()], weight @ votes, ((votes * weight[:, None]).T @ votes).ravel()]))
+    return np.concatenate(parts)
+
+
+def label_model(stats: np.ndarray, voters: int) -> LabelModel:
+    """The model that expected votes lead to.
 
     Within a class, voters that fire together are correlated; a voter's weight
     is one over the sum of its correlations with all voters, itself included.
-    The last ``alone`` voters count as independent of the others.
     """
-    n, m = votes.shape
-    q = np.clip(anchor.astype(float), 0.02, 0.98)
-    model = LabelModel(0.5, np.full((2, m), 0.5), np.ones(m))
-    for _ in range(rounds):
-        fires, correlation = [], np.zeros((m, m))
-        for weight in (1 - q, q):
-            total = weight.sum() + 1.0
-            p = (weight @ votes + 0.05) / total
-            p = np.clip(p, 1e-4, 1 - 1e-4)
-            together = (votes * weight[:, None]).T @ votes / total - np.outer(p, p)
-            spread = np.sqrt(p * (1 - p))
-            correlation = np.maximum(correlation, together / np.outer(spread, spread))
-            fires.append(p)
-        if alone:
-            correlation[-alone:] = 0
-            correlation[:, -alone:] = 0
-        weight = 1 / np.maximum(np.clip(correlation, 0, 1), np.eye(m)).sum(1)
-        model = LabelModel(float(np.clip(q.mean(), 1e-4, 1 - 1e-4)), np.stack(fires), weight)
-        q = model.posterior(votes)
+    fires, correlation, sizes = [], np.zeros((voters, voters)), []
+    for part in stats.reshape(2, -1):
+        total = part[0] + 1.0
+        p = np.clip((part[1 : voters + 1] + 0.05) / total, 1e-4, 1 - 1e-4)
+        together = part[voters + 1 :].reshape(voters, voters) / total - np.outer(p, p)
+        spread = np.sqrt(p * (1 - p))
+        correlation = np.maximum(correlation, together / np.outer(spread, spread))
+        fires.append(p)
+        sizes.append(part[0])
+    weight = 1 / np.maximum(np.clip(correlation, 0, 1), np.eye(voters)).sum(1)
+    return LabelModel(float(np.clip(sizes[1] / max(sum(sizes), 1), 1e-4, 1 - 1e-4)), np.stack(fires), weight)
+
+
+def first_guess(votes: np.ndarray, entries: int) -> np.ndarray:
+    """Toxic shares to begin with: each lexicon entry that fires halves the doubt."""
+    return np.clip(1 - 0.5 ** votes[:, :entries].sum(1), 0.02, 0.98)
+
+
+def fit_label_model(patterns_: DataFrame, entries: int, rounds: int) -> LabelModel:
+    """Expectation maximisation over the vote patterns (votes, n), which stay distributed; a task sends sums of fixed size."""
+    voters = entries + 1 + len(PATTERNS)
+    model: LabelModel | None = None
+    for _ in range(rounds + 1):
+        now = patterns_.sparkSession.sparkContext.broadcast(model)
+
+        def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(2 * (1 + voters + voters * voters))
+            for batch in batches:
+                votes = _votes(batch.column("votes").to_numpy(), voters)
+                q = first_guess(votes, entries) if now.value is None else now.value.posterior(votes)
+                total += expected_votes(votes, batch.column("n").to_numpy().astype(float), q)
+            slots = np.flatnonzero(total).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], ["slot", "value"])
+
+        rows = patterns_.mapInArrow(expect, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
+        stats = np.zeros(2 * (1 + voters + voters * voters))
+        stats[rows["slot"].to_numpy()] = rows["value"].to_numpy()
+        model = label_model(stats, voters)
     return model
 
 
@@ -290,17 +345,15 @@ def train(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRul
     of = np.repeat(np.arange(n, dtype=np.int32), np.diff(cut))
     dense = ((rows.column("shown").to_numpy()[:, None] >> np.arange(len(PATTERNS))) & 1).astype(float)
 
-    voters = _distinct_voters(of, at, ratio, n, rules)
+    entries = np.sort(_distinct_voters(of, at, ratio, n, rules))
     place = np.full(len(known), -1)
-    place[voters] = np.arange(len(voters))
-    lexicon = np.zeros((n, len(voters)))
+    place[entries] = np.arange(len(entries))
     mine = place[at] >= 0
-    lexicon[of[mine], place[at][mine]] = 1
-    toxic = rows.column("toxic").to_numpy()
+    bits = _bits((of[mine], place[at][mine]), dense > 0, len(entries))
     del of, mine
-    # that no entry fires is a vote too, and so is a person's label either way
-    votes = np.column_stack([lexicon, lexicon.sum(1) == 0, dense, toxic, ~toxic]).astype(float)
-    posterior = fit_label_model(votes, toxic, rules.em_rounds, alone=2).posterior(votes)
+    voting = written(_vote_patterns(docs.where(~is_held_out(F.col("doc_id"), 5)), known[entries]), "votes")
+    model = fit_label_model(voting, len(entries), rules.em_rounds)
+    posterior = model.posterior(_votes(bits, len(entries) + 1 + len(PATTERNS)))
     weight, pattern_weight, bias = _fit_linear(cut, at, dense, posterior, len(known), rules)
     return Classifier(known, weight, pattern_weight, bias)
 

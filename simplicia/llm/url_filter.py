@@ -1,9 +1,9 @@
 """URL filters, in DataFrame operations only.
 
 Rules (a host and the beginning of a path) and listed canonical URLs become
-keys of one table.  A blocked Bloom filter of these keys, of bounded size,
-lets possible hits of the URLs' own keys pass to an exact join on the key,
-which removes the false positives.
+keys of one table.  A blocked Bloom filter of these keys, which grows with
+their number, lets possible hits of the URLs' own keys pass to an exact join
+on the key, which removes the false positives.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simplicia.llm.shared import ascii_lower
+from simplicia.llm.shared import LOWER, UPPER, ascii_lower
 
-#: Blocks of the Bloom filter: four 64-bit words each, so 2**16 blocks are 2.6 MB with their numbers.
-MAX_BLOCKS = 1 << 16
+#: Blocks of the Bloom filter have four 64-bit words; up to so many, some 20 MB and 8 million keys, it is broadcast.
+BROADCAST_BLOCKS = 1 << 19
 KEYS_PER_BLOCK = 16
 BLOCK_WORDS = 4
 
@@ -60,11 +60,14 @@ def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
 def possible_hits(candidates: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``candidates`` whose key may be in ``keys``: all that are, and a few others.
 
-    The filter is broadcast; it has at most MAX_BLOCKS rows by construction.
+    There is a block for every KEYS_PER_BLOCK keys at least.  A filter of
+    BROADCAST_BLOCKS at most is broadcast; a larger one is joined block by
+    block, so that no task holds all of it.
     """
-    n = max(1, keys.count())
-    blocks = min(MAX_BLOCKS, 1 << max(0, (n // KEYS_PER_BLOCK)).bit_length())
-    table = F.broadcast(bloom_filter(keys, blocks))
+    blocks = 1 << max(0, keys.count() // KEYS_PER_BLOCK).bit_length()
+    table = bloom_filter(keys, blocks)
+    if blocks <= BROADCAST_BLOCKS:
+        table = F.broadcast(table)
     bits = _bits(F.col("key"))
     hit = [F.col(f"w{i}").bitwiseAND(b) != 0 for i, b in enumerate(bits)]
     joined = candidates.withColumn("block", _block(F.col("key"), blocks)).join(table, "block")
@@ -85,8 +88,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], listed: Data
 
     Returns page_id, host, path, rule (null without one) and verdict, one row
     for each input row; repeated rows stay.  A null URL or one without ://
-    has empty host and path, no rule, and is allowed.  Nulls in ``listed``
-    are ignored; empty tables are fine.
+    has empty host and path, no rule, and is allowed.  Nulls and repeats in
+    ``listed`` are ignored; empty tables are fine.  Other columns of both
+    tables are ignored, whatever their names.  URLs may be of any length; each
+    distinct one is judged once.
     """
     spark = pages.sparkSession
     policy = spark.createDataFrame([(r, a, len(r)) for a, r in rules], "key string, action string, length int")
@@ -121,21 +126,27 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], listed: Data
 #: The policy of the registered query.
 POLICY = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
-#: Hosts whose pages make the list of the registered query.
-LISTED_HOSTS = "spam-farm."
+#: A page is listed if the MD5 digest of its id begins with one of these.
+LISTED_DIGITS = "0123"
 
 
 def listed_pages(pages: DataFrame) -> DataFrame:
-    """The URLs of the pages on spam hosts: the list that the registered query blocks."""
-    return pages.where(F.startswith(url_host(F.col("url")), F.lit(LISTED_HOSTS))).select("url")
+    """The list of the registered query: the URLs of some pages, chosen by a hash of the id, in another spelling
+    (upper-case scheme and host, another query and fragment), and for every page one URL on its host that is no page."""
+    url, host, path = F.col("url"), url_host(F.col("url")), url_path(F.col("url"))
+    digit = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 1)
+    spelled = F.concat(F.lit("HTTP://"), F.translate(host, LOWER, UPPER), path, F.lit("?listed=1#top"))
+    known = pages.where((F.instr(url, "://") > 0) & digit.isin(list(LISTED_DIGITS))).select(spelled.alias("url"))
+    gone = pages.where(F.instr(url, "://") > 0).select(F.concat(F.lit("http://"), host, path, F.lit("~gone")).alias("url"))
+    return known.union(gone)
 
 
 #: DuckDB SQL for filter_urls(pages, POLICY, listed_pages(pages)).
 FILTER_URLS_SQL = r"""
 WITH rests AS (
-  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, coalesce(instr(url, '://') > 0, false) AS fit FROM pages),
 parsed AS (
-  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, fit, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM rests),
 judged AS (
@@ -145,9 +156,11 @@ judged AS (
     WHEN ends_with('.' || host, '.com') AND starts_with(path, '/en/') THEN 'com/en/'
     WHEN ends_with('.' || host, '.net') AND starts_with(path, '/de/') THEN 'net/de/'
     WHEN ends_with('.' || host, '.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
-  FROM parsed)
+  FROM parsed),
+canonical AS (SELECT *, host || coalesce(nullif(path, ''), '/') AS page FROM judged),
+list AS (SELECT DISTINCT page AS listed FROM canonical WHERE fit AND substr(md5(CAST(page_id AS VARCHAR)), 1, 1) IN ('0', '1', '2', '3'))
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-            WHEN starts_with(host, 'spam-farm.') THEN 'block' ELSE 'allow' END AS verdict
-FROM judged
+            WHEN fit AND listed IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM canonical LEFT JOIN list ON page = listed
 """

@@ -118,6 +118,30 @@ def test_url_filter_edges(spark):
     assert url_filter.filter_urls(pages, [], empty(listed)).where("verdict = 'block'").count() == 0
 
 
+def test_url_filter_of_long_urls_and_repeats(spark):
+    far = "http://Long.Example.net/" + "p" * 200_000
+    pages = spark.createDataFrame([(1, far + "?q=" + "x" * 100_000), (2, far), (2, far), (3, far + "p"), (None, far)], "page_id long, url string").withColumns({"rule": F.lit("own"), "a.b": F.lit(2)})
+    listed = spark.createDataFrame([("x://LONG.example.NET/" + "p" * 200_000 + "#f",), (far,)], "url string").withColumn("key", F.lit(0))
+    host, path = "long.example.net", "/" + "p" * 200_000
+    same(url_filter.filter_urls(pages, (), listed), [(1, host, path, None, "block"), (2, host, path, None, "block"), (2, host, path, None, "block"), (3, host, path + "p", None, "allow"), (None, host, path, None, "block")], "page_id", "host", "path", "rule", "verdict")
+
+
+def test_listed_and_unlisted_pages_share_hosts(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    found = url_filter.filter_urls(pages, (), url_filter.listed_pages(pages)).collect()
+    blocked, allowed = ({r["host"] for r in found if r["verdict"] == v} for v in ("block", "allow"))
+    assert blocked & allowed and 0.1 < sum(r["verdict"] == "block" for r in found) / len(found) < 0.5
+
+
+@pytest.mark.parametrize("most", [1 << 19, 1])
+def test_filter_beyond_what_is_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", most)
+    keys = spark.range(3000).select(F.col("id").cast("string").alias("key"))
+    both = spark.range(6000).select(F.col("id").cast("string").alias("key"))
+    found = {r["key"] for r in url_filter.possible_hits(both, keys).collect()}
+    assert found >= set(map(str, range(3000))) and len(found) < 3300
+
+
 def test_bloom_filter_passes_every_listed_key(spark):
     keys = spark.range(20_000).select(F.col("id").cast("string").alias("key"))
     assert url_filter.possible_hits(keys, keys).count() == 20_000
@@ -161,9 +185,12 @@ def brute_components(rows):
             k = group[k]
         return k
 
+    first: dict = {}
     for k, (i, s) in enumerate(sets):
         if i is None:
             continue
+        if s:  # all texts of a document
+            group[root(k)] = root(first.setdefault(i, k))
         for j, both in Counter(j for x in s for j in holders[x] if j < k).items():
             if sets[j][0] is not None and 100 * both >= 75 * (len(s) + len(sets[j][1]) - both):
                 group[root(k)] = root(j)
@@ -192,6 +219,16 @@ def test_links_between_copies_with_changes(spark):
     same(near_dedup.near_duplicates(table), brute_components(rows), "doc_id", "n_shingles", "component_id", "kept")
 
 
+def test_documents_of_several_texts(spark):
+    """A doc_id that repeats with other texts is linked with what each of them is."""
+    text = lambda k, n=12: " ".join(f"t{k}w{i}" for i in range(n))
+    rows = [(5, text(1)), (5, text(2)), (3, text(2, 13)), (7, text(1, 13)), (9, text(3)), (9, text(3)), (8, text(4)), (8, ""), (6, text(4, 13)), (2, text(9)), (2, text(8)), (2, text(9, 13))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_components(rows)
+    assert {(5, 3), (7, 3)} <= {(i, c) for i, _, c, _ in expected}
+    same(near_dedup.near_duplicates(table).where("n_shingles > 0"), [r for r in expected if r[1]], "doc_id", "n_shingles", "component_id", "kept")
+
+
 def test_keep_one_keeps_columns(nasty):
     kept = near_dedup.keep_one(nasty)
     assert kept.columns == nasty.columns
@@ -362,6 +399,61 @@ def test_quality_counts_are_brute_force_s(docs, nasty):
     assert quality.keep_good(nasty).columns == nasty.columns
 
 
+def brute_kept(rows, rules=quality.QualityRules()):
+    """Verdicts from histograms of Python counters; rows are (doc_id, text, lang)."""
+
+    def kind(c):
+        if c in "abcdefghijklmnopqrstuvwxyz":
+            return 0
+        if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ":
+            return 1
+        if c in "0123456789":
+            return 2
+        if c in " \t":
+            return 3
+        if c in "\n\x0b\x0c\r":
+            return 4
+        if c in ".,;:!?'\"-()":
+            return 5
+        return 6 if ord(c) < 128 else 7
+
+    def distance(p, q):
+        a, b = sum(p.values()), sum(q.values())
+        if not a:
+            return 0.0
+        total = 0.0
+        for k in p.keys() | q.keys():
+            x, y = p[k] / a, q[k] / max(b, 1)
+            m = (x + y) / 2
+            total += (x * math.log2(x / m) if x else 0) + (y * math.log2(y / m) if y else 0)
+        return math.sqrt(max(total / 2, 0))
+
+    chars: dict = {}
+    words: dict = {}
+    for _, text, lang in rows:
+        chars.setdefault(lang, Counter()).update(map(kind, text or ""))
+        words.setdefault(lang, Counter()).update(WORD.findall(text or ""))
+    out = []
+    for i, text, lang in rows:
+        n = brute_quality(text or "")
+        total = sum(words[lang].values())
+        common = {w for w, c in words[lang].items() if c >= rules.common_share * total}
+        folded = lambda c: Counter({w: k for w, k in c.items() if w in common}) + Counter({None: sum(k for w, k in c.items() if w not in common)})  # noqa: E731, B023
+        far = distance(Counter(map(kind, text or "")), chars[lang]) > rules.max_char_distance
+        far |= distance(folded(Counter(WORD.findall(text or ""))), folded(words[lang])) > rules.max_word_distance + rules.word_slack / math.sqrt(max(n[0], 1))
+        out.append((i, not (n[0] < 10 or 100 * n[4] > 20 * n[0] or (n[0] >= rules.guard_words and far))))
+    return out
+
+
+@pytest.mark.parametrize("most", [500, 2])
+def test_quality_verdicts_are_brute_force_s(spark, docs, nasty, most):
+    """On the table, with languages that are null, empty and rare, and on the nasty rows."""
+    lang = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 7 == 1, "").when(F.col("doc_id") % 7 == 2, "null").otherwise(F.col("lang"))
+    for table in (docs, docs.withColumn("lang", lang), nasty):
+        expected = brute_kept([(r["doc_id"], r["text"], r["lang"]) for r in table.select("doc_id", "text", "lang").collect()])
+        same(quality.judge_quality(table, quality.QualityRules(max_languages=most)), expected, "doc_id", "kept")
+
+
 def test_js_distance():
     p, q = np.array([[1.0, 0.0], [5.0, 5.0], [0.0, 0.0]]), np.array([5.0, 5.0])
     m = np.array([0.75, 0.25])
@@ -428,8 +520,8 @@ def test_base_scores_are_brute_force_s(docs, nasty):
 
 
 def test_open_tokens_join_like_held_ones(docs):
-    rules = hmm_lm.HmmRules(own=64, buckets=64, iterations=1, warm_up=1)
-    few = hmm_lm.HmmRules(own=64, buckets=64, iterations=1, warm_up=1, held=64)
+    rules = hmm_lm.HmmRules(own=64, buckets=64, steps=2)
+    few = hmm_lm.HmmRules(own=64, buckets=64, steps=2, held=64)
     a = {r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in hmm_lm.score_texts(docs, rules).collect()}
     b = {r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in hmm_lm.score_texts(docs, few).collect()}
     for i in a:
@@ -466,7 +558,7 @@ def test_every_step_goes_over_all_training_texts(spark):
     """Against the same steps in one process, on more texts than a sample would take."""
     rng = np.random.default_rng(9)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, rng.integers(1, 6))) for _ in range(5000)]
-    rules = hmm_lm.HmmRules(own=16, buckets=16, iterations=1, warm_up=2)
+    rules = hmm_lm.HmmRules(own=16, buckets=16, steps=3)
     rows = spark.createDataFrame([(x,) for x in texts], "text string")
     model, counts = hmm_lm.train(rows, rules)
     m = hmm_lm._initial(counts, rules)
@@ -553,6 +645,70 @@ def test_toxicity_on_held_out_labels(spark):
     assert right > 0.9 and order > 0.9
 
 
+def brute_label_model(votes, entries, rounds):
+    """Expectation maximisation text by text, correlations pair by pair."""
+    n, m = votes.shape
+    q = [min(max(1 - 0.5 ** sum(v[:entries]), 0.02), 0.98) for v in votes]
+    for _ in range(rounds + 1):
+        fires, most = [], np.eye(m)
+        for weight in ([1 - x for x in q], q):
+            total = sum(weight) + 1
+            p = [min(max((sum(w * v[j] for w, v in zip(weight, votes)) + 0.05) / total, 1e-4), 1 - 1e-4) for j in range(m)]
+            for a in range(m):
+                for b in range(m):
+                    both = sum(w * v[a] * v[b] for w, v in zip(weight, votes)) / total
+                    c = (both - p[a] * p[b]) / math.sqrt(p[a] * (1 - p[a]) * p[b] * (1 - p[b]))
+                    most[a, b] = max(most[a, b], min(c, 1))
+            fires.append(p)
+        prior = min(max(sum(q) / n, 1e-4), 1 - 1e-4)
+        share = [1 / max(1, sum(most[a])) for a in range(m)]
+        q = [1 / (1 + math.exp(-min(max(math.log(prior / (1 - prior)) + sum(v[j] * share[j] * math.log(fires[1][j] / fires[0][j]) for j in range(m)), -30), 30))) for v in votes]
+    return prior, fires, share, q
+
+
+def test_label_model_is_brute_force_s(spark):
+    """The distributed model against one that goes text by text; correlated voters share their weight."""
+    rng = np.random.default_rng(8)
+    toxic = rng.random(300) < 0.2
+    lexicon = (rng.random((300, 4)) < np.where(toxic[:, None], [0.7, 0.5, 0.6, 0.4], [0.02, 0.03, 0.01, 0.05])).astype(int)
+    lexicon[:, 1] = lexicon[:, 0] | lexicon[:, 1]
+    shown = rng.random((300, 3)) < np.where(toxic[:, None], 0.3, 0.05)
+    bits = toxicity._bits(np.nonzero(lexicon), shown, 4)
+    votes = toxicity._votes(bits, 8)
+    assert (votes == np.column_stack([lexicon, lexicon.sum(1) == 0, shown])).all()
+    patterns = spark.createDataFrame([(int(b), int(n)) for b, n in zip(*np.unique(bits, return_counts=True))], "votes long, n long")
+    model = toxicity.fit_label_model(patterns.repartition(3), 4, 6)
+    prior, fires, share, q = brute_label_model(votes, 4, 6)
+    assert math.isclose(model.prior, prior, rel_tol=1e-9) and np.allclose(model.fires, fires) and np.allclose(model.weight, share)
+    assert np.allclose(model.posterior(votes), q)
+    assert ((model.posterior(votes) > 0.5) == toxic).mean() > 0.9
+
+
+def test_linear_fit_ends_at_the_least_loss():
+    """The gradient of the whole loss, by differences, is next to zero where the fit ends."""
+    rng = np.random.default_rng(2)
+    held = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(200)]
+    cut, feature = np.concatenate([[0], np.cumsum([len(h) for h in held])]), np.concatenate(held)
+    dense, target = (rng.random((200, 3)) < 0.3).astype(float), rng.random(200)
+    rules = toxicity.ToxicityRules(l2=1e-3, fit_steps=3000)
+    weight, pattern_weight, bias = toxicity._fit_linear(cut, feature, dense, target, 6, rules)
+
+    def loss(x):
+        z = np.array([x[h].sum() for h in held]) + dense @ x[6:9] + x[9]
+        return (np.log1p(np.exp(z)) - target * z).mean() + rules.l2 / 2 * (x[:9] ** 2).sum()
+
+    x = np.concatenate([weight, pattern_weight, [bias]])
+    gradient = [(loss(x + 1e-5 * e) - loss(x - 1e-5 * e)) / 2e-5 for e in np.eye(10)]
+    assert np.abs(gradient).max() < 2e-3
+
+
+def test_every_training_document_votes(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    training = docs.where(~hmm_lm.is_held_out(F.col("doc_id"), 5))
+    entries = np.sort(np.array([1, 2, 3], np.uint64))
+    assert toxicity._vote_patterns(training, entries).agg(F.sum("n")).first()[0] == training.count()
+
+
 def test_toxicity_edges(spark, nasty):
     labels = spark.createDataFrame([(4, 1), (4, 0), (5, None), (None, 1), (6, 0)], "doc_id long, toxic int").withColumn("text", F.lit("x"))
     found = toxicity.score_toxicity(nasty, labels).collect()

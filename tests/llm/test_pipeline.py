@@ -6,10 +6,12 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from simplicia.llm import mixing, near_dedup, quality, queries, toxicity
-from simplicia.llm.shared import read
+from simplicia.llm.shared import read, written
+from test_operators import NASTY
 
 TABLES = "documents embeddings pages conversations labels benchmark".split()
 
@@ -45,6 +47,20 @@ def test_stages_take_empty_tables(spark, sf_dir):
         assert stage(spark, docs, sf_dir).count() == 0
 
 
+def test_stages_take_nasty_rows(spark, sf_dir):
+    """Nulls, repeats, empty and long texts and clashing columns, through all stages one after the other."""
+    docs = spark.createDataFrame(NASTY, "doc_id long, text string, lang string, source string").withColumns({"n_chars": F.lit(1), "a.b": F.lit(2), "__gone": F.lit("own"), "size": F.lit(0)})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.count()
+        docs = written(stage(spark, docs, sf_dir), "nasty")
+        if name == "sentence_pieces":
+            assert docs.count() == before and docs.where("ids IS NULL").count() == 0
+        else:
+            assert docs.columns == columns
+    assert before > 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_are_their_sql(spark, sf_dir, name):
     con = duckdb.connect()

@@ -31,7 +31,7 @@ class HmmRules:
     own: int = 2048
     buckets: int = 2048
     #: Baum-Welch steps; every step goes over all training texts, whatever their number.
-    steps: int = 8
+    steps: int = 6
     #: Tokens whose counts every task holds, at most; counts of all others are joined.
     held: int = 1 << 18
     smooth: float = 0.1

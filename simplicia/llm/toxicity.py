@@ -4,9 +4,10 @@ Voters are lexicon entries (words and beginnings of words that labelled toxic
 texts hold more often than others) and fixed patterns of shouting and symbols.
 Labels choose the entries and have no vote.  A generative label model
 estimates from the votes of all training documents, labelled or not, how often
-each voter fires on toxic and on other texts and how voters depend on each
-other; dependent voters share their weight.  A linear classifier over text
-features is trained on the model's posteriors and scores all texts.
+each voter fires on toxic and on other texts, and how voters depend on each
+other: toxic texts are of several kinds, of a language or a tone, in which
+voters fire together.  A linear classifier over text features is trained on
+the model's posteriors and scores all texts.
 """
 
 from __future__ import annotations
@@ -33,12 +34,16 @@ class ToxicityRules:
     min_texts: int = 3
     min_share: float = 0.005
     #: Log-likelihood ratio of voters and of the classifier's features, and their most.
-    voter_ratio: float = 14.0
+    voter_ratio: float = 24.0
     feature_ratio: float = 10.0
     #: Lexicon entries at most; with the other voters a text's votes fit into 64 bits.
     voters: int = 60
     features: int = 4096
-    em_rounds: int = 15
+    #: Share of toxic texts among those that a lexicon entry fires on, at least.
+    precision: float = 0.8
+    #: Kinds of texts in the label model, beside that of ordinary ones.
+    kinds: int = 6
+    em_rounds: int = 12
     l2: float = 1e-5
     #: Steps of the fit, each over so many texts of the sample.
     fit_steps: int = 800
@@ -140,16 +145,44 @@ def log_likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: in
 
 @dataclass
 class LabelModel:
-    """Share of toxic texts, and how often each voter fires on others and on toxic ones, and its weight."""
+    """Shares of kinds of texts, and how often each voter fires on them.
 
-    prior: float
-    fires: np.ndarray  # class, voter
-    weight: np.ndarray
+    A kind is toxic if lexicon entries, of which there are ``entries``, fire on
+    its texts once or more on the average; the first kind never is.
+    """
+
+    share: np.ndarray  # kind
+    fires: np.ndarray  # kind, voter
+    entries: int
+
+    @property
+    def toxic(self) -> np.ndarray:
+        return (self.fires[:, : self.entries].sum(1) >= 1) & (np.arange(len(self.share)) > 0)
+
+    def kinds(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of each kind for each text; within a kind voters are independent."""
+        z = np.log(self.share) + votes @ np.log(self.fires).T + (1 - votes) @ np.log(1 - self.fires).T
+        z = np.exp(z - z.max(1, keepdims=True))
+        return z / z.sum(1, keepdims=True)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        # a voter that doesn't fire abstains
-        z = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * np.log(self.fires[1] / self.fires[0]))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        """Probability that a text is toxic, of whatever kind."""
+        return self.kinds(votes)[:, self.toxic].sum(1)
+
+    def accuracies(self) -> np.ndarray:
+        """How often each voter is right: fires on a toxic text, or doesn't on another."""
+        toxic = self.toxic
+        return self.share[toxic] @ self.fires[toxic] + self.share[~toxic] @ (1 - self.fires[~toxic])
+
+    def correlations(self) -> np.ndarray:
+        """How voters correlate on toxic texts, by the kinds that they have in common."""
+        share, fires = self.share[self.toxic], self.fires[self.toxic]
+        share = share / share.sum()
+        mean = share @ fires
+        both = (fires * share[:, None]).T @ fires
+        np.fill_diagonal(both, mean)
+        spread = np.sqrt(mean * (1 - mean))
+        return (both - np.outer(mean, mean)) / np.outer(spread, spread)
 
 
 def _distinct_voters(text: np.ndarray, feature: np.ndarray, ratio: np.ndarray, n: int, rules: ToxicityRules) -> np.ndarray:
@@ -176,12 +209,11 @@ def _votes(patterns_: np.ndarray, voters: int) -> np.ndarray:
 
 
 def _bits(hits: tuple[np.ndarray, np.ndarray], shown: np.ndarray, entries: int) -> np.ndarray:
-    """The votes of each text as bits: lexicon entries, that none of them fires, patterns."""
+    """The votes of each text as bits: lexicon entries, then patterns."""
     out = np.zeros(len(shown), U64)
     np.bitwise_or.at(out, hits[0], U64(1) << hits[1].astype(U64))
-    out |= (out == 0).astype(U64) << U64(entries)
     for k in range(shown.shape[1]):
-        out |= shown[:, k].astype(U64) << U64(entries + 1 + k)
+        out |= shown[:, k].astype(U64) << U64(entries + k)
     return out.view(np.int64)
 
 
@@ -198,58 +230,42 @@ def _vote_patterns(docs: DataFrame, entries: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(vote, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n"))
 
 
-def expected_votes(votes: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """For each class its weight, and how often voters fire in it, alone and together; ``q`` is the share of the toxic class."""
-    parts = []
-    for weight in (n * (1 - q), n * q):
-        parts.append(np.concatenate([[weight.sum()], weight @ votes, ((votes * weight[:, None]).T @ votes).ravel()]))
-    return np.concatenate(parts)
-
-
-def label_model(stats: np.ndarray, voters: int) -> LabelModel:
-    """The model that expected votes lead to.
-
-    Within a class, voters that fire together are correlated; a voter's weight
-    is one over the sum of its correlations with all voters, itself included.
-    """
-    fires, correlation, sizes = [], np.zeros((voters, voters)), []
-    for part in stats.reshape(2, -1):
-        total = part[0] + 1.0
-        p = np.clip((part[1 : voters + 1] + 0.05) / total, 1e-4, 1 - 1e-4)
-        together = part[voters + 1 :].reshape(voters, voters) / total - np.outer(p, p)
-        spread = np.sqrt(p * (1 - p))
-        correlation = np.maximum(correlation, together / np.outer(spread, spread))
-        fires.append(p)
-        sizes.append(part[0])
-    weight = 1 / np.maximum(np.clip(correlation, 0, 1), np.eye(voters)).sum(1)
-    return LabelModel(float(np.clip(sizes[1] / max(sum(sizes), 1), 1e-4, 1 - 1e-4)), np.stack(fires), weight)
+def first_guess(votes: np.ndarray, entries: int, rules: ToxicityRules) -> np.ndarray:
+    """Kinds to begin with: each lexicon entry that fires halves the doubt that a text is toxic, and speaks for some kinds of toxic texts at random."""
+    toxic = np.clip(1 - 0.5 ** votes[:, :entries].sum(1), 0.02, 0.98)
+    liking = np.log(np.random.default_rng(rules.seed).exponential(1.0, (entries, rules.kinds)))
+    kind = votes[:, :entries] @ liking
+    kind = np.exp(kind - kind.max(1, keepdims=True))
+    return np.column_stack([1 - toxic, kind / kind.sum(1, keepdims=True) * toxic[:, None]])
 
 
-def first_guess(votes: np.ndarray, entries: int) -> np.ndarray:
-    """Toxic shares to begin with: each lexicon entry that fires halves the doubt."""
-    return np.clip(1 - 0.5 ** votes[:, :entries].sum(1), 0.02, 0.98)
+def label_model(stats: np.ndarray, entries: int) -> LabelModel:
+    """The model that expected counts (kind: texts, then texts that each voter fires on) lead to."""
+    texts, fired = stats[:, :1], stats[:, 1:]
+    share = (texts[:, 0] + 1) / (texts.sum() + len(stats))
+    return LabelModel(share, np.clip((fired + 0.05) / (texts + 1), 1e-4, 1 - 1e-4), entries)
 
 
-def fit_label_model(patterns_: DataFrame, entries: int, rounds: int) -> LabelModel:
+def fit_label_model(patterns_: DataFrame, entries: int, rules: ToxicityRules) -> LabelModel:
     """Expectation maximisation over the vote patterns (votes, n), which stay distributed; a task sends sums of fixed size."""
-    voters = entries + 1 + len(PATTERNS)
+    voters, kinds = entries + len(PATTERNS), rules.kinds + 1
     model: LabelModel | None = None
-    for _ in range(rounds + 1):
+    for _ in range(rules.em_rounds + 1):
         now = patterns_.sparkSession.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(2 * (1 + voters + voters * voters))
+            total = np.zeros((kinds, voters + 1))
             for batch in batches:
                 votes = _votes(batch.column("votes").to_numpy(), voters)
-                q = first_guess(votes, entries) if now.value is None else now.value.posterior(votes)
-                total += expected_votes(votes, batch.column("n").to_numpy().astype(float), q)
-            slots = np.flatnonzero(total).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], ["slot", "value"])
+                belong = first_guess(votes, entries, rules) if now.value is None else now.value.kinds(votes)
+                belong = belong * batch.column("n").to_numpy()[:, None]
+                total += np.column_stack([belong.sum(0), belong.T @ votes])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["slot", "value"])
 
         rows = patterns_.mapInArrow(expect, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
-        stats = np.zeros(2 * (1 + voters + voters * voters))
-        stats[rows["slot"].to_numpy()] = rows["value"].to_numpy()
-        model = label_model(stats, voters)
+        stats = np.zeros((kinds, voters + 1))
+        stats.ravel()[rows["slot"].to_numpy()] = rows["value"].to_numpy()
+        model = label_model(stats, entries)
     return model
 
 
@@ -345,15 +361,16 @@ def train(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRul
     of = np.repeat(np.arange(n, dtype=np.int32), np.diff(cut))
     dense = ((rows.column("shown").to_numpy()[:, None] >> np.arange(len(PATTERNS))) & 1).astype(float)
 
-    entries = np.sort(_distinct_voters(of, at, ratio, n, rules))
+    good = np.where(in_toxic[kept] >= rules.precision * (in_toxic + in_other)[kept], ratio, 0)
+    entries = np.sort(_distinct_voters(of, at, good, n, rules))
     place = np.full(len(known), -1)
     place[entries] = np.arange(len(entries))
     mine = place[at] >= 0
     bits = _bits((of[mine], place[at][mine]), dense > 0, len(entries))
     del of, mine
     voting = written(_vote_patterns(docs.where(~is_held_out(F.col("doc_id"), 5)), known[entries]), "votes")
-    model = fit_label_model(voting, len(entries), rules.em_rounds)
-    posterior = model.posterior(_votes(bits, len(entries) + 1 + len(PATTERNS)))
+    model = fit_label_model(voting, len(entries), rules)
+    posterior = model.posterior(_votes(bits, len(entries) + len(PATTERNS)))
     weight, pattern_weight, bias = _fit_linear(cut, at, dense, posterior, len(known), rules)
     return Classifier(known, weight, pattern_weight, bias)
 

@@ -645,43 +645,42 @@ def test_toxicity_on_held_out_labels(spark):
     assert right > 0.9 and order > 0.9
 
 
-def brute_label_model(votes, entries, rounds):
-    """Expectation maximisation text by text, correlations pair by pair."""
+def brute_label_model(votes, entries, rules):
+    """Expectation maximisation text by text."""
     n, m = votes.shape
-    q = [min(max(1 - 0.5 ** sum(v[:entries]), 0.02), 0.98) for v in votes]
-    for _ in range(rounds + 1):
-        fires, most = [], np.eye(m)
-        for weight in ([1 - x for x in q], q):
-            total = sum(weight) + 1
-            p = [min(max((sum(w * v[j] for w, v in zip(weight, votes)) + 0.05) / total, 1e-4), 1 - 1e-4) for j in range(m)]
-            for a in range(m):
-                for b in range(m):
-                    both = sum(w * v[a] * v[b] for w, v in zip(weight, votes)) / total
-                    c = (both - p[a] * p[b]) / math.sqrt(p[a] * (1 - p[a]) * p[b] * (1 - p[b]))
-                    most[a, b] = max(most[a, b], min(c, 1))
-            fires.append(p)
-        prior = min(max(sum(q) / n, 1e-4), 1 - 1e-4)
-        share = [1 / max(1, sum(most[a])) for a in range(m)]
-        q = [1 / (1 + math.exp(-min(max(math.log(prior / (1 - prior)) + sum(v[j] * share[j] * math.log(fires[1][j] / fires[0][j]) for j in range(m)), -30), 30))) for v in votes]
-    return prior, fires, share, q
+    belong = [list(x) for x in toxicity.first_guess(votes, entries, rules)]
+    for _ in range(rules.em_rounds + 1):
+        share, fires = [], []
+        for c in range(rules.kinds + 1):
+            texts = sum(b[c] for b in belong)
+            share.append((texts + 1) / (n + rules.kinds + 1))
+            fires.append([min(max((sum(b[c] * v[j] for b, v in zip(belong, votes)) + 0.05) / (texts + 1), 1e-4), 1 - 1e-4) for j in range(m)])
+        belong = []
+        for v in votes:
+            p = [share[c] * math.prod(fires[c][j] if v[j] else 1 - fires[c][j] for j in range(m)) for c in range(rules.kinds + 1)]
+            belong.append([x / sum(p) for x in p])
+    return share, fires, [1 - b[0] for b in belong]
 
 
 def test_label_model_is_brute_force_s(spark):
-    """The distributed model against one that goes text by text; correlated voters share their weight."""
+    """The distributed model against one that goes text by text; voters that fire on one kind correlate."""
     rng = np.random.default_rng(8)
-    toxic = rng.random(300) < 0.2
-    lexicon = (rng.random((300, 4)) < np.where(toxic[:, None], [0.7, 0.5, 0.6, 0.4], [0.02, 0.03, 0.01, 0.05])).astype(int)
-    lexicon[:, 1] = lexicon[:, 0] | lexicon[:, 1]
-    shown = rng.random((300, 3)) < np.where(toxic[:, None], 0.3, 0.05)
-    bits = toxicity._bits(np.nonzero(lexicon), shown, 4)
-    votes = toxicity._votes(bits, 8)
-    assert (votes == np.column_stack([lexicon, lexicon.sum(1) == 0, shown])).all()
+    kind = rng.choice(3, 400, p=[0.7, 0.15, 0.15])
+    rates = np.array([[0.02, 0.03, 0.01, 0.02, 0.02, 0.01], [0.8, 0.7, 0.6, 0.02, 0.02, 0.02], [0.02, 0.02, 0.02, 0.7, 0.8, 0.6]])
+    lexicon = (rng.random((400, 6)) < rates[kind]).astype(int)
+    shown = rng.random((400, 3)) < np.where(kind[:, None] > 0, 0.3, 0.05)
+    bits = toxicity._bits(np.nonzero(lexicon), shown, 6)
+    votes = toxicity._votes(bits, 9)
+    assert (votes == np.column_stack([lexicon, shown])).all()
     patterns = spark.createDataFrame([(int(b), int(n)) for b, n in zip(*np.unique(bits, return_counts=True))], "votes long, n long")
-    model = toxicity.fit_label_model(patterns.repartition(3), 4, 6)
-    prior, fires, share, q = brute_label_model(votes, 4, 6)
-    assert math.isclose(model.prior, prior, rel_tol=1e-9) and np.allclose(model.fires, fires) and np.allclose(model.weight, share)
-    assert np.allclose(model.posterior(votes), q)
-    assert ((model.posterior(votes) > 0.5) == toxic).mean() > 0.9
+    rules = toxicity.ToxicityRules(kinds=2, em_rounds=6)
+    model = toxicity.fit_label_model(patterns.repartition(3), 6, rules)
+    share, fires, q = brute_label_model(votes, 6, rules)
+    assert np.allclose(model.share, share) and np.allclose(model.fires, fires) and np.allclose(model.posterior(votes), q)
+    assert ((model.posterior(votes) > 0.5) == (kind > 0)).mean() > 0.9
+    assert (model.accuracies() > 0.6).all()
+    related = model.correlations()
+    assert related[0, 1] > 0.3 and related[3, 4] > 0.3 and related[0, 3] < 0 and np.allclose(np.diag(related), 1)
 
 
 def test_linear_fit_ends_at_the_least_loss():

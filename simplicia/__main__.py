@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import argparse
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simplicia.functions import columns as C
-from simplicia.operators import complexes, hodge, pairs, reports, sampling, triplets
+from simplicia.operators import complexes, hodge, judges, pairs, reports, sampling, spectral, triplets
 from simplicia.sources import readers, writers
-from simplicia.tables import written
+from simplicia.tables import ranked, written
 
 
 def _triangles(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -30,13 +31,25 @@ def decompose(spark: SparkSession, a: argparse.Namespace) -> None:
     tri = written(_triangles(spark, a), "triangles")
     triplets.violations(tri).show()
     edges, nodes = complexes.edges(tri), complexes.nodes(tri, C.SOFT if a.soft else C.HARD)
+    complexes.ranges(tri, "agreement", "total_count").show()
     s1, _ = hodge.edge_projection(tri)
     s1 = written(s1, "s1")
     writers.edge_csv(tri, edges, f"{a.out}/edge_index")
     writers.projection_csv(tri, s1, f"{a.out}/s1_star")
     writers.matrix_market(tri, f"{a.out}/D2")
+    writers.matrix_table(tri, f"{a.out}/D2.parquet")
     writers.graph_json(tri, edges, nodes, s1, f"{a.out}/graph", gzip=True)
-    hodge.triangle_fractions(tri).show(truncate=False)
+    fractions = written(hodge.triangle_fractions(tri), "fractions")
+    fractions.show(truncate=False)
+    labels = None
+    if a.labels:
+        labels = complexes.dense_labels(readers.class_index(spark, a.labels).select("id", "label"))
+        writers.concept_list(labels, f"{a.out}/concepts")
+    places = spectral.layout(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), rounds=a.layout) if a.layout else None
+    nodes = complexes.placed(nodes, labels, places)
+    meta = complexes.meta(tri, fractions, a.format)
+    for end in ("", ".gz"):
+        writers.payload(tri, edges, nodes, complexes.tetrahedra(tri), s1, meta, f"{a.out}/payload.json{end}", gzip=bool(end))
 
 
 def make_pairs(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -55,17 +68,33 @@ def make_pairs(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Judge open tasks with the mock judge and append the records to the log."""
-    todo = pairs.tasks(spark.read.parquet(a.pairs))
+    """Judge open tasks and append the records to the log; a log with torn lines is written anew first."""
+    config = readers.run_config(a.config) if a.config else readers.RunConfig()
+    provider = "mock" if a.mock else config.provider
+    todo = pairs.tasks(spark.read.parquet(a.pairs), swap_repeat=config.swap_repeat)
+    done = 0
     try:
-        todo = pairs.open_tasks(todo, readers.judgement_log(spark, a.log), retry_errors=a.retry_errors)
+        readers.repair_log(spark, a.log)
+        log = readers.judgement_log(spark, a.log)
+        done = log.agg(F.coalesce(F.max("row"), F.lit(0))).first()[0]
+        todo = pairs.open_tasks(todo, log, retry_errors=a.retry_errors)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     if a.limit:
         todo = todo.orderBy("pair_id", "presentation").limit(a.limit)
-    log = pairs.records(pairs.mock_answers(todo)).withColumns({"row": F.xxhash64("pair_id", "presentation"), "model_name": F.lit("mock"), "quantization": C.quantization(F.lit("mock")), "backend": F.lit("mock")})
-    writers.append_log(written(log, "records"), a.log)
+    todo = written(ranked(todo, ["pair_id", "presentation"], "place"), "tasks").withColumn("row", F.col("place") + done + 1).drop("place")
+    errors = None
+    if a.items:
+        todo, errors = judges.without_items(todo, spark.read.text(a.items).select(F.trim("value").alias("item")))
+    if a.workers:
+        todo = todo.repartition(a.workers)
+    # the mock answers in the JVM; any other judge is asked row by row in the tasks
+    answered = pairs.mock_answers(todo, seed=config.run_seed) if provider == "mock" else judges.judged(todo, lambda: judges.make_judge(provider))
+    if errors is not None:
+        answered = answered.unionByName(errors, allowMissingColumns=True)
+    records = pairs.records(answered).withColumns({"model_name": F.lit(config.model_name), "quantization": C.quantization(F.lit(config.model_name)), "backend": F.lit(provider), "timestamp_iso": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")})
+    writers.append_log(written(records, "records"), a.log)
 
 
 def sync(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -78,10 +107,23 @@ def status(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
     log = written(readers.judgement_log(spark, a.log), "log")
-    for report in (reports.accuracy(log), reports.accuracy_by_gap(log), reports.order_consistency(log), reports.summary(log)):
+    summary = reports.summary(log, generated=datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S UTC")).orderBy("place").drop("place")
+    for report in (reports.accuracy(log), reports.accuracy_by_gap(log), reports.order_consistency(log), summary):
         report.show(truncate=False)
-    flows = written(pairs.flows(log), "flows")
-    hodge.flow_fractions(written(flows.unionByName(pairs.random_flow(flows.select("u", "v").distinct())), "flows")).show(truncate=False)
+    found = written(reports.analysis(log), "analysis")
+    found.select("hodge", "harmonic_defined", "n_triangles").show(truncate=False)
+    if a.out:
+        writers.one_json(found, f"{a.out}/analysis.json")
+        writers.summary_csv(summary, f"{a.out}/summary.csv")
+
+
+def verify(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Files against a manifest of lines ``sha256  name``; fails if one differs."""
+    lines = spark.read.text(a.manifest).where(F.col("value").rlike(r"\S")).select(F.split(F.trim("value"), r"\s+").alias("p"))
+    found = readers.verified(spark, a.files, lines.select(F.col("p")[1].alias("name"), F.col("p")[0].alias("sha256")))
+    found.show(truncate=False)
+    if not found.where("NOT ok").isEmpty():
+        raise SystemExit("files differ from the manifest")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -95,6 +137,8 @@ def parser() -> argparse.ArgumentParser:
         v.add_argument("--max-slate", type=int)
         v.add_argument("--min-total", type=int, default=1)
         v.add_argument("--soft", action="store_true")
+        v.add_argument("--labels", help="class index, for labels of nodes")
+        v.add_argument("--layout", type=int, default=0, help="rounds of the layout of nodes; 0 for none")
         v.add_argument("--out", required=True)
     v = verbs.add_parser("pairs")
     v.set_defaults(run=make_pairs)
@@ -112,12 +156,20 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--log", required=True)
     v.add_argument("--limit", type=int, default=0)
     v.add_argument("--retry-errors", action="store_true")
+    v.add_argument("-c", "--config", help="YAML settings")
+    v.add_argument("--mock", action="store_true", help="the mock judge, whatever the settings say")
+    v.add_argument("--workers", type=int, default=0, help="judges at a time")
+    v.add_argument("--items", help="names of the items that are there, a line each; tasks of others become errors")
     for name, f in (("sync", sync), ("status", status), ("analyze", analyze)):
         v = verbs.add_parser(name)
         v.set_defaults(run=f)
         v.add_argument("--log", required=True)
-        if name == "sync":
-            v.add_argument("--out", required=True)
+        if name != "status":
+            v.add_argument("--out", required=name == "sync")
+    v = verbs.add_parser("verify")
+    v.set_defaults(run=verify)
+    v.add_argument("--manifest", required=True)
+    v.add_argument("--files", required=True)
     return p
 
 

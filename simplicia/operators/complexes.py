@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simplicia.functions import columns as C
+from simplicia.tables import ranked, written
 
 
 def _slots(tri: DataFrame, *more: str) -> DataFrame:
@@ -46,34 +47,55 @@ def edge_boundary(edge: DataFrame, *, first_sign: int = 1) -> DataFrame:
     return edge.select("a", "b", F.explode(ends).alias("e")).select("e.node", "a", "b", "e.sign")
 
 
-def boundary_of_boundary(tri: DataFrame) -> DataFrame:
-    """Entries (node, i, j, k, value) of the product of both boundaries that are not 0: none in a complex."""
-    two = triangle_boundary(tri)
-    one = edge_boundary(two.select("a", "b").distinct()).withColumnRenamed("sign", "sign1")
+def products(two: DataFrame, one: DataFrame) -> DataFrame:
+    """Entries (node, i, j, k, value) of the product of both boundaries that are not 0: none in a complex.
+
+    ``two`` has a, b, i, j, k, sign and ``one`` node, a, b, sign, as the
+    functions above make them, or as a file says.
+    """
+    one = one.withColumnRenamed("sign", "sign1")
     return two.join(one, ["a", "b"]).groupBy("node", "i", "j", "k").agg(F.sum(F.col("sign") * F.col("sign1")).alias("value")).where("value <> 0")
 
 
-def boundary_checks(tri: DataFrame) -> DataFrame:
-    """One row of structural checks of the degree-2 boundary."""
+def boundary_of_boundary(tri: DataFrame) -> DataFrame:
     two = triangle_boundary(tri)
+    return products(two, edge_boundary(two.select("a", "b").distinct()))
+
+
+def incidence_checks(two: DataFrame) -> DataFrame:
+    """One row of structural checks of a degree-2 boundary: columns that haven't three entries, degrees of edges, products that are not 0."""
     columns = two.groupBy("i", "j", "k").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_triangles"), F.count_if(F.col("n") != 3).alias("bad_columns"))
     rows = two.groupBy("a", "b").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_edges"), F.max("n").alias("max_triangles_per_edge"), F.count_if(F.col("n") >= 2).alias("n_shared_edges"))
-    return columns.crossJoin(rows).crossJoin(boundary_of_boundary(tri).agg(F.count("*").alias("bad_products")))  # one row each
+    wrong = products(two, edge_boundary(two.select("a", "b").distinct())).agg(F.count("*").alias("bad_products"))
+    return columns.crossJoin(rows).crossJoin(wrong)  # one row each
+
+
+def boundary_checks(tri: DataFrame) -> DataFrame:
+    return incidence_checks(triangle_boundary(tri))
 
 
 def tetrahedra(tri: DataFrame) -> DataFrame:
     """(a, b, c, d) with all four faces among the triangles, each once.
 
-    Two triangles that share their two smallest items are joined; the other
-    two faces are semi joins.
+    A triangle is extended by a fourth item at the one of its edges that the
+    fewest triangles share, so a hot edge is extended by few; the other faces
+    are semi joins.
     """
-    t = tri.select("i", "j", "k")
-    base = t.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("k").alias("c"))
-    wing = t.select(F.col("i").alias("a"), F.col("j").alias("b"), F.col("k").alias("d"))
-    pairs = base.join(wing, ["a", "b"]).where("c < d")
-    back = t.select(F.col("i").alias("a"), F.col("j").alias("c"), F.col("k").alias("d"))
-    far = t.select(F.col("i").alias("b"), F.col("j").alias("c"), F.col("k").alias("d"))
-    return pairs.join(back, ["a", "c", "d"], "left_semi").join(far, ["b", "c", "d"], "left_semi").select("a", "b", "c", "d")
+    t = tri.select("i", "j", "k").distinct()
+    edge = _slots(t.withColumns({f"p_{c}": F.lit(0.0) for c in "ijk"})).select("a", "b", "i", "j", "k")
+    third = F.array_except(F.array("i", "j", "k"), F.array("a", "b"))[0]
+    size = edge.groupBy("a", "b").agg(F.count("*").alias("n"))
+    least = edge.join(size, ["a", "b"]).groupBy("i", "j", "k").agg(F.min(F.struct("n", "a", "b")).alias("e"))
+    base = least.select("e.a", "e.b", "i", "j", "k")
+    wing = edge.select("a", "b", third.alias("d"))
+    four = base.join(wing, ["a", "b"]).where((F.col("d") != F.col("i")) & (F.col("d") != F.col("j")) & (F.col("d") != F.col("k")))
+    four = four.select(F.array_sort(F.array("i", "j", "k", "d")).alias("s"))
+    # found from each of its faces whose least edge leads to it
+    found = four.select(*(F.col("s")[n].alias(c) for n, c in enumerate("abcd"))).distinct()
+    for x, y, z in ("abc", "abd", "acd", "bcd"):
+        face = t.select(F.col("i").alias(x), F.col("j").alias(y), F.col("k").alias(z))
+        found = found.join(face, [x, y, z], "left_semi")
+    return found.select("a", "b", "c", "d")
 
 
 def tet_boundary(tets: DataFrame) -> DataFrame:
@@ -90,28 +112,29 @@ def tet_scores(tri: DataFrame, tets: DataFrame) -> DataFrame:
 
 
 def numbered(tri: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Triangles with tri_id in order of items and edges with edge_id in order of first appearance.
-
-    For matrix files; ranks come from a range-sorted zip with places, so no
-    task sorts everything.
-    """
-
-    def ranked(df: DataFrame, name: str) -> DataFrame:
-        rows = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-        return df.sparkSession.createDataFrame(rows, df.schema.add(name, "long"))
-
-    t = ranked(tri.select("i", "j", "k").orderBy("i", "j", "k"), "tri_id")
+    """Triangles with tri_id in order of items and edges with edge_id in order of first appearance, for matrix files."""
+    t = written(ranked(tri.select("i", "j", "k"), ["i", "j", "k"], "tri_id"), "tri-ids")
     first = _slots(t.withColumns({f"p_{c}": F.lit(0.0) for c in "ijk"}), "tri_id").groupBy("a", "b").agg(F.min(F.struct("tri_id", "slot")).alias("first"))
-    e = ranked(first.orderBy("first.tri_id", "first.slot").select("a", "b"), "edge_id")
-    return t, e
+    first = first.select("a", "b", F.col("first.tri_id").alias("tri_id"), F.col("first.slot").alias("slot"))
+    return t, written(ranked(first, ["tri_id", "slot"], "edge_id").select("a", "b", "edge_id"), "edge-ids")
 
 
 def pair_triangles(pairs: DataFrame) -> DataFrame:
-    """Triangles (u, v, w) of a graph of pairs (u, v), u < v, each once."""
+    """Triangles (u, v, w), u < v < w, of a graph of pairs (u, v), each once.
+
+    Pairs point from the item of fewer pairs to the one of more; two pairs that
+    leave one item are joined, of which even a hub has few, and a semi join
+    closes them.
+    """
     e = pairs.select("u", "v").where("u < v").distinct()
-    second = e.select(F.col("u").alias("v"), F.col("v").alias("w"))
-    closing = e.select("u", F.col("v").alias("w"))
-    return e.join(second, "v").join(closing, ["u", "w"], "left_semi").select("u", "v", "w")
+    degree = e.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
+    near = e.join(degree.select(F.col("x").alias("u"), F.col("d").alias("du")), "u").join(degree.select(F.col("x").alias("v"), F.col("d").alias("dv")), "v")
+    up = F.struct(F.col("du").alias("d"), F.col("u").alias("x")) < F.struct(F.col("dv").alias("d"), F.col("v").alias("x"))
+    out = near.select(F.when(up, F.col("u")).otherwise(F.col("v")).alias("from"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("to"))
+    wedge = out.withColumnRenamed("to", "x").join(out.withColumnRenamed("to", "y"), "from").where("x < y")
+    closed = wedge.join(e.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"], "left_semi")
+    three = closed.select(F.array_sort(F.array("from", "x", "y")).alias("s"))
+    return three.select(*(F.col("s")[n].alias(c) for n, c in enumerate("uvw")))
 
 
 def degrees(pairs: DataFrame) -> DataFrame:
@@ -127,6 +150,45 @@ def dense_labels(labels: DataFrame) -> DataFrame:
     return ids.join(labels, "id", "left").select("id", F.translate(F.coalesce("label", F.lit("?")), "_", " ").alias("label"))
 
 
+def tet_edges(tets: DataFrame) -> DataFrame:
+    """(u, v, a, b, c, d): the six edges of each tetrahedron."""
+    ends = F.array(*(F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for n, x in enumerate("abcd") for y in "abcd"[n + 1 :]))
+    return tets.select("a", "b", "c", "d", F.explode(ends).alias("e")).select("e.u", "e.v", "a", "b", "c", "d")
+
+
+def placed(nodes: DataFrame, labels: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
+    """Nodes with their labels (id, label) and places (node, x, y, z); those without keep nulls."""
+    if labels is not None:
+        nodes = nodes.join(labels.select("id", "label"), "id", "left")
+    if places is not None:
+        nodes = nodes.join(places.select(F.col("node").alias("id"), "x", "y", "z"), "id", "left")
+    return nodes
+
+
+def ranges(df: DataFrame, *names: str) -> DataFrame:
+    """(column, least, mean, most) of numeric columns."""
+    one = df.agg(*(f(n).cast("double").alias(f"{k}|{n}") for n in names for k, f in (("least", F.min), ("mean", F.avg), ("most", F.max))))
+    rows = F.array(*(F.struct(F.lit(n).alias("column"), *(F.col(f"{k}|{n}").alias(k) for k in ("least", "mean", "most"))) for n in names))
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def meta(tri: DataFrame, fractions: DataFrame, source: str) -> DataFrame:
+    """One row for the viewer: the total of judgements, and the shares of a decomposition (one row)."""
+    total = tri.agg(F.sum("total_count").cast("long").alias("n_judgments"), F.count("*").alias("n_triangles"))
+    parts = fractions.select(
+        F.bround("gradient", 6).alias("frac_explained"),
+        F.bround(F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("gradient"))), 6).alias("rel_residual"),
+        F.bround("curl", 8).alias("curl_frac"),
+        F.bround("harmonic", 8).alias("harmonic_frac"),
+    )
+    return total.crossJoin(parts).select(F.lit(source).alias("source"), "*", F.lit(True).alias("precomputed"))  # one row each
+
+
+def isolated(tri: DataFrame, *items: int) -> DataFrame:
+    """The triangles within three or four items: one triangle, or the faces of a tetrahedron."""
+    return tri.where(F.col("i").isin(*items) & F.col("j").isin(*items) & F.col("k").isin(*items))
+
+
 def focus(tri: DataFrame, node: int) -> DataFrame:
     """Triangles at one item."""
     return tri.where((F.col("i") == node) | (F.col("j") == node) | (F.col("k") == node))

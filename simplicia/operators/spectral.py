@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simplicia.functions import columns as C
-from simplicia.tables import written
+from simplicia.tables import forget, ranked, written
 
 
 def random_graph(spark: SparkSession, n: int, p: float, *, seed: int = 42) -> DataFrame:
@@ -28,18 +28,20 @@ def components(edges: DataFrame) -> DataFrame:
         near = e.join(label.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("c"))
         step = label.join(near, "node").select("node", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("moved"))
         step = written(step, "labels")
-        if not step.where("moved").limit(1).count():
+        forget(label)
+        if step.where("moved").isEmpty():
+            forget(e)
             return step.select("node", "component")
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("to"))
         label = written(step.join(jump, "component").select("node", F.least("component", "to").alias("component")), "labels")
+        forget(step)
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
     """Edges of the component of most nodes (ties: of the smallest node), nodes renumbered from 0 in order."""
     label = written(components(edges), "components")
     best = label.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
-    inside = label.join(best, "component", "left_semi").withColumn("place", F.row_number().over(Window.orderBy("node")) - 1)
-    inside = written(inside.select("node", F.col("place").cast("long").alias("place")), "places")
+    inside = written(ranked(label.join(best, "component", "left_semi").select("node"), ["node"], "place"), "places")
     a, b = inside.select(F.col("node").alias("u"), F.col("place").alias("pu")), inside.select(F.col("node").alias("v"), F.col("place").alias("pv"))
     return edges.join(a, "u").join(b, "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
 

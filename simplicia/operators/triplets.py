@@ -42,20 +42,9 @@ def with_agreement(shares: DataFrame, *, clamp: bool = True) -> DataFrame:
     return shares.withColumn("shannon_entropy", h).withColumn("agreement", C.agreement(F.col("shannon_entropy"), clamp=clamp))
 
 
-def combinations3(items: Column) -> Column:
-    """All (i, j, k) of a sorted array, in the row: no shuffle."""
-    size = F.size(items)
-    return F.flatten(
-        F.transform(
-            items,
-            lambda x, i: F.flatten(
-                F.transform(
-                    F.slice(items, i + 2, size),
-                    lambda y, j: F.transform(F.slice(items, i + j + 3, size), lambda z: F.struct(x.alias("i"), y.alias("j"), z.alias("k"))),
-                )
-            ),
-        )
-    )
+def _later(items: Column, of: Column) -> Column:
+    """The items of a sorted array after one of them."""
+    return F.filter(items, lambda y: y > of)
 
 
 def slate_counts(slates: DataFrame, *, max_slate: int | None = None) -> DataFrame:
@@ -63,15 +52,20 @@ def slate_counts(slates: DataFrame, *, max_slate: int | None = None) -> DataFram
 
     With one of three items purchased that item is odd, with two the third.
     Slates of fewer than three items, before repeats are dropped, and longer
-    than ``max_slate`` are left out.
+    than ``max_slate`` are left out.  A session becomes a row for each first
+    item, then for each pair, so a row never holds more than the slate.
     """
     fit = slates.where(F.size("slate") >= 3)
     if max_slate is not None:
         fit = fit.where(F.size("slate") <= max_slate)
-    items = F.array_sort(F.array_distinct("slate"))
-    rows = fit.select(F.explode(combinations3(items)).alias("t"), "purchased").select("t.*", *(F.array_contains("purchased", F.col(f"t.{c}")).cast("int").alias(f"b{c}") for c in "ijk"))
-    bought = F.col("bi") + F.col("bj") + F.col("bk")
-    decisive = rows.where(bought.isin(1, 2)).withColumn("flag", F.when(bought == 1, 1).otherwise(0))
+    bought = lambda c: F.array_contains("purchased", F.col(c)).cast("int")
+    one = fit.select(F.array_sort(F.array_distinct("slate")).alias("items"), "purchased")
+    one = one.select("items", "purchased", F.explode("items").alias("i"))
+    two = one.select(_later(F.col("items"), F.col("i")).alias("items"), "purchased", "i").select("items", "purchased", "i", F.explode("items").alias("j"))
+    three = two.select(_later(F.col("items"), F.col("j")).alias("items"), "purchased", "i", "j").select("purchased", "i", "j", F.explode("items").alias("k"))
+    rows = three.select("i", "j", "k", *(bought(c).alias(f"b{c}") for c in "ijk"))
+    total = F.col("bi") + F.col("bj") + F.col("bk")
+    decisive = rows.where(total.isin(1, 2)).withColumn("flag", F.when(total == 1, 1).otherwise(0))
     return decisive.groupBy("i", "j", "k").agg(F.count("*").alias("total_count"), *(F.count_if(F.col(f"b{c}") == F.col("flag")).alias(f"odd_{c}_count") for c in "ijk"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplicia.operators import pairs, triplets
+from simplicia.operators import complexes, pairs, triplets
 from simplicia.tables import read
 
 
@@ -59,6 +59,13 @@ faces AS (
   UNION ALL SELECT a, b, c, d, a, b, d, 1 FROM tets UNION ALL SELECT a, b, c, d, a, b, c, -1 FROM tets),
 scored AS (SELECT f.a, f.b, f.c, f.d, sum(f.sign * t.agreement) AS s3 FROM faces f JOIN tri t ON f.i = t.i AND f.j = t.j AND f.k = t.k GROUP BY 1, 2, 3, 4)"""
 
+CORRUPTED_SQL = f"""{TRI_SQL},
+two AS (
+  SELECT a, b, i, j, k, CASE WHEN (i + j + k) % 7 = 0 AND a = i AND b = k THEN -sign ELSE sign END AS sign FROM slots
+  WHERE NOT ((i + j * 3 + k) % 11 = 0 AND a = j AND b = k)),
+one AS (SELECT DISTINCT a AS node, a, b, 1 AS s FROM two UNION ALL SELECT DISTINCT b, a, b, -1 FROM two),
+wrong AS (SELECT node, i, j, k, CAST(sum(sign * s) AS BIGINT) AS value FROM two JOIN one USING (a, b) GROUP BY node, i, j, k HAVING sum(sign * s) <> 0)"""
+
 #: On a complete complex of n items the least-squares solution is the boundary of the signal over n.
 CLOSED_SQL = f"""{TETS_SQL},
 size AS (SELECT count(DISTINCT x) AS n FROM (SELECT i AS x FROM tri UNION ALL SELECT j FROM tri UNION ALL SELECT k FROM tri)),
@@ -150,18 +157,15 @@ def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 GAP_SCALE = 55
 
 
-def supplier_pairs(spark: SparkSession, sf_dir: str, *, sparse: bool = False, scale: int = 1) -> DataFrame:
-    """Judged pairs of suppliers; sparse keeps three in ten, scale divides the scores."""
-    labels = supplier_labels(spark, sf_dir)
-    if sparse:
-        labels = labels.where("(a * 31 + b * 17) % 10 < 3")
+def supplier_pairs(spark: SparkSession, sf_dir: str, *, scale: int = 1) -> DataFrame:
+    """Judged pairs of all suppliers that share a part; scale divides the scores."""
     scores = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("item"), F.floor(F.col("s_acctbal") / scale).cast("int").alias("score"))
-    return pairs.build_pairs(labels, scores)
+    return pairs.build_pairs(supplier_labels(spark, sf_dir), scores)
 
 
-def judgement_log(spark: SparkSession, sf_dir: str, *, sparse: bool = True, scale: int = 1) -> DataFrame:
+def judgement_log(spark: SparkSession, sf_dir: str, *, scale: int = 1) -> DataFrame:
     """A log of answers that follow from the ids, with errors and leanings to the first item."""
-    t = pairs.tasks(supplier_pairs(spark, sf_dir, sparse=sparse, scale=scale))
+    t = pairs.tasks(supplier_pairs(spark, sf_dir, scale=scale))
     a, b = F.col("left_item").cast("long"), F.col("right_item").cast("long")
     swapped: Column = (F.col("presentation") == "swapped").cast("int")
     first, second = F.when(swapped == 1, F.col("right_score")).otherwise(F.col("left_score")), F.when(swapped == 1, F.col("left_score")).otherwise(F.col("right_score"))
@@ -184,10 +188,10 @@ def judgement_log(spark: SparkSession, sf_dir: str, *, sparse: bool = True, scal
     return pairs.records(answered)
 
 
-def _pairs_sql(condition: str, score: str = "s_acctbal") -> str:
+def _pairs_sql(score: str = "s_acctbal") -> str:
     return f"""
 WITH sp AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
-ab AS (SELECT x.s AS a, y.s AS b, min(x.p) AS part FROM sp x JOIN sp y ON x.p = y.p AND x.s < y.s WHERE {condition} GROUP BY 1, 2),
+ab AS (SELECT x.s AS a, y.s AS b, min(x.p) AS part FROM sp x JOIN sp y ON x.p = y.p AND x.s < y.s GROUP BY 1, 2),
 pairs AS (
   SELECT a, b, a || '|' || b AS pair_id, CAST(a AS VARCHAR) AS left_item, CAST(b AS VARCHAR) AS right_item,
          CAST(floor(l.{score}) AS INTEGER) AS left_score, CAST(floor(r.{score}) AS INTEGER) AS right_score,
@@ -220,9 +224,67 @@ flows AS (
   FROM (UNPIVOT votes ON model, human, oracle INTO NAME label VALUE value))"""
 
 
-PAIRS_SQL = _pairs_sql("true")
-SPARSE_SQL = _pairs_sql("(x.s * 31 + y.s * 17) % 10 < 3")
-SCALED_SQL = _pairs_sql("true", f"s_acctbal / {GAP_SCALE}")
+PAIRS_SQL = _pairs_sql()
+SCALED_SQL = _pairs_sql(f"s_acctbal / {GAP_SCALE}")
+
+#: All part pairs that share an order.
+PARTS_SQL = """
+WITH op AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+pairs AS (SELECT DISTINCT x.p AS a, y.p AS b FROM op x JOIN op y ON x.o = y.o AND x.p < y.p)"""
+
+
+def lines_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges (u, v) of every line: its order, and its part from its supplier, numbered below 0."""
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("u"), (-(F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")) - 1).alias("v"))
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow (label, u, v, value) on a tree: every supplier but 0 from the one of a third of its number, by their balances' signs and sizes."""
+    s = read(spark, sf_dir, "supplier").where("s_suppkey > 0")
+    return s.select(F.lit("tree").alias("label"), F.expr("s_suppkey div 3").alias("u"), F.col("s_suppkey").alias("v"), (F.col("s_acctbal") / 1000).alias("value"))
+
+
+def ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow on a ring of the nations: each to the next by the mean balance of its customers."""
+    mean = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n")).agg((F.avg("c_acctbal") / 1000).alias("f"))
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n")).join(mean, "n", "left")
+    last = F.col("n") == 24
+    return n.select(F.lit("ring").alias("label"), F.when(last, 0).otherwise(F.col("n")).alias("u"), F.when(last, 24).otherwise(F.col("n") + 1).alias("v"), (F.coalesce("f", F.lit(0.0)) * F.when(last, -1).otherwise(1)).alias("value"))
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow on all pairs of suppliers of one nation: separate complete graphs of different sizes."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("x"), "s_acctbal")
+    both = s.withColumnsRenamed({"x": "u", "s_acctbal": "bu"}).join(s.withColumnsRenamed({"x": "v", "s_acctbal": "bv"}), "n").where("u < v")
+    return both.select(F.lit("blocks").alias("label"), "u", "v", ((F.col("bv") - F.col("bu")) / 1000 + (F.col("u") * 7 + F.col("v") * 13) % 10 - 4.5).alias("value"))
+
+
+def block_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles (i, j, k, agreement) of all three suppliers of one nation."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("x"))
+    i, j, k = (s.withColumnRenamed("x", c) for c in "ijk")
+    return i.join(j, "n").where("i < j").join(k, "n").where("j < k").select("i", "j", "k", ((F.col("i") * 7 + F.col("j") * 13 + F.col("k") * 29) % 100 / 100).alias("agreement"))
+
+
+BLOCKS_SQL = """
+WITH s AS (SELECT s_nationkey AS n, s_suppkey AS x, s_acctbal AS b FROM supplier),
+sizes AS (SELECT n, count(*) AS size FROM s GROUP BY n),
+flow AS (
+  SELECT u.n, u.x AS u, v.x AS v, (v.b - u.b) / 1000 + (u.x * 7 + v.x * 13) % 10 - 4.5 AS value FROM s u JOIN s v ON u.n = v.n AND u.x < v.x),
+div AS (SELECT n, x, sum(d) AS d FROM (SELECT n, u AS x, -value AS d FROM flow UNION ALL SELECT n, v, value FROM flow) GROUP BY n, x),
+tri AS (
+  SELECT i.n, i.x AS i, j.x AS j, k.x AS k, (i.x * 7 + j.x * 13 + k.x * 29) % 100 / 100 AS agreement
+  FROM s i JOIN s j ON i.n = j.n AND i.x < j.x JOIN s k ON i.n = k.n AND j.x < k.x),
+slots AS (
+  SELECT n, i AS a, j AS b, agreement AS v FROM tri UNION ALL SELECT n, i, k, -agreement FROM tri UNION ALL SELECT n, j, k, agreement FROM tri)"""
+
+
+def corrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boundary of the brand triangles with faults: some entries have the wrong sign, some are lost."""
+    two = complexes.triangle_boundary(slate_triangles(spark, sf_dir))
+    wrong = (F.col("i") + F.col("j") + F.col("k")) % 7 == 0
+    sign = F.when(wrong & (F.col("a") == F.col("i")) & (F.col("b") == F.col("k")), -F.col("sign")).otherwise(F.col("sign"))
+    return two.withColumn("sign", sign).where("NOT ((i + j * 3 + k) % 11 = 0 AND a = j AND b = k)")
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:

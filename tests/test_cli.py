@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import json
+
+import pytest
+
 from simplicia.__main__ import main
 from simplicia.sources import readers
 
@@ -15,19 +21,50 @@ def test_pairs_to_reports(spark, tmp_path, capsys):
     main(["pairs", "--labels", str(tmp_path / "labels.csv"), "--scores", str(tmp_path / "scores.csv"), "--n", "20", "--out", files["pairs"]])
     n = spark.read.parquet(files["pairs"]).count()
     assert 0 < n <= 20
-    main(["run", "--pairs", files["pairs"], "--log", files["log"], "--limit", "10"])
+    (tmp_path / "c.yaml").write_text("model:\n  name: mock-q8\n  provider: mock\nrun:\n  seed: 3\n")
+    main(["run", "--pairs", files["pairs"], "--log", files["log"], "--limit", "10", "-c", str(tmp_path / "c.yaml"), "--workers", "2"])
     assert readers.judgement_log(spark, files["log"]).count() == 10
+    spark.createDataFrame([('{"row": 11, "pair',)], "value string").coalesce(1).write.mode("append").text(files["log"])
+    (tmp_path / "items.txt").write_text("".join(f"{n}.jpg\n" for n in range(7)))
     for _ in range(2):
-        main(["run", "--pairs", files["pairs"], "--log", files["log"]])
-        assert readers.judgement_log(spark, files["log"]).count() == 2 * n
+        main(["run", "--pairs", files["pairs"], "--log", files["log"], "--mock", "--items", str(tmp_path / "items.txt")])
+        log = readers.judgement_log(spark, files["log"])
+        assert log.count() == 2 * n and readers.torn_lines(spark, files["log"]).count() == 0
+    assert sorted(r["row"] for r in log.collect()) == list(range(1, 2 * n + 1))
+    missing = log.where("error IS NOT NULL").select("error", "model_side").distinct().collect()
+    assert not missing or [tuple(r) for r in missing] == [("missing item: 7.jpg", None)]
     main(["sync", "--log", files["log"], "--out", files["snap"]])
     main(["status", "--log", files["log"]])
-    main(["analyze", "--log", files["log"]])
+    main(["analyze", "--log", files["log"], "--out", str(tmp_path / "report")])
     assert "order" in capsys.readouterr().out
+    report = spark.read.json(str(tmp_path / "report" / "analysis.json")).first()
+    assert set(report["hodge"].asDict()) == {"MODEL", "HUMAN", "ORACLE", "NULL"} and report["n_judgements"] <= 2 * n
+    metrics = {r["metric"]: r["value"] for r in spark.read.option("header", True).csv(str(tmp_path / "report" / "summary.csv")).collect()}
+    assert metrics["judgements recorded"] == str(2 * n) and "generated" in metrics
 
 
 def test_slates_to_files(spark, tmp_path):
     (tmp_path / "s.txt").write_text("1 2 3 4;1\n2 3 4;2 3\n1 2 4;4\n")
     main(["convert", str(tmp_path / "s.txt"), "--out", str(tmp_path / "csv")])
-    main(["decompose", str(tmp_path / "csv"), "--format", "csv", "--out", str(tmp_path / "out")])
-    assert {p.name for p in (tmp_path / "out").iterdir()} == {"edge_index", "s1_star", "D2", "graph"}
+    (tmp_path / "index.json").write_text('{"1": ["n1", "a_b"], "2": ["n2", "c"], "4": ["n4", "d"]}')
+    main(["decompose", str(tmp_path / "csv"), "--format", "csv", "--labels", str(tmp_path / "index.json"), "--layout", "2", "--out", str(tmp_path / "out")])
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"edge_index", "s1_star", "D2", "D2.parquet", "graph", "concepts", "payload.json", "payload.json.gz"}
+    text = "".join(p.read_text() for p in (tmp_path / "out" / "payload.json").glob("part-*"))
+    whole = json.loads(text)
+    assert list(whole) == ["nodes", "edges", "triangles", "tetrahedra", "meta"]
+    assert [n.get("label") for n in whole["nodes"]] == ["a b", "c", "?", "d"] and all("x" in n for n in whole["nodes"])
+    assert len(whole["edges"]) == 6 and all(len(t) == 8 for t in whole["triangles"]) and whole["meta"]["n_judgments"] == sum(t[4] for t in whole["triangles"])
+    packed = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "out" / "payload.json.gz").glob("part-*.gz"))
+    assert json.loads(packed) == whole
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "out" / "concepts").glob("part-*"))) == ["?", "a b", "c", "?", "d"]
+
+
+def test_manifest(spark, tmp_path):
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.csv").write_text("label,score\n")
+    digest = hashlib.sha256(b"label,score\n").hexdigest()
+    (tmp_path / "m.txt").write_text(f"{digest.upper()}  a.csv\n")
+    main(["verify", "--manifest", str(tmp_path / "m.txt"), "--files", str(tmp_path / "files")])
+    (tmp_path / "m.txt").write_text(f"{digest}  a.csv\n{digest}  b.csv\n")
+    with pytest.raises(SystemExit, match="differ"):
+        main(["verify", "--manifest", str(tmp_path / "m.txt"), "--files", str(tmp_path / "files")])

@@ -5,16 +5,18 @@ from __future__ import annotations
 import itertools
 import json
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from simplicia.functions import columns as C
-from simplicia.operators import complexes, hodge, pairs, reports, sampling, solver, spectral, triplets
+from simplicia.operators import complexes, hodge, judges, pairs, reports, sampling, solver, spectral, triplets
 from simplicia.plans import fixtures
 from simplicia.sources import readers, writers
 from simplicia.streaming import log as stream
+from simplicia.tables import ranked
 
 
 def table(spark, triangles, values):
@@ -108,8 +110,36 @@ def test_golden_fractions_of_brand_slates(spark):
 def test_solver_ends_without_rows(spark):
     empty = spark.createDataFrame([], "row string, col string, sign int")
     target = spark.createDataFrame([], "label string, col string, value double")
-    x, rest = solver.project(empty, target)
-    assert x.count() == 0 and rest.count() == 0
+    found = solver.project(empty, target)
+    assert found.x.count() == 0 and found.rest.count() == 0 and found.steps == {}
+
+
+GRAPHS = {
+    "a path of 64": [(k, k + 1) for k in range(63)],
+    "a ring of 44": [(k, (k + 1) % 44) for k in range(44)],
+    "a grid of 7 by 7": [(7 * y + x, 7 * y + x + d) for y in range(7) for x in range(7) for d, fits in ((1, x < 6), (7, y < 6)) if fits],
+}
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_solver_needs_many_steps(spark, name):
+    """Two right-hand sides on sparse graphs against dense least squares."""
+    graph = GRAPHS[name]
+    rng = np.random.default_rng(5)
+    values = {"one": rng.normal(size=len(graph)), "two": rng.normal(size=len(graph))}
+    matrix = spark.createDataFrame([(k, n, s) for n, e in enumerate(graph) for k, s in zip(e, (-1, 1))], "row long, col long, sign int")
+    target = spark.createDataFrame([(label, n, float(v)) for label, vs in values.items() for n, v in enumerate(vs)], "label string, col long, value double")
+    found = solver.project(matrix, target)
+    dense_ = np.zeros((1 + max(map(max, graph)), len(graph)))
+    for n, (u, v) in enumerate(graph):
+        dense_[u, n], dense_[v, n] = -1, 1
+    x = {(r["label"], r["row"]): r["x"] for r in found.x.collect()}
+    rest = {(r["label"], r["col"]): r["r"] for r in found.rest.collect()}
+    for label, y in values.items():
+        expected = np.linalg.lstsq(dense_.T, y, rcond=None)[0]
+        assert np.allclose([x[label, k] for k in range(len(expected))], expected, atol=1e-6)
+        assert np.allclose([rest[label, n] for n in range(len(graph))], y - dense_.T @ expected, atol=1e-6)
+        assert found.steps[label] > 15 and found.gradient[label] <= 1e-10
 
 
 def test_solver_goes_on_until_the_tolerance(spark):
@@ -242,12 +272,84 @@ def test_log_files_and_streams(spark, tmp_path):
     (folder / "one.json").write_text(json.dumps(record) + "\n\n" + json.dumps(record | {"row": 2, "pair_id": "c|d", "model_correct": 0.0}) + "\n" + '{"row": 3, "pair_')
     assert readers.judgement_log(spark, str(folder)).count() == 2
     assert readers.torn_lines(spark, str(folder)).count() == 1
-    run = lambda: stream.to_parquet(stream.once_per_task(stream.read_log(spark, str(folder))), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    run = lambda: stream.to_table(stream.read_log(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "check"), snapshot=str(tmp_path / "counts")).awaitTermination()
     run()
     run()
+    assert spark.read.parquet(str(tmp_path / "counts")).first()["n_records"] == 2
     (folder / "two.json").write_text(json.dumps(record | {"row": 4}) + "\n" + json.dumps(record | {"row": 5, "pair_id": "e|f", "error": "timeout", "model_correct": None}))
     run()
     assert tuple(stream.counts(spark.read.parquet(str(tmp_path / "out"))).first()) == ("m", 3, 2, 1.0, 1)
+    assert tuple(spark.read.parquet(str(tmp_path / "counts")).first()) == ("m", 3, 2, 1.0, 1)
+    seen = []
+    query = stream.running_counts(stream.with_progress(stream.read_log(spark, str(folder), files_per_trigger=1)), lambda df, n: seen.append((n, df.first()["n_records"])), str(tmp_path / "check2"))
+    query.awaitTermination()
+    assert [k for _, k in sorted(seen)] == [2, 4]
+    assert sum(p["n_records"] for p in stream.progress(query)) == 4
+    more = stream.to_table(stream.read_log(spark, str(folder)), str(tmp_path / "out3"), str(tmp_path / "check3"), seconds=1)
+    stream.stop(more)
+    assert spark.read.parquet(str(tmp_path / "out3")).count() == 3 and not more.isActive
+
+
+class Wary:
+    """A judge that knows some items only, and fails on one."""
+
+    def health(self):
+        return True, ""
+
+    def judge(self, first, second):
+        if "c" in (first, second):
+            raise ValueError("no c")
+        return {"older": 1 if first < second else 2, "confidence": 0.9, "raw": "x", "latency_s": 0.1, "error": None}
+
+
+def test_judges(spark):
+    rows = [("a|b", "a", "b", 2, 1), ("a|c", "a", "c", 2, 2), ("b|d", "b", "d", 1, 4)]
+    todo = pairs.tasks(spark.createDataFrame(rows, "pair_id string, left_item string, right_item string, left_score int, right_score int").withColumns({"true_side": F.lit("left"), "human_side": F.lit("left")}))
+    good, bad = judges.without_items(todo, spark.createDataFrame([("a",), ("b",), ("c",)], "item string"))
+    assert good.count() == 4 and {(r["pair_id"], r["error"], r["choice"]) for r in bad.collect()} == {("b|d", "missing item: d", None)}
+    judges.register("wary", Wary)
+    found = {(r["pair_id"], r["presentation"]): r for r in pairs.records(judges.judged(good, Wary)).collect()}
+    assert found["a|b", "as_shown"]["model_side"] == found["a|b", "swapped"]["model_side"] == "left"
+    assert found["a|c", "swapped"]["error"] == "ValueError: no c" and found["a|c", "swapped"]["model_side"] is None
+    with pytest.raises(ValueError, match="no judge"):
+        judges.make_judge("nobody")
+    mock = judges.make_judge("mock", scores={"a": 2, "b": 1}, accuracy=1.0, bias=0.0)
+    assert mock.health()[0] and mock.judge("a", "b")["older"] == 1 and mock.judge("b", "a")["older"] == 2
+    assert mock.judge("a", "z")["error"] == "no score: z" and not judges.make_judge("mock", scores={}).health()[0]
+    ill = judges.judged(good, lambda: judges.make_judge("mock", scores={})).collect()
+    assert {r["error"] for r in ill} == {"no scores"}
+
+
+def test_median_and_ranks(spark):
+    rng = np.random.default_rng(3)
+    for values in ([3.0], [1.0, 2.0], rng.integers(0, 50, 999).tolist(), rng.normal(size=10_000).tolist()):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(5)
+        assert math.isclose(reports.median(df, "v").first()[0], float(np.median(values)))
+    assert reports.median(df.where("v IS NULL"), "v").first()[0] is None
+    places = [tuple(r) for r in ranked(spark.createDataFrame([(k * 7 % 1000,) for k in range(1000)], "v long"), ["v"], "place").collect()]
+    assert sorted(places) == [(k, k) for k in range(1000)]
+
+
+def test_triangles_of_a_hub(spark):
+    """Every pair of a hub's neighbours would be a wedge at the hub; triangles are those of brute force."""
+    graph = {(0, k) for k in range(1, 60)} | {(k, k + 1) for k in range(1, 59)} | {(70, 71), (71, 72), (70, 72), (0, 70)}
+    found = {tuple(r) for r in complexes.pair_triangles(spark.createDataFrame(sorted(graph), "u long, v long")).collect()}
+    nodes = sorted({x for e in graph for x in e})
+    assert found == {t for t in itertools.combinations(nodes, 3) if set(itertools.combinations(t, 2)) <= graph}
+
+
+def test_places_labels_ranges_and_parts(spark):
+    triangles = COMPLEXES["five items, all triangles"]
+    tri = table(spark, triangles, np.linspace(0.1, 0.9, len(triangles)))
+    tets = complexes.tetrahedra(tri)
+    edges = Counter((r["u"], r["v"]) for r in complexes.tet_edges(tets).collect())
+    assert edges == Counter(e for q in itertools.combinations(range(5), 4) for e in itertools.combinations(q, 2))
+    least, mean, most = complexes.ranges(tri, "agreement").first()[1:]
+    assert math.isclose(least, 0.1) and math.isclose(mean, 0.5) and math.isclose(most, 0.9)
+    assert complexes.isolated(tri, 0, 1, 2, 3).count() == 4 and complexes.isolated(tri, 0, 1, 2).count() == 1
+    nodes = complexes.placed(complexes.nodes(tri), spark.createDataFrame([(0, "zero")], "id long, label string"), spark.createDataFrame([(1, 1.0, 2.0, 3.0)], "node long, x double, y double, z double"))
+    found = {r["id"]: (r["label"], r["x"]) for r in nodes.collect()}
+    assert found == {0: ("zero", None), 1: (None, 1.0), 2: (None, None), 3: (None, None), 4: (None, None)}
 
 
 def test_text_readers(spark, tmp_path):
@@ -260,6 +362,11 @@ def test_text_readers(spark, tmp_path):
     assert readers.triplet_text(spark, str(path), strict=False).count() == 1
     (tsv := tmp_path / "t.tsv").write_text("a\tb\tc\tchoice\tmore\n7\t8\t9\t2\tx\n")
     assert [tuple(r) for r in readers.judgement_tsv(spark, str(tsv)).collect()] == [(7, 8, 9, 2)]
+    tsv.write_text("a\tb\tc\tchoice\n7\t8\t9\t2\n\n7\t8\tx\t2\n7\t8\n")
+    assert readers.judgement_tsv(spark, str(tsv), strict=False).count() == 1
+    assert {r["value"] for r in readers.tsv_rejects(spark, str(tsv)).collect()} == {"7\t8\tx\t2", "7\t8"}
+    with pytest.raises(Exception, match="not three items"):
+        readers.judgement_tsv(spark, str(tsv)).collect()
     (s := tmp_path / "s.txt").write_text("5 6 5;6 6\n\n1 2 3;\n")
     assert [(r["slate"], r["purchased"]) for r in readers.slate_text(spark, str(s)).collect()] == [([5, 6, 5], [6]), ([1, 2, 3], [])]
     (g := tmp_path / "g.csv").write_text("label,score\nhttp://x/a.jpg,30.9\nhttp://x/b.jpg,20\nhttp://y/a.jpg,31\n")
@@ -270,8 +377,9 @@ def test_text_readers(spark, tmp_path):
     assert {tuple(r) for r in readers.class_ids(names, index).collect()} == {("n02", 1), ("n08", 2), ("n09", 3)}
     np.savez(tmp_path / "z.npz", filenames=np.array([["a", "b", "c"]]), similarities=np.array([[0.1, 0.2, 0.3]]))
     assert [tuple(r) for r in readers.npz_triples(spark, str(tmp_path / "z.npz")).collect()] == [("a", "b", "c", 0.1, 0.2, 0.3)]
-    (c := tmp_path / "c.yaml").write_text("model:\n  model_name: x-q4\nrun:\n  n_pairs: all\n")
-    assert readers.run_config(c).n_pairs is None and readers.run_config(c).model_name == "x-q4"
+    (c := tmp_path / "c.yaml").write_text("model:\n  name: x-q4\n  host: http://h//\n  timeout_s: '9'\nrun:\n  n_pairs: all\n  seed: 4\noutput:\n  dir: here\ndata:\n")
+    found = readers.run_config(c)
+    assert (found.n_pairs, found.model_name, found.host, found.timeout_s, found.run_seed, found.out_dir) == (None, "x-q4", "http://h", 9, 4, tmp_path / "here")
 
 
 def test_files_of_a_complex(spark, tmp_path):
@@ -279,8 +387,9 @@ def test_files_of_a_complex(spark, tmp_path):
     tri = table(spark, triangles, np.linspace(0.1, 0.9, len(triangles)))
     writers.matrix_market(tri, str(tmp_path / "mtx"))
     lines = [line for p in sorted((tmp_path / "mtx").glob("part-*")) for line in p.read_text().splitlines()]
-    assert lines[0].startswith("%%MatrixMarket") and lines[1] == "10 10 30" and len(lines) == 32
-    entries = np.array([list(map(int, x.split())) for x in lines[2:]])
+    assert lines[0].startswith("%%MatrixMarket") and lines[1].startswith("%") and lines[2] == "10 10 30" and len(lines) == 33
+    assert len(list((tmp_path / "mtx").glob("part-*"))) == 1
+    entries = np.array([list(map(int, x.split())) for x in lines[3:]])
     assert (np.bincount(entries[:, 1])[1:] == 3).all() and entries[:3].tolist() == [[1, 1, 1], [2, 1, -1], [3, 1, 1]]
     writers.triangle_csv(tri, str(tmp_path / "csv"), slim=True)
     back = readers.triangle_csv(spark, str(tmp_path / "csv")).collect()

@@ -37,9 +37,14 @@ class HmmRules:
     smooth: float = 0.1
     seed: int = 11
     #: Tokens of the texts that a task runs the recursions on at a time.
-    together: int = 200_000
+    together: int = 150_000
 
 
+#: Bytes of text that are split at a time, and tokens that are counted at a time.
+SLICE, COUNTED = 1 << 19, 1 << 18
+#: Tasks that add up what all others expect; the driver gets a row from each.
+ADDERS = 8
+
 END = int(mix(np.array([0x454E44], U64)).view(np.int64)[0])
 
 
@@ -84,7 +89,7 @@ def _bucket(h: Column, buckets: int) -> Column:
 
 def _token_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """first row, last row, tokens (each text's words, then its end), number of tokens of each text."""
-    for w in words_of(batch.column("text"), lower=True):
+    for w in words_of(batch.column("text"), lower=True, max_bytes=SLICE):
         n = w.counts + 1
         tokens = np.full(n.sum(), np.array([END]).view(U64)[0], U64)
         mask = np.ones(len(tokens), bool)
@@ -94,10 +99,18 @@ def _token_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, n
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = [t for _, _, t, _ in _token_rows(batch)]
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
         u, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, U64), np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "c"])
+
+    for batch in batches:
+        parts: list[np.ndarray] = []
+        for _, _, t, _ in _token_rows(batch):
+            parts.append(t)
+            if sum(map(len, parts)) > COUNTED:
+                yield counted(parts)
+                parts = []
+        yield counted(parts)
 
 
 class Packed:
@@ -214,12 +227,18 @@ def _improve(encoded: DataFrame, model: Model) -> Model:
                 packed = Packed(classes[places].astype(np.int64), n[rows])
                 start, moves, emits = packed.expected(m)
                 total += np.concatenate([start, moves.ravel(), emits.ravel(), [packed.likelihood]])
-        slots = np.flatnonzero(total).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], ["slot", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size + 1)
+        for batch in batches:
+            for part in batch.column("sums"):
+                total += np.frombuffer(part.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    rows = encoded.mapInArrow(expect, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
-    total = np.zeros(size + 1)
-    total[rows["slot"].to_numpy()] = rows["value"].to_numpy()
+    # a row for each task, of fixed size; a few tasks add them up
+    rows = encoded.mapInArrow(expect, "sums binary").repartition(ADDERS).mapInArrow(add, "sums binary").collect()
+    total = np.sum([np.frombuffer(r["sums"]) for r in rows], axis=0)
     held.unpersist()
     better = _normalised(model, total[:s], total[s : s + s * s].reshape(s, s), total[s + s * s : size].reshape(k, s))
     better.likelihoods = (*model.likelihoods, float(total[size]))

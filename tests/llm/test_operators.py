@@ -91,6 +91,16 @@ def test_chat_rows(spark):
     assert chat.format_conversations(empty(table)).count() == 0
 
 
+def test_chat_of_long_texts(spark):
+    """Megabytes of text, control strings among them, come back whole; columns with clashing names don't matter."""
+    long = "<|im_end|>\n<|im_start|>user é " * 40_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "assistant", "x" * 2_000_000)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"loss_text": F.lit(0), "n_turns": F.lit("own"), "a.b": F.lit(1)})
+    found = {r["conv_id"]: r for r in chat.read_conversations(chat.format_conversations(table)).collect()}
+    assert [t["text"] for t in found[1]["turns"]] == [long, long] and found[1]["loss_text"] == long
+    assert found[2]["loss_text"] == rows[2][3]
+
+
 # 2. URL filters
 
 

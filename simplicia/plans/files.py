@@ -65,7 +65,7 @@ def file_slates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triplets.slate_counts(readers.slate_text(spark, path))
 
 
-@query(f"""{X.TRI_SQL}, rows_ AS (SELECT i, j, k, total_count, round(p_i, 5) AS p_i, round(p_j, 5) AS p_j, round(p_k, 5) AS p_k, round(agreement, 5) + 0.0 AS agreement FROM tri)
+@query(f"""{X.TRI_SQL}, rows_ AS (SELECT i, j, k, total_count, round(p_i, 6) AS p_i, round(p_j, 6) AS p_j, round(p_k, 6) AS p_k, round(agreement, 6) + 0.0 AS agreement FROM tri)
 SELECT 'wide' AS layout, * FROM rows_ UNION ALL SELECT 'slim', * FROM rows_""")
 def file_triangle_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical triplets in both layouts."""
@@ -74,7 +74,7 @@ def file_triangle_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     for layout in ("wide", "slim"):
         path = _folder(spark, layout)
         writers.triangle_csv(tri, path, slim=layout == "slim")
-        found.append(readers.triangle_csv(spark, path).select(F.lit(layout).alias("layout"), "i", "j", "k", "total_count", *((F.round(c, 5) + 0.0).alias(c) for c in ("p_i", "p_j", "p_k", "agreement"))))
+        found.append(readers.triangle_csv(spark, path).select(F.lit(layout).alias("layout"), "i", "j", "k", "total_count", *((F.round(c, 6) + 0.0).alias(c) for c in ("p_i", "p_j", "p_k", "agreement"))))
     return found[0].union(found[1])
 
 
@@ -86,14 +86,14 @@ e AS (SELECT a, b, row_number() OVER (ORDER BY min(tri_id * 3 + slot)) - 1 AS ed
 
 
 @query(f"""{_IDS}, s AS (SELECT a, b, sum(total_count * excluded) / sum(total_count) AS similarity FROM slots GROUP BY a, b)
-SELECT edge_id, a AS node_a, b AS node_b, round(similarity, 5) AS similarity FROM e JOIN s USING (a, b)""")
+SELECT edge_id, a AS node_a, b AS node_b, round(similarity, 6) AS similarity FROM e JOIN s USING (a, b)""")
 def file_edge_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges numbered by their first triangle."""
     path = _folder(spark, "edges")
     tri = written(X.slate_triangles(spark, sf_dir), "triangles")
     writers.edge_csv(tri, complexes.edges(tri), path)
     rows = spark.read.option("header", True).csv(path)
-    return rows.select(*(F.col(c).cast("long").alias(c) for c in ("edge_id", "node_a", "node_b")), F.round(F.col("similarity").cast("double"), 5).alias("similarity"))
+    return rows.select(*(F.col(c).cast("long").alias(c) for c in ("edge_id", "node_a", "node_b")), F.round(F.col("similarity").cast("double"), 6).alias("similarity"))
 
 
 _ENTRIES = f"{_IDS} SELECT edge_id AS row, tri_id AS col, CAST(sign AS INTEGER) AS value FROM ends JOIN e USING (a, b)"
@@ -214,18 +214,18 @@ def file_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{X.SCALED_SQL}, ok AS (SELECT * FROM log WHERE model_side IS NOT NULL), hum AS (SELECT pair_id, max(human_correct) AS h, any_value(bin) AS bin FROM ok WHERE human_correct IS NOT NULL GROUP BY 1),
 swap AS (SELECT count(*) AS n, avg(CAST(x.model_side = y.model_side AS INTEGER)) AS same FROM ok x JOIN ok y ON x.pair_id = y.pair_id AND x.swapped = 0 AND y.swapped = 1)
-SELECT count(*) AS n_judgements, count(DISTINCT pair_id) AS n_pairs, 'mock-q4' AS model, round(avg(model_correct), 3) AS model_accuracy, (SELECT round(avg(h), 3) FROM hum) AS human_accuracy,
-       round(avg(agrees), 3) AS model_human_agreement, round(avg(CASE WHEN model_side = 'left' THEN 1 ELSE 0 END), 3) AS model_left_rate, (SELECT round(same, 3) FROM swap) AS order_consistency, (SELECT n FROM swap) AS n_swap_pairs,
-       (SELECT round(avg(model_correct), 3) FROM ok WHERE bin = '8-15') AS model_8_15, (SELECT round(avg(h), 3) FROM hum WHERE bin = '8-15') AS human_8_15,
+SELECT count(*) AS n_judgements, count(DISTINCT pair_id) AS n_pairs, 'mock-q4' AS model, round(avg(model_correct), 4) AS model_accuracy, (SELECT round(avg(h), 4) FROM hum) AS human_accuracy,
+       round(avg(agrees), 4) AS model_human_agreement, round(avg(CASE WHEN model_side = 'left' THEN 1 ELSE 0 END), 4) AS model_left_rate, (SELECT round(same, 4) FROM swap) AS order_consistency, (SELECT n FROM swap) AS n_swap_pairs,
+       (SELECT round(avg(model_correct), 4) FROM ok WHERE bin = '8-15') AS model_8_15, (SELECT round(avg(h), 4) FROM hum WHERE bin = '8-15') AS human_8_15,
        (SELECT count(*) FROM ok WHERE bin = '8-15' AND model_correct IS NOT NULL) AS n_8_15, 'HUMAN MODEL NULL ORACLE' AS judges FROM ok""")
 def file_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of a run as one JSON object, read back."""
     path = _folder(spark, "analysis")
     writers.one_json(reports.analysis(X.judgement_log(spark, sf_dir, scale=X.GAP_SCALE)), path)
     a = spark.read.json(path)
-    three = lambda c, name: F.round(F.col(c).cast("double"), 3).alias(name)
+    four = lambda c, name: F.col(c).cast("double").alias(name)
     return a.select(
-        "n_judgements", "n_pairs", "model", *(three(c, c) for c in ("model_accuracy", "human_accuracy", "model_human_agreement", "model_left_rate", "order_consistency")), "n_swap_pairs",
-        three("by_gap.`8-15`.model", "model_8_15"), three("by_gap.`8-15`.human", "human_8_15"), F.col("by_gap.`8-15`.n").alias("n_8_15"),
+        "n_judgements", "n_pairs", "model", *(four(c, c) for c in ("model_accuracy", "human_accuracy", "model_human_agreement", "model_left_rate", "order_consistency")), "n_swap_pairs",
+        four("by_gap.`8-15`.model", "model_8_15"), four("by_gap.`8-15`.human", "human_8_15"), F.col("by_gap.`8-15`.n").alias("n_8_15"),
         F.array_join(F.array_sort(F.map_keys(F.from_json(F.to_json("hodge"), "map<string,string>"))), " ").alias("judges"),
     )

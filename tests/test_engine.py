@@ -290,19 +290,18 @@ def test_log_files_and_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out3")).count() == 3 and not more.isActive
 
 
-class Wary:
-    """A judge that knows some items only, and fails on one."""
-
-    def health(self):
-        return True, ""
+def test_judges(spark):
+    class Wary:
+        """A judge that knows some items only, and fails on one."""
 
-    def judge(self, first, second):
-        if "c" in (first, second):
-            raise ValueError("no c")
-        return {"older": 1 if first < second else 2, "confidence": 0.9, "raw": "x", "latency_s": 0.1, "error": None}
+        def health(self):
+            return True, ""
 
+        def judge(self, first, second):
+            if "c" in (first, second):
+                raise ValueError("no c")
+            return {"older": 1 if first < second else 2, "confidence": 0.9, "raw": "x", "latency_s": 0.1, "error": None}
 
-def test_judges(spark):
     rows = [("a|b", "a", "b", 2, 1), ("a|c", "a", "c", 2, 2), ("b|d", "b", "d", 1, 4)]
     todo = pairs.tasks(spark.createDataFrame(rows, "pair_id string, left_item string, right_item string, left_score int, right_score int").withColumns({"true_side": F.lit("left"), "human_side": F.lit("left")}))
     good, bad = judges.without_items(todo, spark.createDataFrame([("a",), ("b",), ("c",)], "item string"))

@@ -126,8 +126,11 @@ def boundary_of_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complexes.boundary_of_boundary(X.slate_triangles(spark, sf_dir))
 
 
-@query(f"""{X.TRI_SQL}, e AS (SELECT a, b, count(*) AS n FROM slots GROUP BY a, b)
-SELECT (SELECT count(*) FROM tri) AS n_triangles, 0 AS bad_columns, count(*) AS n_edges, max(n) AS max_triangles_per_edge, count(*) FILTER (n >= 2) AS n_shared_edges, 0 AS bad_products FROM e""")
+@query(f"""{X.TRI_SQL}, e AS (SELECT a, b, count(*) AS n FROM slots GROUP BY a, b), c AS (SELECT count(*) AS n FROM slots GROUP BY i, j, k),
+one AS (SELECT DISTINCT a AS node, a, b, 1 AS s FROM slots UNION ALL SELECT DISTINCT b, a, b, -1 FROM slots),
+wrong AS (SELECT node, i, j, k FROM slots JOIN one USING (a, b) GROUP BY node, i, j, k HAVING sum(sign * s) <> 0)
+SELECT (SELECT count(*) FROM tri) AS n_triangles, (SELECT count(*) FILTER (n <> 3) FROM c) AS bad_columns, count(*) AS n_edges, max(n) AS max_triangles_per_edge,
+       count(*) FILTER (n >= 2) AS n_shared_edges, (SELECT count(*) FROM wrong) AS bad_products FROM e""")
 def boundary_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complexes.boundary_checks(X.slate_triangles(spark, sf_dir))
 

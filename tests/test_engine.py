@@ -115,9 +115,9 @@ def test_solver_ends_without_rows(spark):
 
 
 GRAPHS = {
-    "a path of 64": [(k, k + 1) for k in range(63)],
-    "a ring of 44": [(k, (k + 1) % 44) for k in range(44)],
-    "a grid of 7 by 7": [(7 * y + x, 7 * y + x + d) for y in range(7) for x in range(7) for d, fits in ((1, x < 6), (7, y < 6)) if fits],
+    "a path of 30": [(k, k + 1) for k in range(29)],
+    "a ring of 26": [(k, (k + 1) % 26) for k in range(26)],
+    "a grid of 5 by 5": [(5 * y + x, 5 * y + x + d) for y in range(5) for x in range(5) for d, fits in ((1, x < 4), (5, y < 4)) if fits],
 }
 
 
@@ -139,7 +139,7 @@ def test_solver_needs_many_steps(spark, name):
         expected = np.linalg.lstsq(dense_.T, y, rcond=None)[0]
         assert np.allclose([x[label, k] for k in range(len(expected))], expected, atol=1e-6)
         assert np.allclose([rest[label, n] for n in range(len(graph))], y - dense_.T @ expected, atol=1e-6)
-        assert found.steps[label] > 15 and found.gradient[label] <= 1e-10
+        assert found.steps[label] > 8 and found.gradient[label] <= 1e-10
 
 
 def test_solver_goes_on_until_the_tolerance(spark):

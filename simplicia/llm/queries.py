@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplicia.llm import chat, hmm_lm, mixing, near_dedup, quality, sentence_pieces, token_counts, topk, toxicity, url_filter
+from simplicia.llm import chat, filter_audit, hmm_lm, mixing, near_dedup, quality, sentence_pieces, token_counts, topk, toxicity, url_filter
 from simplicia.llm.shared import read
 
 
@@ -65,6 +65,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_hmm_score,
         op9_source_mix,
         op10_toxicity,
+        op11_filter_audit,
     )
 }
 
@@ -86,4 +91,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": url_filter.FILTER_URLS_SQL,
     "op6_top_k": topk.TOP_K_SQL,
     "op9_source_mix": mixing.PLAN_MIX_SQL,
+    "op11_filter_audit": filter_audit.AUDIT_SQL,
 }

@@ -1,0 +1,235 @@
+"""Filter audit and periodic runs against brute force, on small tables and on rows with nulls, repeats and clashing names."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from simplicia.llm import filter_audit, periodic_runs
+from simplicia.llm.periodic_runs import RunRules, lyndon_array, runs_of, text_runs
+from simplicia.llm.shared import read
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+MANY = " ".join(f"w{i}" for i in range(60))
+ROWS = [
+    (1, MANY, "web"),
+    (2, MANY, "web"),
+    (2, MANY, "web"),
+    (None, MANY, None),
+    (3, MANY, ""),
+    (4, MANY + " #", "web"),
+    (5, "A B " * 60, "books"),
+    (6, None, "books"),
+    (7, "", "books"),
+    (8, " \t\n\x0b", None),
+    (9, "x " * 49, "web"),
+    (0, "A B " * 60, "only"),
+    (10, "É" * 95 + "ABCDE", "web"),
+    (11, "É" * 95 + "ABCDEF|", "web"),
+]
+LABELLED = [(1, 1, 0), (1, 0, 1), (2, 1, None), (5, None, 1), (None, 1, 1), (6, 1, 1), (99, 1, 1)]
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    table = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
+    return table.withColumns({c: F.lit(f"own {c}") for c in ("part", "mask", "digest", "first", "good", "toxic", "runs", "a.b", "start")})
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    return spark.createDataFrame(LABELLED, "doc_id long, quality int, toxic int").withColumns({"text": F.lit("own"), "a.b": F.lit(0)})
+
+
+def audit_by_hand(rows, labels):
+    known = {}
+    for doc_id, quality, toxic in labels:
+        if doc_id is not None:
+            q, t = known.get(doc_id, (False, False))
+            known[doc_id] = (q or quality == 1, t or toxic == 1)
+    least = {}
+    for doc_id, text, _ in rows:
+        if doc_id is not None:
+            least[text or ""] = min(doc_id, least.get(text or "", doc_id))
+    failed = {}
+    for doc_id, text, source in rows:
+        t = text or ""
+        ws = WORD.findall(t)
+        fails = {"A"} if len(ws) < 50 else set()
+        fails |= {"B"} if 100 * len(set(ws)) < 65 * len(ws) else set()
+        fails |= {"C"} if 100 * sum("A" <= c <= "Z" for c in t) > 5 * len(t) else set()
+        fails |= {"D"} if set(t) & set("#$%&*|") else set()
+        fails |= {"E"} if doc_id is not None and doc_id > least[t] else set()
+        failed.setdefault(source or "", []).append((fails, *known.get(doc_id, (False, False))))
+    out = []
+    for part, docs in failed.items():
+        shapley = Counter()
+        for order in itertools.permutations("ABCDE"):
+            for fails, _, _ in docs:
+                shapley.update([f for f in order if f in fails][:1])
+        for order in itertools.permutations("ABCDE"):
+            gone = set()
+            for step, f in enumerate(order, 1):
+                here = [k for k, d in enumerate(docs) if k not in gone and f in d[0]]
+                redundant = sum(f in docs[k][0] for k in gone)
+                gone |= set(here)
+                out.append((part, "".join(order), step, len(docs) - len(gone), len(here), redundant, sum(d[0] == {f} for d in docs), sum(docs[k][1] for k in here), sum(docs[k][2] for k in here), shapley[f]))
+    return sorted(out)
+
+
+AUDIT = ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+
+
+def test_audit_of_nasty_rows(rows, labelled):
+    found = sorted(tuple(r) for r in filter_audit.audit(rows, labelled).select(*AUDIT).collect())
+    assert found == audit_by_hand(ROWS, LABELLED)
+    assert len(found) == 4 * 600
+    assert filter_audit.audit(rows.where("false"), labelled).count() == 0
+    none = filter_audit.audit(rows, labelled.where("false")).agg(F.sum("good_lost"), F.sum("toxic_lost")).first()
+    assert tuple(none) == (0, 0)
+
+
+def test_audit_equals_its_sql(spark, sf_dir):
+    found = sorted(tuple(r) for r in filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select(*AUDIT).collect())
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    assert found == sorted(con.execute(f"SELECT {', '.join(AUDIT)} FROM ({filter_audit.AUDIT_SQL})").fetchall())
+
+
+def test_parity_sums_invert_to_cells(spark):
+    rng = random.Random(3)
+    docs = [("p", rng.randrange(32), rng.random() < 0.3, rng.random() < 0.1) for _ in range(500)]
+    marked = spark.createDataFrame(docs, "part string, mask int, good boolean, toxic boolean")
+    row = filter_audit.parity_sums(marked, 5).select(*(filter_audit.inverted(F.col(c), 5).alias(c) for c in ("all", "good", "toxic"))).first()
+    for name, kept in (("all", docs), ("good", [d for d in docs if d[2]]), ("toxic", [d for d in docs if d[3]])):
+        n = Counter(d[1] for d in kept)
+        assert row[name] == [n[m] for m in range(32)]
+
+
+# periodic runs
+
+
+def lyndon_by_hand(w):
+    n, smaller, ahead = len(w), [], []
+    for i in range(n):
+        j = next((j for j in range(i + 1, n) if w[j:] < w[i:]), n)
+        common = 0
+        while j + common < n and w[i + common] == w[j + common]:
+            common += 1
+        smaller.append(j)
+        ahead.append(common)
+    return smaller, ahead
+
+
+def runs_by_hand(w, least, times):
+    found = []
+    for p in range(1, len(w) // times + 1):
+        i = 0
+        while i + p < len(w):
+            s = i
+            while i + p < len(w) and w[i] == w[i + p]:
+                i += 1
+            # a smaller period of the same stretch was found before
+            if i > s and i + p - s >= max(least, times * p) and not any(a <= s and a + n >= i + p for a, n, _ in found):
+                found.append((s, i + p - s, p))
+            i = max(i, s + 1)
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def fibonacci(n):
+    a, b = [0], [0, 1]
+    while len(b) < n:
+        a, b = b, b + a
+    return b[:n]
+
+
+def nested(depth):
+    return [0] if depth == 0 else nested(depth - 1) * 4 + [depth]
+
+
+RULES = (RunRules(), RunRules(2, 2), RunRules(3, 3))
+
+
+def test_runs_of_all_short_words():
+    for letters, most in ((2, 11), (3, 7)):
+        for n in range(most + 1):
+            for w in map(list, itertools.product(range(letters), repeat=n)):
+                smaller, ahead, compared = lyndon_array(w)
+                assert (smaller, ahead) == lyndon_by_hand(w) and compared <= n
+                for rules in RULES:
+                    assert runs_of(w, rules) == text_runs(w, rules) == runs_by_hand(w, rules.min_length, rules.min_repeats)
+
+
+def test_runs_of_structured_words():
+    """Words that repeat at many levels: the work stays linear."""
+    rng = random.Random(7)
+    long = {
+        "fibonacci": fibonacci(3000),
+        "thue-morse": [bin(i).count("1") & 1 for i in range(3000)],
+        "one": [1] * 3000,
+        "nested": nested(5),
+        "squares": ([1] * 40 + [0]) * 70,
+        "growing": sum(([0] * k + [1] for k in range(75)), []),
+        "shrinking": sum(([0] * k + [1] for k in range(75, 0, -1)), []),
+        "random": [rng.randrange(2) for _ in range(3000)],
+    }
+    for w in long.values():
+        for signed in (w, [-x for x in w]):
+            assert lyndon_array(signed)[2] <= len(w)
+        for rules in RULES:
+            short = w[:600]
+            assert runs_of(short, rules) == text_runs(short, rules) == runs_by_hand(short, rules.min_length, rules.min_repeats)
+    for _ in range(500):
+        w = [rng.randrange(3) for _ in range(rng.randrange(2, 20))] * rng.randrange(1, 9) + [rng.randrange(3) for _ in range(5)]
+        for rules in RULES:
+            assert runs_of(w, rules) == text_runs(w, rules) == runs_by_hand(w, rules.min_length, rules.min_repeats)
+
+
+def digest_by_hand(doc_id, text):
+    ws = WORD.findall(text or "")
+    n = len(ws)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        ws = [ws[i] if i < a else ws[a + (i - a) % p] for i in range(n)]
+    runs = runs_by_hand(ws, 6, 4)
+    gone = {i for s, length, p in runs for i in range(s + p, s + length)}
+    best = min(runs, key=lambda r: (-r[1] / r[2], r[0], r[2])) if runs else (None,) * 3
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    milli = 1000 * best[1] // best[2] if runs else None
+    return doc_id, len(runs), *best, milli, sha("".join(f"{s},{length},{p}\n" for s, length, p in runs)), sha(" ".join(w for i, w in enumerate(ws) if i not in gone))
+
+
+def test_run_digests(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").where("length(text) < 3000")
+    found = sorted(tuple(r) for r in periodic_runs.run_digests(docs).collect())
+    assert found == sorted(digest_by_hand(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    assert sum(r[1] > 0 for r in found) > len(found) // 50
+
+
+def test_runs_of_nasty_rows(spark, rows):
+    more = [(20, "a b " * 40_000, "x"), (21, "é è " * 7 + " x", None), (22, "x" * 1_000_000 + " " + "y " * 6, "x"), (None, "q " * 8, "x"), (90, "k l m " * 30, "x"), (90, "k l m " * 30, "x")]
+    more += [(i, "one two three four five six seven eight nine ten " * 3, "x") for i in range(100, 160)]
+    table = rows.unionByName(spark.createDataFrame(more, "doc_id long, text string, source string"), allowMissingColumns=True)
+    expected = sorted((digest_by_hand(*r[:2]) for r in ROWS + more if len(r[1] or "") < 10_000), key=repr)
+    found = periodic_runs.run_digests(table).collect()
+    assert len(found) == len(ROWS) + len(more)
+    assert sorted((tuple(r) for r in found if r["doc_id"] not in (20, 22)), key=repr) == expected
+    (long,) = [tuple(r)[1:6] for r in found if r["doc_id"] == 20]
+    assert long == (1, 0, 80_000, 2, 40_000_000)
+    plain = periodic_runs.find_runs(table)
+    assert plain.columns == [*table.columns, "_runs", "collapsed"]
+    shown = {r["doc_id"]: r["collapsed"] for r in plain.select("doc_id", "collapsed").collect()}
+    assert shown[20] == "a b" and shown[21] == "é è  x" and shown[6] == ""
+    assert periodic_runs.run_digests(table.where("false")).count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from simplicia.tables import read, shared_dir, written  # noqa: F401
+from simplicia.tables import forget, read, shared_dir, written  # noqa: F401
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

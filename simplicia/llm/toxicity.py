@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 
 from simplicia.llm.hmm_lm import is_held_out
 from simplicia.llm.kernel import U64, Words, mix, words_of
-from simplicia.llm.shared import fresh, with_columns_by, written
+from simplicia.llm.labelled import labelled_sample
+from simplicia.llm.shared import forget, fresh, with_columns_by, written
 
 
 @dataclass(frozen=True)
@@ -38,6 +39,8 @@ class ToxicityRules:
     feature_ratio: float = 10.0
     #: Lexicon entries at most; with the other voters a text's votes fit into 64 bits.
     voters: int = 60
+    #: If so few reach the voters' ratio, features that reach the other one are entries too.
+    least_voters: int = 12
     features: int = 4096
     #: Share of toxic texts among those that a lexicon entry fires on, at least.
     precision: float = 0.8
@@ -96,20 +99,6 @@ def _hits(w: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs // len(known), pairs % len(known)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, rules: ToxicityRules) -> DataFrame:
-    """text, toxic of labelled rows outside the held-out fold: a hash sample of max_labelled at most."""
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = written(known.where(~is_held_out(F.col("doc_id"), 5)).withColumn("key", F.xxhash64(F.lit("toxicity"), "doc_id")), "labels")
-    # a threshold on the hash leaves slightly more rows than are asked for, so no task sorts many
-    share = 1.05 * rules.max_labelled / max(known.count(), 1)
-    if share < 1:
-        known = known.where(F.col("key") <= int(-(2**63) + share * 2**64))
-    known = known.orderBy("key", "doc_id").limit(rules.max_labelled)
-    # the limit bounds what is broadcast
-    known = F.broadcast(known.select(F.col("doc_id").alias("labelled"), (F.col("toxic") > 0).alias("toxic")))
-    return written(docs.join(known, F.col("doc_id") == F.col("labelled")).select("text", "toxic"), "labelled-texts")
-
-
 def _feature_counts(sample: DataFrame, known: np.ndarray | None) -> DataFrame:
     """(feature, n): texts that hold each feature, or each of ``known``."""
 
@@ -145,19 +134,11 @@ def log_likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: in
 
 @dataclass
 class LabelModel:
-    """Shares of kinds of texts, and how often each voter fires on them.
-
-    A kind is toxic if lexicon entries, of which there are ``entries``, fire on
-    its texts once or more on the average; the first kind never is.
-    """
+    """Shares of kinds of texts, how often each voter fires on them, and how many texts of a kind are toxic."""
 
     share: np.ndarray  # kind
     fires: np.ndarray  # kind, voter
-    entries: int
-
-    @property
-    def toxic(self) -> np.ndarray:
-        return (self.fires[:, : self.entries].sum(1) >= 1) & (np.arange(len(self.share)) > 0)
+    toxic: np.ndarray  # kind
 
     def kinds(self, votes: np.ndarray) -> np.ndarray:
         """Probability of each kind for each text; within a kind voters are independent."""
@@ -167,16 +148,15 @@ class LabelModel:
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """Probability that a text is toxic, of whatever kind."""
-        return self.kinds(votes)[:, self.toxic].sum(1)
+        return self.kinds(votes) @ self.toxic
 
     def accuracies(self) -> np.ndarray:
         """How often each voter is right: fires on a toxic text, or doesn't on another."""
-        toxic = self.toxic
-        return self.share[toxic] @ self.fires[toxic] + self.share[~toxic] @ (1 - self.fires[~toxic])
+        return (self.share * self.toxic) @ self.fires + (self.share * (1 - self.toxic)) @ (1 - self.fires)
 
     def correlations(self) -> np.ndarray:
         """How voters correlate on toxic texts, by the kinds that they have in common."""
-        share, fires = self.share[self.toxic], self.fires[self.toxic]
+        share, fires = self.share * self.toxic, self.fires
         share = share / share.sum()
         mean = share @ fires
         both = (fires * share[:, None]).T @ fires
@@ -193,7 +173,8 @@ def _distinct_voters(text: np.ndarray, feature: np.ndarray, ratio: np.ndarray, n
     chosen: list[int] = []
     fires: list[np.ndarray] = []
     for f in best:
-        if ratio[f] < rules.voter_ratio or len(chosen) == rules.voters:
+        # a small sample may have few features beyond the higher limit: the best of the others make up for them
+        if ratio[f] < (rules.voter_ratio if len(chosen) >= rules.least_voters else rules.feature_ratio) or len(chosen) == rules.voters:
             break
         held = np.zeros(n, bool)
         held[text[feature == f]] = True
@@ -230,42 +211,52 @@ def _vote_patterns(docs: DataFrame, entries: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(vote, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n"))
 
 
-def first_guess(votes: np.ndarray, entries: int, rules: ToxicityRules) -> np.ndarray:
-    """Kinds to begin with: each lexicon entry that fires halves the doubt that a text is toxic, and speaks for some kinds of toxic texts at random."""
-    toxic = np.clip(1 - 0.5 ** votes[:, :entries].sum(1), 0.02, 0.98)
-    liking = np.log(np.random.default_rng(rules.seed).exponential(1.0, (entries, rules.kinds)))
-    kind = votes[:, :entries] @ liking
+def suspicion(votes: np.ndarray, precision: np.ndarray) -> np.ndarray:
+    """Probability that one of the lexicon entries that fire on a text is right, each by its precision; 0 if none fires."""
+    return 1 - np.exp(votes[:, : len(precision)] @ np.log(1 - precision))
+
+
+def first_guess(votes: np.ndarray, precision: np.ndarray, rules: ToxicityRules) -> np.ndarray:
+    """Kinds to begin with: a suspicious text is of a kind beyond the first, and each lexicon entry that fires speaks for some of these at random."""
+    toxic = np.clip(suspicion(votes, precision), 0.02, 0.98)
+    liking = np.log(np.random.default_rng(rules.seed).exponential(1.0, (len(precision), rules.kinds)))
+    kind = votes[:, : len(precision)] @ liking
     kind = np.exp(kind - kind.max(1, keepdims=True))
     return np.column_stack([1 - toxic, kind / kind.sum(1, keepdims=True) * toxic[:, None]])
 
 
-def label_model(stats: np.ndarray, entries: int) -> LabelModel:
-    """The model that expected counts (kind: texts, then texts that each voter fires on) lead to."""
-    texts, fired = stats[:, :1], stats[:, 1:]
+def label_model(stats: np.ndarray) -> LabelModel:
+    """The model that expected counts (kind: texts, toxic ones, then texts that each voter fires on) lead to."""
+    texts, toxic, fired = stats[:, :1], stats[:, 1], stats[:, 2:]
     share = (texts[:, 0] + 1) / (texts.sum() + len(stats))
-    return LabelModel(share, np.clip((fired + 0.05) / (texts + 1), 1e-4, 1 - 1e-4), entries)
+    return LabelModel(share, np.clip((fired + 0.05) / (texts + 1), 1e-4, 1 - 1e-4), np.clip(toxic / np.maximum(texts[:, 0], 1e-9), 0, 1))
 
 
-def fit_label_model(patterns_: DataFrame, entries: int, rules: ToxicityRules) -> LabelModel:
-    """Expectation maximisation over the vote patterns (votes, n), which stay distributed; a task sends sums of fixed size."""
+def fit_label_model(patterns_: DataFrame, precision: np.ndarray, rules: ToxicityRules) -> LabelModel:
+    """Expectation maximisation over the vote patterns (votes, n), which stay distributed; a task sends sums of fixed size.
+
+    A kind is as toxic as its texts are suspicious on the average, so texts on
+    which no entry fires are as toxic as others of their kind.
+    """
+    entries = len(precision)
     voters, kinds = entries + len(PATTERNS), rules.kinds + 1
     model: LabelModel | None = None
     for _ in range(rules.em_rounds + 1):
         now = patterns_.sparkSession.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((kinds, voters + 1))
+            total = np.zeros((kinds, voters + 2))
             for batch in batches:
                 votes = _votes(batch.column("votes").to_numpy(), voters)
-                belong = first_guess(votes, entries, rules) if now.value is None else now.value.kinds(votes)
+                belong = first_guess(votes, precision, rules) if now.value is None else now.value.kinds(votes)
                 belong = belong * batch.column("n").to_numpy()[:, None]
-                total += np.column_stack([belong.sum(0), belong.T @ votes])
+                total += np.column_stack([belong.sum(0), belong.T @ suspicion(votes, precision), belong.T @ votes])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["slot", "value"])
 
         rows = patterns_.mapInArrow(expect, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
-        stats = np.zeros((kinds, voters + 1))
+        stats = np.zeros((kinds, voters + 2))
         stats.ravel()[rows["slot"].to_numpy()] = rows["value"].to_numpy()
-        model = label_model(stats, entries)
+        model = label_model(stats)
     return model
 
 
@@ -322,7 +313,7 @@ def _fit_linear(cut: np.ndarray, feature: np.ndarray, dense: np.ndarray, target:
 
 def train(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules()) -> Classifier:
     """Learn from the labelled rows of doc_id, text and doc_id, toxic outside the held-out fold."""
-    sample = _sample(docs.select("doc_id", "text"), labels, rules)
+    sample = labelled_sample(docs, labels, "toxic", rules.max_labelled)
     sizes = {bool(r["toxic"]): r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
     none = Classifier(np.zeros(0, U64), np.zeros(0), np.zeros(len(PATTERNS)), 0.0, trained=False)
@@ -369,8 +360,11 @@ def train(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRul
     bits = _bits((of[mine], place[at][mine]), dense > 0, len(entries))
     del of, mine
     voting = written(_vote_patterns(docs.where(~is_held_out(F.col("doc_id"), 5)), known[entries]), "votes")
-    model = fit_label_model(voting, len(entries), rules)
+    precision = (in_toxic[kept][entries] + 0.5) / ((in_toxic + in_other)[kept][entries] + 1)
+    model = fit_label_model(voting, precision, rules)
+    forget(voting)
     posterior = model.posterior(_votes(bits, len(entries) + len(PATTERNS)))
+    forget(sample)
     weight, pattern_weight, bias = _fit_linear(cut, at, dense, posterior, len(known), rules)
     return Classifier(known, weight, pattern_weight, bias)
 

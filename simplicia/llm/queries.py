@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simplicia.llm import chat, filter_audit, hmm_lm, mixing, near_dedup, periodic_runs, quality, sentence_pieces, token_counts, topk, toxicity, url_filter
+from simplicia.llm import chat, filter_audit, hmm_lm, mixing, nb_svm, near_dedup, periodic_runs, quality, sentence_pieces, token_counts, topk, toxicity, url_filter
 from simplicia.llm.shared import read
 
 
@@ -69,6 +69,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nb_svm.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(read(spark, sf_dir, "documents"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_source_mix,
         op10_toxicity,
         op11_filter_audit,
+        op12_quality_classifier,
         op13_periodic_runs,
     )
 }

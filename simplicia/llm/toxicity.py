@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon entries (words and beginnings of words that labelled toxic
-texts hold more often than others) and fixed patterns of shouting and symbols.
+Voters are lexicon entries (words, beginnings of words, and beginnings that two
+different words share, which labelled toxic texts hold more often than others)
+and fixed patterns of shouting and symbols.
 Labels choose the entries and have no vote.  A generative label model
 estimates from the votes of all training documents, labelled or not, how often
 each voter fires on toxic and on other texts, and how voters depend on each
@@ -65,16 +66,20 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def text_features(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text, feature) for each word, kind of beginning by kind, punctuation at the word's ends aside."""
+def text_features(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, feature, word) for each word, kind of beginning by kind, punctuation at the word's ends aside.
+
+    A feature is an even hash; the odd one beside it stands for two different words of this beginning in one text.
+    """
     of, start, end = w.text_of_word(), w.start.copy(), w.end.copy()
     for _ in range(3):
         start += _PUNCTUATION[w.data[start]] & (start < end - 1)
         end -= _PUNCTUATION[w.data[end - 1]] & (end > start + 1)
+    whole = w.span_hash(start, end)
     for k, n in enumerate(BEGINNINGS):
         long = end - start > n if n else np.ones(len(start), bool)
-        stop = start[long] + n if n else end[long]
-        yield of[long], mix(w.span_hash(start[long], stop) + U64(k + 1))
+        h = w.span_hash(start[long], start[long] + n) if n else whole
+        yield of[long], mix(h + U64(k + 1)) & ~U64(1), whole[long]
 
 
 def patterns(w: Words) -> np.ndarray:
@@ -85,17 +90,36 @@ def patterns(w: Words) -> np.ndarray:
     return np.stack([count(_UPPER[w.data]) > 0.3 * size, count(w.data == 0x21) > 0.02 * size, count(_SYMBOL[w.data]) > 0.05 * size], 1)
 
 
+def _distinct(text: np.ndarray, feature: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, feature), sorted, and the number of different words of each."""
+    order = np.lexsort((word, feature, text))
+    text, feature, word = text[order], feature[order], word[order]
+    other = np.ones(len(text), bool)
+    other[1:] = (text[1:] != text[:-1]) | (feature[1:] != feature[:-1])
+    new = other.copy()
+    new[1:] |= word[1:] != word[:-1]
+    first = np.flatnonzero(other)
+    return text[first], feature[first], np.add.reduceat(new, first) if len(first) else first
+
+
 def _hits(w: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, place in ``known``) of the features of the texts; ``known`` is sorted."""
     if not len(known):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = []
-    for of, h in text_features(w):
-        at = np.searchsorted(known, h)
-        at[at == len(known)] = 0
-        hit = known[at] == h
-        pairs.append(of[hit] * len(known) + at[hit])
-    pairs = np.unique(np.concatenate(pairs))
+    once = np.unique(known & ~U64(1))
+    found = []
+    for of, h, word in text_features(w):
+        at = np.searchsorted(once, h)
+        at[at == len(once)] = 0
+        hit = once[at] == h
+        found.append((of[hit], h[hit], word[hit]))
+    text, feature, words = _distinct(*(np.concatenate(x) for x in zip(*found)))
+    twice = words > 1
+    text, feature = np.concatenate([text, text[twice]]), np.concatenate([feature, feature[twice] | U64(1)])
+    at = np.searchsorted(known, feature)
+    at[at == len(known)] = 0
+    hit = known[at] == feature
+    pairs = np.sort(text[hit] * len(known) + at[hit])
     return pairs // len(known), pairs % len(known)
 
 
@@ -106,9 +130,11 @@ def _feature_counts(sample: DataFrame, known: np.ndarray | None) -> DataFrame:
         for batch in batches:
             for w in words_of(batch.column("text"), lower=True):
                 if known is None:
-                    # texts that share a feature: sort it within each text first
-                    found = [np.unique(np.stack([of.astype(U64), h]), axis=1)[1] if len(of) else h for of, h in text_features(w)]
-                    found = np.concatenate(found) if found else np.zeros(0, U64)
+                    found = []
+                    for of, h, word in text_features(w):
+                        _, feature, words = _distinct(of, h, word)
+                        found += [feature, feature[words > 1] | U64(1)]
+                    found = np.concatenate(found)
                 else:
                     found = known[_hits(w, known)[1]]
                 u, n = np.unique(found, return_counts=True)
@@ -134,11 +160,12 @@ def log_likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: in
 
 @dataclass
 class LabelModel:
-    """Shares of kinds of texts, how often each voter fires on them, and how many texts of a kind are toxic."""
+    """Shares of kinds of texts, how often each voter fires on them, how many texts of a kind are toxic, and the entries' precision."""
 
     share: np.ndarray  # kind
     fires: np.ndarray  # kind, voter
     toxic: np.ndarray  # kind
+    precision: np.ndarray  # lexicon entry
 
     def kinds(self, votes: np.ndarray) -> np.ndarray:
         """Probability of each kind for each text; within a kind voters are independent."""
@@ -147,8 +174,8 @@ class LabelModel:
         return z / z.sum(1, keepdims=True)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Probability that a text is toxic, of whatever kind."""
-        return self.kinds(votes) @ self.toxic
+        """Probability that a text is toxic: by its kind, or as one of its own entries is right."""
+        return 1 - (1 - self.kinds(votes) @ self.toxic) * (1 - suspicion(votes, self.precision))
 
     def accuracies(self) -> np.ndarray:
         """How often each voter is right: fires on a toxic text, or doesn't on another."""
@@ -225,11 +252,11 @@ def first_guess(votes: np.ndarray, precision: np.ndarray, rules: ToxicityRules)
     return np.column_stack([1 - toxic, kind / kind.sum(1, keepdims=True) * toxic[:, None]])
 
 
-def label_model(stats: np.ndarray) -> LabelModel:
+def label_model(stats: np.ndarray, precision: np.ndarray) -> LabelModel:
     """The model that expected counts (kind: texts, toxic ones, then texts that each voter fires on) lead to."""
     texts, toxic, fired = stats[:, :1], stats[:, 1], stats[:, 2:]
     share = (texts[:, 0] + 1) / (texts.sum() + len(stats))
-    return LabelModel(share, np.clip((fired + 0.05) / (texts + 1), 1e-4, 1 - 1e-4), np.clip(toxic / np.maximum(texts[:, 0], 1e-9), 0, 1))
+    return LabelModel(share, np.clip((fired + 0.05) / (texts + 1), 1e-4, 1 - 1e-4), np.clip(toxic / np.maximum(texts[:, 0], 1e-9), 0, 1), precision)
 
 
 def fit_label_model(patterns_: DataFrame, precision: np.ndarray, rules: ToxicityRules) -> LabelModel:
@@ -256,7 +283,7 @@ def fit_label_model(patterns_: DataFrame, precision: np.ndarray, rules: Toxicity
         rows = patterns_.mapInArrow(expect, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
         stats = np.zeros((kinds, voters + 2))
         stats.ravel()[rows["slot"].to_numpy()] = rows["value"].to_numpy()
-        model = label_model(stats)
+        model = label_model(stats, precision)
     return model
 
 

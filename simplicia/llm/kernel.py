@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,25 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-# A random odd-free weight for every byte value; fixed seed, so all tasks agree.
+# A random weight for every byte value, for sums modulo 2**64 and modulo a prime; fixed seeds, so all tasks agree.
 _WEIGHT = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
-_WEIGHT_LOWER = _WEIGHT.copy()
-_WEIGHT_LOWER[65:91] = _WEIGHT[97:123]
+_PRIME = (1 << 31) - 1
+_PRIME_BASE = 1_103_515_249
+_PRIME_WEIGHT = np.random.default_rng(20240301).integers(1, _PRIME, 256, dtype=np.uint64)
+
+
+def _lower(weight: np.ndarray) -> np.ndarray:
+    out = weight.copy()
+    out[65:91] = weight[97:123]
+    return out
+
+
+_WEIGHTS = {False: (_WEIGHT, _PRIME_WEIGHT), True: (_lower(_WEIGHT), _lower(_PRIME_WEIGHT))}
 
 _powers = np.ones(1, U64)
 _inverses = np.ones(1, U64)
+_prime_powers = np.ones(1, U64)
+_prime_inverses = np.ones(1, U64)
 
 
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +54,16 @@ def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[:n], _inverses[:n]
 
 
+def _prime_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the other base and of its inverse modulo the prime, n of each at least; doubled until they are enough."""
+    for name, base in (("_prime_powers", _PRIME_BASE), ("_prime_inverses", pow(_PRIME_BASE, -1, _PRIME))):
+        table = globals()[name]
+        while len(table) < n:
+            table = np.concatenate([table, table * U64(pow(base, len(table), _PRIME)) % U64(_PRIME)])
+        globals()[name] = table
+    return _prime_powers[:n], _prime_inverses[:n]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values; a one-to-one mapping."""
     h = h ^ (h >> U64(30))
@@ -65,18 +88,34 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def byte_prefix(data: np.ndarray, weights: np.ndarray = _WEIGHT) -> np.ndarray:
-    """Prefix sums of the weights of bytes, from which span_hashes takes the hash of any span."""
-    power, _ = power_tables(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, U64)
-    np.cumsum(weights[data] * power[: len(data)], out=prefix[1:])
+class Prefix(NamedTuple):
+    """Prefix sums of the weights of bytes, modulo 2**64 and of remainders by the prime."""
+
+    wide: np.ndarray
+    prime: np.ndarray
+
+
+def byte_prefix(data: np.ndarray, *, lower: bool = False) -> Prefix:
+    """Prefix sums from which span_hashes takes the hash of any span."""
+    n = len(data)
+    power, prime_power = power_tables(n + 1)[0][:n], _prime_tables(n + 1)[0][:n]
+    weight, prime_weight = _WEIGHTS[lower]
+    prefix = Prefix(np.zeros(n + 1, U64), np.zeros(n + 1, U64))
+    np.cumsum(weight[data] * power, out=prefix.wide[1:])
+    # fewer than 2**33 summands below 2**31: no overflow
+    np.cumsum(prime_weight[data] * prime_power % U64(_PRIME), out=prefix.prime[1:])
     return prefix
 
 
-def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans; equal spans have equal hashes."""
-    _, inverse = power_tables(len(prefix) + 1)
-    return mix((prefix[end] - prefix[start]) * inverse[start])
+def span_hashes(prefix: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans; equal spans have equal hashes.
+
+    Sums modulo a power of two alone agree on some different spans of regular
+    structure whatever the weights; the sums modulo a prime tell these apart.
+    """
+    inverse, prime_inverse = power_tables(len(prefix.wide) + 1)[1], _prime_tables(len(prefix.wide) + 1)[1]
+    prime = (prefix.prime[end] - prefix.prime[start]) % U64(_PRIME) * prime_inverse[start] % U64(_PRIME)
+    return mix(mix((prefix.wide[end] - prefix.wide[start]) * inverse[start]) + prime * U64(0xC2B2AE3D27D4EB4F))
 
 
 @dataclass
@@ -91,7 +130,7 @@ class Words:
     end: np.ndarray
     word_at: np.ndarray  # index of each text's first word, and the end
     hash: np.ndarray
-    prefix: np.ndarray  # prefix sums of byte weights
+    prefix: Prefix
 
     @property
     def counts(self) -> np.ndarray:
@@ -116,7 +155,6 @@ def slices(offsets: np.ndarray, max_bytes: int) -> Iterator[tuple[int, int]]:
 def words_of(column: pa.Array, *, lower: bool, max_bytes: int = 1 << 21) -> Iterator[Words]:
     """Words of whole texts, some megabytes of text at a time."""
     data, offsets = text_buffers(column)
-    weights = _WEIGHT_LOWER if lower else _WEIGHT
     for first, last in slices(offsets, max_bytes):
         at = offsets[first : last + 1] - offsets[first]
         part = data[offsets[first] : offsets[last]]
@@ -129,7 +167,7 @@ def words_of(column: pa.Array, *, lower: bool, max_bytes: int = 1 << 21) -> Iter
         end = word.copy()
         end[:-1] &= ~word[1:] | edge[1:n]
         start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
-        prefix = byte_prefix(part, weights)
+        prefix = byte_prefix(part, lower=lower)
         words = Words(first, last, part, at, start, end, np.searchsorted(start, at), np.zeros(0, U64), prefix)
         words.hash = words.span_hash(start, end)
         yield words

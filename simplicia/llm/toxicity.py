@@ -44,7 +44,7 @@ class ToxicityRules:
     least_voters: int = 12
     features: int = 4096
     #: Share of toxic texts among those that a lexicon entry fires on, at least.
-    precision: float = 0.8
+    precision: float = 0.9
     #: Kinds of texts in the label model, beside that of ordinary ones.
     kinds: int = 6
     em_rounds: int = 12

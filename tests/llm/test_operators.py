@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from simplicia.llm import chat, hmm_lm, mixing, near_dedup, quality, queries, sentence_pieces, token_counts, topk, toxicity, url_filter
+from simplicia.llm.kernel import words_of
 from simplicia.llm.shared import read
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -651,25 +652,55 @@ def test_toxicity_on_held_out_labels(spark):
     right = sum(r["predicted"] == r["toxic"] for r in rows) / len(rows)
     pos, neg = [r["score"] for r in rows if r["toxic"]], [r["score"] for r in rows if not r["toxic"]]
     order = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
-    print("accuracy", right, "area", order)
-    assert right > 0.9 and order > 0.9
-
-
-def brute_label_model(votes, entries, rules):
+    caught, alarms = sum(r["predicted"] for r in rows if r["toxic"]), sum(r["predicted"] for r in rows if not r["toxic"])
+    print("accuracy", right, "area", order, "caught", caught, "of", len(pos), "alarms", alarms, "of", len(neg))
+    # six of the toxic rows hold no mark of any kind
+    assert right > 0.98 and order > 0.95 and caught >= 0.92 * len(pos) and alarms <= 0.005 * len(neg)
+
+
+@pytest.mark.parametrize(("marks", "least", "most"), [(1, 1, 1), (4, 1, 1), (12, 1, 1), (12, 1, 2), (12, 2, 3)])
+def test_toxicity_of_few_marks(spark, marks, least, most):
+    """Toxic texts that hold one mark each, or some, among clean ones that hold none."""
+    rng = np.random.default_rng(marks)
+    rows = []
+    for i in range(600):
+        ws = [f"w{k}" for k in rng.integers(300, size=40)]
+        for _ in range(rng.integers(least, most + 1) if i % 3 == 0 else 0):
+            ws.insert(rng.integers(40), f"mark{rng.integers(marks)}er")
+        rows.append((i, " ".join(ws), int(i % 3 == 0)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    found = toxicity.score_toxicity(table.drop("toxic"), table.select("doc_id", "toxic")).collect()
+    assert all(r["predicted"] == (r["doc_id"] % 3 == 0) for r in found)
+
+
+def test_two_words_of_one_beginning(spark):
+    """The odd feature beside a beginning's stands for two different words that have it in one text."""
+    rows = spark.createDataFrame([(0, "abcdef1 abcdef2"), (1, "abcdef1 abcdef1"), (2, "abcdef2")], "doc_id long, text string").coalesce(1)
+    counts = {r["feature"]: r["n"] for r in toxicity._feature_counts(rows, None).collect()}
+    odd = {f: n for f, n in counts.items() if f & 1}
+    # of 4, 5 and 6 bytes
+    assert sorted(odd.values()) == [1, 1, 1] and all(counts[f - 1] == 3 for f in odd)
+    known = np.sort(np.array(list(counts), np.int64).view(np.uint64))
+    assert {r["feature"]: r["n"] for r in toxicity._feature_counts(rows, known).collect()} == counts
+
+
+def brute_label_model(votes, precision, rules):
     """Expectation maximisation text by text."""
     n, m = votes.shape
-    belong = [list(x) for x in toxicity.first_guess(votes, entries, rules)]
+    belong = [list(x) for x in toxicity.first_guess(votes, precision, rules)]
+    suspect = [1 - math.prod(1 - p for p, fired in zip(precision, v) if fired) for v in votes]
     for _ in range(rules.em_rounds + 1):
-        share, fires = [], []
+        share, fires, toxic = [], [], []
         for c in range(rules.kinds + 1):
             texts = sum(b[c] for b in belong)
             share.append((texts + 1) / (n + rules.kinds + 1))
+            toxic.append(sum(b[c] * x for b, x in zip(belong, suspect)) / texts)
             fires.append([min(max((sum(b[c] * v[j] for b, v in zip(belong, votes)) + 0.05) / (texts + 1), 1e-4), 1 - 1e-4) for j in range(m)])
         belong = []
         for v in votes:
             p = [share[c] * math.prod(fires[c][j] if v[j] else 1 - fires[c][j] for j in range(m)) for c in range(rules.kinds + 1)]
             belong.append([x / sum(p) for x in p])
-    return share, fires, [1 - b[0] for b in belong]
+    return share, fires, [1 - (1 - x) * (1 - sum(b * t for b, t in zip(bs, toxic))) for bs, x in zip(belong, suspect)]
 
 
 def test_label_model_is_brute_force_s(spark):
@@ -684,8 +715,9 @@ def test_label_model_is_brute_force_s(spark):
     assert (votes == np.column_stack([lexicon, shown])).all()
     patterns = spark.createDataFrame([(int(b), int(n)) for b, n in zip(*np.unique(bits, return_counts=True))], "votes long, n long")
     rules = toxicity.ToxicityRules(kinds=2, em_rounds=6)
-    model = toxicity.fit_label_model(patterns.repartition(3), 6, rules)
-    share, fires, q = brute_label_model(votes, 6, rules)
+    precision = np.array([0.9, 0.8, 0.95, 0.9, 0.85, 0.99])
+    model = toxicity.fit_label_model(patterns.repartition(3), precision, rules)
+    share, fires, q = brute_label_model(votes, precision, rules)
     assert np.allclose(model.share, share) and np.allclose(model.fires, fires) and np.allclose(model.posterior(votes), q)
     assert ((model.posterior(votes) > 0.5) == (kind > 0)).mean() > 0.9
     assert (model.accuracies() > 0.6).all()
@@ -727,6 +759,26 @@ def test_toxicity_edges(spark, nasty):
     assert toxicity.keep_harmless(nasty, labels).columns == nasty.columns
 
 
+# hashes of spans
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") & 1 else a for i in range(n))
+
+
+def test_words_of_regular_structure_are_told_apart(spark):
+    """These words agree in every sum over powers of an odd number modulo 2**64."""
+    one, other = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    h = [w.hash for w in words_of(pa.array([one, other, one]), lower=True)][0]
+    assert h[0] == h[2] != h[1]
+    rows = [(1, one), (2, other), (3, one), (4, f"{one} x y z\n{other} x y z"), (5, f"{one} x y z\n{one} x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("web")})
+    same(near_dedup.near_duplicates(docs).where("doc_id < 4"), [(1, 1), (2, 2), (3, 1)], "doc_id", "component_id")
+    same(quality.judge_quality(docs), [(1, 0), (2, 0), (3, 0), (4, 0), (5, 1)], "doc_id", "n_dup_lines")
+    scores = {r["doc_id"]: r["n_known"] for r in hmm_lm.score_texts(docs).select("doc_id", "n_known").collect()}
+    assert scores[1] == scores[3]
+
+
 # queries
 
 

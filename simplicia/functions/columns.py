@@ -146,6 +146,11 @@ def hash_unit(seed: int, *columns: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / float(1 << 52)
 
 
-def hash_order(seed: int, *columns: Column) -> Sequence[Column]:
-    """Sort keys of a shuffle that reruns repeat."""
-    return (F.xxhash64(F.lit(seed), *columns), *columns)
+def sample_key(seed: int, *columns: Column) -> Column:
+    """A key of 32 hexadecimal digits that only the seed and the columns' texts decide, the same in any engine."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(c.cast("string") for c in columns)))
+
+
+def key_unit(key: Column) -> Column:
+    """A sample key's first eight digits as a number in [0, 1)."""
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("long") / float(1 << 32)

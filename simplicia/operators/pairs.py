@@ -39,7 +39,7 @@ def _correct(side: str) -> Column:
 
 
 def clique_pairs(items: DataFrame, labels: DataFrame, *, keep: float = 1.0, seed: int = 0) -> DataFrame:
-    """All pairs of a bounded set of items (item), a share of them kept by hash, sides by hash, with labels where judged.
+    """All pairs of a bounded set of items (item), a share of them kept and sides chosen by digests, with labels where judged.
 
     Input for build_pairs.  The number of items is the size of a sampling plan,
     some hundreds; the pairs of all of them are what it asks for.
@@ -48,8 +48,8 @@ def clique_pairs(items: DataFrame, labels: DataFrame, *, keep: float = 1.0, seed
     pairs = a.join(b, F.col("a") < F.col("b"))
     n = pairs.count()
     if keep < 1:
-        pairs = pairs.orderBy(*C.hash_order(seed, F.col("a"), F.col("b"))).limit(max(3, int(n * keep)))
-    swap = C.hash_unit(seed + 1, F.col("a"), F.col("b")) >= 0.5
+        pairs = pairs.orderBy(C.sample_key(seed, F.col("a"), F.col("b")), "a", "b").limit(max(3, int(n * keep)))
+    swap = C.key_unit(C.sample_key(seed + 1, F.col("a"), F.col("b"))) >= 0.5
     known = labels.groupBy(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")).agg(F.max_by(F.struct("choice", "annotator"), F.struct("annotator", "choice")).alias("hit"))
     return pairs.join(known, ["a", "b"], "left").select(
         F.when(swap, F.col("b")).otherwise(F.col("a")).alias("left"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("right"), "hit.choice", "hit.annotator"
@@ -124,5 +124,5 @@ def flows(log: DataFrame) -> DataFrame:
 
 
 def random_flow(pairs: DataFrame, *, seed: int = 0) -> DataFrame:
-    """+1 or -1 by a bit of the hash of each pair (u, v): the control of a report."""
-    return pairs.select(F.lit("null").alias("label"), "u", "v", (2.0 * F.pmod(F.xxhash64(F.lit(seed), "u", "v"), F.lit(2)) - 1).alias("value"))
+    """+1 or -1 by a bit of each pair's (u, v) digest: the control of a report."""
+    return pairs.select(F.lit("null").alias("label"), "u", "v", F.when(C.key_unit(C.sample_key(seed, F.col("u"), F.col("v"))) < 0.5, 1.0).otherwise(-1.0).alias("value"))

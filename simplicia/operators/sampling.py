@@ -1,4 +1,4 @@
-"""Samples of pairs.  Order comes from hashes of the pair and a seed, so reruns agree on any cluster."""
+"""Samples of pairs.  Order comes from digests of the pair and a seed, so reruns agree on any cluster, and other engines can draw the same samples."""
 
 from __future__ import annotations
 
@@ -9,20 +9,51 @@ from simplicia.functions import columns as C
 from simplicia.tables import written
 
 
+def first_by_key(rows: DataFrame, n: int, key: str, *ties: str) -> DataFrame:
+    """The n rows of the smallest sample keys, exactly, without sorting more than the few whose keys lie around the cut.
+
+    Keys are evenly spread, so counts below two limits around n tell whether the
+    cut lies between them; all rows below the lower one are taken as they are.
+    """
+    total = rows.count()
+    if n >= total:
+        return rows
+    unit, around = C.key_unit(F.col(key)), 6 * n**0.5 + 10
+    while True:
+        low, high = max(0.0, (n - around) / total), min(1.0, (n + around) / total)
+        below, upto = rows.agg(F.count_if(unit < low), F.count_if(unit < high)).first()
+        if below <= n <= upto:
+            break
+        around *= 4
+    cut = rows.where((unit >= low) & (unit < high)).orderBy(key, *ties).limit(n - below)
+    return rows.where(unit < low).unionByName(cut)
+
+
 def uniform(pairs: DataFrame, n: int | None, *, seed: int = 0) -> DataFrame:
-    """n pairs; all of them, shuffled, for None or more than there are."""
-    ordered = pairs.orderBy(*C.hash_order(seed, F.col("pair_id")))
-    return ordered if n is None else ordered.limit(n)
+    """n pairs; all of them, shuffled, for None or more than there are.
+
+    Ties of keys, which are pairs of one pair_id, are taken in the order of their human choice and annotator.
+    """
+    keyed = pairs.withColumn("__key", C.sample_key(seed, F.col("pair_id")))
+    if n is not None:
+        keyed = first_by_key(written(keyed, "keyed-pairs"), n, "__key", "pair_id", *_ties(pairs))
+    return keyed.orderBy("__key", "pair_id").drop("__key")
+
+
+def _ties(pairs: DataFrame) -> list[str]:
+    return [c for c in ("human_choice", "annotator") if c in pairs.columns]
 
 
 def stratified(pairs: DataFrame, n: int, *, seed: int = 0) -> DataFrame:
     """n pairs, a fifth from each bin of gaps as far as a bin has them, the rest from all others, ties too."""
-    binned = pairs.withColumns({"__bin": C.gap_bin(F.col("gap")), "__key": F.xxhash64(F.lit(seed), "pair_id")})
+    ties = _ties(pairs)
+    binned = written(pairs.withColumns({"__bin": C.gap_bin(F.col("gap")), "__key": C.sample_key(seed, F.col("pair_id"))}), "binned-pairs")
     # the limit on the rank is applied before the shuffle too, so a bin sends few rows
-    ranked = binned.where("__bin IS NOT NULL").withColumn("__n", F.row_number().over(Window.partitionBy("__bin").orderBy("__key", "pair_id")))
+    ranked = binned.where("__bin IS NOT NULL").withColumn("__n", F.row_number().over(Window.partitionBy("__bin").orderBy("__key", "pair_id", *ties)))
     first = written(ranked.where(F.col("__n") <= n // len(C.GAP_BINS)).drop("__n"), "strata")
-    rest = binned.join(first.select("pair_id"), "pair_id", "left_anti").select(*binned.columns).orderBy("__key", "pair_id").limit(max(n - first.count(), 0))
-    return first.unionByName(rest).drop("__bin", "__key")
+    rest = written(binned.join(first.select("pair_id"), "pair_id", "left_anti").select(*binned.columns), "unpicked-pairs")
+    more = first_by_key(rest, max(n - first.count(), 0), "__key", "pair_id", *ties)
+    return first.unionByName(more).drop("__bin", "__key")
 
 
 def connected(pairs: DataFrame, n: int, *, block: int = 40, fan_out: int = 20, seed: int = 0) -> DataFrame:
@@ -44,12 +75,12 @@ def connected(pairs: DataFrame, n: int, *, block: int = 40, fan_out: int = 20, s
         return p.join(items.select(F.col("x").alias("left_item")), "left_item", "left_semi").join(items.select(F.col("x").alias("right_item")), "right_item", "left_semi")
 
     while inside(chosen).count() < n:
-        taken = written(frontier.orderBy(*C.hash_order(seed, F.col("x"))).limit(block), "taken")
+        taken = written(frontier.orderBy(C.sample_key(seed, F.col("x")), "x").limit(block), "taken")
         if taken.isEmpty():
             break
         chosen = written(chosen.union(taken), "chosen")
         fresh = ends.join(taken, "x", "left_semi").join(chosen.select(F.col("x").alias("y")), "y", "left_anti")
-        few = fresh.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(*C.hash_order(seed + 1, F.col("y"))))).where(F.col("k") <= fan_out)
+        few = fresh.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(C.sample_key(seed + 1, F.col("x"), F.col("y")), "y"))).where(F.col("k") <= fan_out)
         frontier = written(frontier.join(taken, "x", "left_anti").union(few.select(F.col("y").alias("x"))).distinct(), "frontier")
     kept = written(inside(chosen), "kept")
     while (size := kept.count()) > n:

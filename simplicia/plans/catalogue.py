@@ -219,7 +219,65 @@ def _uv(p: DataFrame) -> DataFrame:
     return p.select(F.col("left_item").cast("long").alias("u"), F.col("right_item").cast("long").alias("v"))
 
 
-@query(f"{X.PARTS_SQL} SELECT x.a AS u, x.b AS v, y.b AS w FROM pairs x JOIN pairs y ON x.b = y.a JOIN pairs z ON z.a = x.a AND z.b = y.b")
+_SAMPLED_SQL = f"""{X.PAIRS_SQL},
+keyed AS (
+  SELECT *, md5('0|' || pair_id) AS key,
+         CASE WHEN gap BETWEEN 1 AND 3 THEN '1-3' WHEN gap BETWEEN 4 AND 7 THEN '4-7' WHEN gap BETWEEN 8 AND 15 THEN '8-15' WHEN gap BETWEEN 16 AND 30 THEN '16-30' WHEN gap BETWEEN 31 AND 200 THEN '31-200' END AS bin
+  FROM pairs)"""
+
+
+@query(f"{_SAMPLED_SQL} SELECT pair_id, gap, true_side, human_side FROM keyed ORDER BY key, pair_id LIMIT 500")
+def pairs_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of 500 pairs, the same rows in any engine."""
+    return sampling.uniform(X.supplier_pairs(spark, sf_dir), 500).select("pair_id", "gap", "true_side", "human_side")
+
+
+@query(f"""{_SAMPLED_SQL},
+strata AS (SELECT * FROM keyed WHERE bin IS NOT NULL QUALIFY row_number() OVER (PARTITION BY bin ORDER BY key, pair_id) <= 20),
+more AS (
+  SELECT * FROM keyed WHERE pair_id NOT IN (SELECT pair_id FROM strata)
+  QUALIFY row_number() OVER (ORDER BY key, pair_id) <= 100 - (SELECT count(*) FROM strata))
+SELECT pair_id, gap, bin FROM strata UNION ALL SELECT pair_id, gap, bin FROM more""")
+def pairs_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a sample of 100: a fifth from each bin of gaps, as far as it goes, and others."""
+    return sampling.stratified(X.supplier_pairs(spark, sf_dir), 100).select("pair_id", "gap", C.gap_bin(F.col("gap")).alias("bin"))
+
+
+@query(f"""{X.PARTS_SQL} SELECT CAST(a AS VARCHAR) AS u, CAST(b AS VARCHAR) AS v, CASE WHEN substr(md5('0|' || a || '|' || b), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS value FROM pairs""")
+def null_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The random control flow on all part pairs that share an order."""
+    p = _uv(X.part_pairs(spark, sf_dir))
+    return pairs.random_flow(p.select(F.col("u").cast("string").alias("u"), F.col("v").cast("string").alias("v"))).drop("label")
+
+
+@query("""
+WITH items AS (SELECT CAST(n_nationkey AS VARCHAR) AS item FROM nation),
+labels AS (
+  SELECT CAST(c_nationkey AS VARCHAR) AS l, CAST(s_nationkey AS VARCHAR) AS r, CAST(CASE WHEN (l_orderkey + l_linenumber) % 2 = 0 THEN c_nationkey ELSE s_nationkey END AS VARCHAR) AS choice,
+         l_orderkey || '-' || l_linenumber AS annotator
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey),
+known AS (
+  SELECT least(l, r) AS a, greatest(l, r) AS b, choice, annotator FROM labels
+  QUALIFY row_number() OVER (PARTITION BY least(l, r), greatest(l, r) ORDER BY annotator DESC, choice DESC) = 1),
+ab AS (SELECT x.item AS a, y.item AS b FROM items x JOIN items y ON x.item < y.item),
+kept AS (SELECT * FROM ab QUALIFY row_number() OVER (ORDER BY md5('0|' || a || '|' || b), a, b) <= greatest(3, CAST(floor((SELECT count(*) FROM ab) * 0.75) AS BIGINT)))
+SELECT CASE WHEN substr(md5('1|' || a || '|' || b), 1, 1) >= '8' THEN b ELSE a END AS left, CASE WHEN substr(md5('1|' || a || '|' || b), 1, 1) >= '8' THEN a ELSE b END AS right, choice, annotator
+FROM kept LEFT JOIN known USING (a, b)""")
+def clique_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three quarters of all pairs of nations, judged by the lines that customers of the one bought from suppliers of the other."""
+    line = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(read(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    line = line.join(read(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    c, s = F.col("c_nationkey").cast("string"), F.col("s_nationkey").cast("string")
+    labels = line.select(c.alias("left"), s.alias("right"), F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 2 == 0, c).otherwise(s).alias("choice"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("annotator"))
+    items = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("item"))
+    return pairs.clique_pairs(items, labels, keep=0.75)
+
+
+# each pair of pairs that meet is looked up once: the order of the joins is given by the steps
+@query(f"""{X.PARTS_SQL},
+keys AS MATERIALIZED (SELECT a, b, a * 100000000 + b AS key FROM pairs),
+wedges AS MATERIALIZED (SELECT x.a AS u, x.b AS v, y.b AS w, x.a * 100000000 + y.b AS key FROM keys x JOIN keys y ON x.b = y.a)
+SELECT u, v, w FROM wedges WHERE key IN (SELECT key FROM keys)""")
 def pair_graph_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all parts that share orders: a graph that its data leaves incomplete."""
     return complexes.pair_triangles(_uv(X.part_pairs(spark, sf_dir)))

@@ -42,14 +42,25 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     return back
 
 
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop's (FileSystem, Path) of a path, for whatever store it is in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = filesystem(spark, path)
+    return system.exists(where)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that ``written`` or ``bucketed`` made and that nothing reads any more."""
     path, table = df._written
     spark = df.sparkSession
     if table is not None:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    system, where = filesystem(spark, path)
+    system.delete(where, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -221,7 +221,7 @@ def test_expressions(spark):
 
 @pytest.fixture(scope="module")
 def supplier_pairs(spark):
-    return fixtures.supplier_pairs(spark, "/root/testdata/sf0.01", sparse=True).cache()
+    return fixtures.supplier_pairs(spark, "/root/testdata/sf0.01").cache()
 
 
 def test_samples(spark, supplier_pairs):

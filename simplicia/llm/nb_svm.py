@@ -29,7 +29,7 @@ from simplicia.llm.shared import forget, fresh, with_columns_by
 @dataclass(frozen=True)
 class NbSvmRules:
     #: Documented bound: the classifier is fitted on a hash sample of so many labelled rows, a fifth of them for the logistic curve.
-    max_labelled: int = 15_000
+    max_labelled: int = 12_000
     #: n-grams are dealt by their hashes to 2 to the power of so many features.
     feature_bits: int = 18
     word_grams: int = 2
@@ -132,18 +132,16 @@ def dual_coordinate_descent(texts: LabelledGrams, fitted: np.ndarray, ratio: np.
     rng = np.random.default_rng(rules.seed)
     weight, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(texts.good))
     sign = np.where(texts.good, 1.0, -1.0)
-    held, values, square = {}, {}, {}
+    length = np.zeros(len(alpha))
     for i in rows:
-        f = texts.of(i)
-        x = ratio[f]
-        x = x / max(np.sqrt(x @ x), 1e-9)
-        held[i], values[i], square[i] = f, x, x @ x + 1.0
+        length[i] = max(np.linalg.norm(ratio[texts.of(i)]), 1e-9)
     for _ in range(rules.most_epochs):
         off = 0.0
         for i in rng.permutation(rows):
-            f, x = held[i], values[i]
+            f = texts.of(i)
+            x = ratio[f] / length[i]
             gradient = sign[i] * (weight[f] @ x + bias) - 1
-            best = min(max(alpha[i] - gradient / square[i], 0.0), rules.cost)
+            best = min(max(alpha[i] - gradient / (x @ x + 1.0), 0.0), rules.cost)
             step = best - alpha[i]
             if step:
                 weight[f] += step * sign[i] * x

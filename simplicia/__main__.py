@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from simplicia.functions import columns as C
@@ -14,17 +14,26 @@ from simplicia.sources import readers, writers
 from simplicia.tables import ranked, written
 
 
-def _triangles(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+def _triangles(spark: SparkSession, a: argparse.Namespace, seen: Observation | None = None) -> DataFrame:
     if a.format == "csv":
         return readers.triangle_csv(spark, a.input[0])
     if a.format == "slates":
-        return triplets.triangles(triplets.slate_counts(readers.slate_text(spark, *a.input), max_slate=a.max_slate), clamp=False, min_total=a.min_total)
+        slates = readers.slate_text(spark, *a.input)
+        if seen is not None:
+            slates = slates.observe(seen, *(c.alias(name) for name, c in triplets.slate_counters(a.max_slate).items()))
+        return triplets.triangles(triplets.slate_counts(slates, max_slate=a.max_slate), clamp=False, min_total=a.min_total)
     read = readers.triplet_text if a.format == "triplets" else readers.judgement_tsv
     return triplets.triangles(triplets.canonical_counts(read(spark, a.input[0])), min_total=a.min_total)
 
 
 def convert(spark: SparkSession, a: argparse.Namespace) -> None:
-    writers.triangle_csv(_triangles(spark, a), a.out, slim=True)
+    """Triangles as CSV; of sessions it also says how many were too short or too long."""
+    seen = Observation() if a.format == "slates" else None
+    tri = written(_triangles(spark, a, seen), "triangles")
+    if seen is not None:
+        print("sessions {n_sessions}, too short {n_short}, too long {n_long}, longest {longest}".format(**seen.get))
+    print(f"triangles {tri.count()}")
+    writers.triangle_csv(tri, a.out, slim=True)
 
 
 def decompose(spark: SparkSession, a: argparse.Namespace) -> None:

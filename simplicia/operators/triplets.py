@@ -69,6 +69,16 @@ def slate_counts(slates: DataFrame, *, max_slate: int | None = None) -> DataFram
     return decisive.groupBy("i", "j", "k").agg(F.count("*").alias("total_count"), *(F.count_if(F.col(f"b{c}") == F.col("flag")).alias(f"odd_{c}_count") for c in "ijk"))
 
 
+def slate_counters(max_slate: int | None = None) -> dict[str, Column]:
+    """Aggregates over sessions (slate, purchased): how many there are, how many are too short or too long, and the items of the longest.
+
+    For ``agg``, or for ``observe`` on the sessions that slate_counts reads.
+    """
+    size = F.size("slate")
+    long = size > max_slate if max_slate is not None else F.lit(False)
+    return {"n_sessions": F.count(F.lit(1)), "n_short": F.count_if(size < 3), "n_long": F.count_if(long), "longest": F.coalesce(F.max(size), F.lit(0)).cast("long")}
+
+
 def soft_triangles(triples: DataFrame, *, temperature: float = 1.0) -> DataFrame:
     """Rows (c0, c1, c2 classes; s01, s02, s12 similarities) to triangles of mean odd shares.
 

@@ -361,6 +361,25 @@ def running_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.running_accuracy(X.judgement_log(spark, sf_dir), "annotator")
 
 
+@query(f"""{X.PAIRS_SQL} SELECT "row", count(model_correct) OVER w AS n_scored, CAST(coalesce(sum(model_correct) OVER w, 0) AS BIGINT) AS n_correct
+FROM log WINDOW w AS (ORDER BY "row" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def running_accuracy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the whole log as one sequence, by sums of its ranges."""
+    return reports.running_accuracy(X.judgement_log(spark, sf_dir))
+
+
+@query(f"""{X.SLATES_SQL}, sizes AS (SELECT o, count(*) AS n FROM items GROUP BY o)
+SELECT count(*) AS n_sessions, count(*) FILTER (n < 3) AS n_short, count(*) FILTER (n > 5) AS n_long, max(n) AS longest,
+       (SELECT count(*) FROM items x JOIN items y ON x.o = y.o AND x.item < y.item JOIN items z ON x.o = z.o AND y.item < z.item JOIN sizes s ON s.o = x.o
+        WHERE s.n <= 5 AND x.bought + y.bought + z.bought IN (1, 2)) AS n_decisive FROM sizes""")
+def slate_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that are too short or too long for triangles, and the decisive triangles of the others."""
+    slates = X.slates(spark, sf_dir)
+    sizes = slates.agg(*(c.alias(name) for name, c in triplets.slate_counters(5).items()))
+    decisive = triplets.slate_counts(slates, max_slate=5).agg(F.coalesce(F.sum("total_count"), F.lit(0)).alias("n_decisive"))
+    return sizes.crossJoin(decisive)  # one row each
+
+
 @query(f"""{X.SCALED_SQL}, one AS (
   SELECT 'mock-q4' AS m, 'q4' AS q, CAST(count(*) AS VARCHAR) AS a, CAST(count(error) AS VARCHAR) AS b, format('{{:.2f}}%', 100 * avg(model_correct)) AS c, format('{{:.2f}}%', 100 * avg(human_correct)) AS d,
          format('{{:.2f}}%', 100 * avg(agrees)) AS e, format('{{:.2f}}%', 100 * avg(CASE WHEN model_side = 'left' THEN 1 ELSE 0 END)) AS f, format('{{:.2f}}', median(latency_s)) AS g FROM log)

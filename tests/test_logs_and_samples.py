@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import shutil
+import signal
+import subprocess
+import sys
+import time
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from simplicia.functions import columns as C
-from simplicia.operators import sampling
+from simplicia.operators import reports, sampling, triplets
 from simplicia.sources import readers
 from simplicia.streaming.log import DoneKeys, IndexRules
 
@@ -100,3 +106,62 @@ def test_repeated_pairs_are_cut_in_order(spark):
     found = sampling.uniform(table, 10).collect()
     expected = sorted(((str(n % 2), str(n)) for n in range(50)))[:10]
     assert sorted((r["human_choice"], r["annotator"]) for r in found) == expected
+
+
+def test_running_accuracy_of_a_whole_log(spark):
+    rows = [(n, None if n % 7 == 0 else float(n % 3 == 0)) for n in range(1, 2001)]
+    log = spark.createDataFrame(rows, "row long, model_correct double").repartition(6)
+    scored = correct = 0
+    expected = []
+    for n, x in rows:
+        scored, correct = scored + (x is not None), correct + int(x or 0)
+        expected.append((n, scored, correct))
+    assert sorted(map(tuple, reports.running_accuracy(log).collect())) == expected
+    assert reports.running_accuracy(log.where("false")).count() == 0
+
+
+def test_slate_counters_are_observed(spark):
+    sessions = spark.createDataFrame([([1, 2], [1]), ([1, 2, 3], [1]), ([1, 1, 2, 3, 4], [2]), (list(range(9)), [1])], "slate array<long>, purchased array<long>")
+    seen = Observation()
+    counts = triplets.slate_counts(sessions.observe(seen, *(c.alias(n) for n, c in triplets.slate_counters(5).items())), max_slate=5)
+    assert counts.agg(F.sum("total_count")).first()[0] == 1 + 3
+    assert seen.get == {"n_sessions": 4, "n_short": 1, "n_long": 1, "longest": 9}
+
+
+STREAM = """
+import pathlib, sys, time
+from pyspark.sql import SparkSession
+from simplicia.streaming import log
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+folder = pathlib.Path(sys.argv[1])
+def slow(batch, number):
+    (folder / f"begun-{number}").touch()
+    time.sleep(5)
+    (folder / f"ended-{number}").touch()
+query = log.read_log(spark, str(folder / "log"), files_per_trigger=1).writeStream.foreachBatch(slow).option("checkpointLocation", str(folder / "check")).trigger(availableNow=True).start()
+print("stopped", log.stop_on_signals(query), flush=True)
+"""
+
+
+@pytest.mark.parametrize("signals", [1, 2])
+def test_the_first_signal_ends_after_the_batch_and_the_second_at_once(tmp_path, signals):
+    (tmp_path / "log").mkdir()
+    for n in range(6):
+        (tmp_path / "log" / f"{n}.json").write_text(json.dumps({"row": n, "pair_id": str(n)}))
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    run = subprocess.Popen([sys.executable, "-c", STREAM, str(tmp_path)], env=os.environ | {"PYTHONPATH": root}, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True)
+    try:
+        until = time.time() + 120
+        while not (tmp_path / "begun-0").exists() and time.time() < until:
+            time.sleep(0.1)
+        for _ in range(signals):
+            run.send_signal(signal.SIGINT)
+            time.sleep(1)
+        out, _ = run.communicate(timeout=60)
+    finally:
+        run.kill()
+    if signals == 1:
+        assert run.returncode == 0 and "stopped True" in out
+        assert (tmp_path / "ended-0").exists() and not (tmp_path / "ended-5").exists()
+    else:
+        assert run.returncode == 130 and not (tmp_path / "ended-0").exists()

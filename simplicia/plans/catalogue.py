@@ -9,11 +9,11 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from simplicia.functions import columns as C
-from simplicia.operators import complexes, hodge, pairs, reports, sampling, spectral, triplets
+from simplicia.operators import complexes, eigen, hodge, pairs, reports, sampling, spectral, triplets
 from simplicia.plans import fixtures as X
 from simplicia.plans.register import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401
 from simplicia.streaming import log as stream
@@ -488,6 +488,44 @@ def butterfly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.butterfly(spectral.phases(edges, places), rows)
 
 
+def _part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(u, v), u < v: parts that share an order."""
+    p = X.part_pairs(spark, sf_dir).select(F.col("left_item").cast("long").alias("x"), F.col("right_item").cast("long").alias("y"))
+    return written(p.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "parts")
+
+
+@query(f"""{X.PARTS_SQL}, d AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY node)
+SELECT k, (SELECT count(*) FROM d) AS n_nodes, (SELECT CAST(sum(degree) AS DOUBLE) FROM d) AS trace, (SELECT min(degree) FROM d) AS least_degree, TRUE AS solves, TRUE AS unit, TRUE AS sums_to_0, TRUE AS in_bounds FROM (VALUES (CAST(1 AS BIGINT)), (2), (3)) t(k)""")
+def part_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Laplacian of parts that share an order: its smallest pairs beside the constant one, with their checks.
+
+    The residual is of the table of vectors and the Laplacian, made anew; values
+    rise from 0, and the first is at most n / (n - 1) times the least degree.
+    """
+    matrix = written(spectral.laplacian(_part_graph(spark, sf_dir)), "laplacian")
+    values, vectors = eigen.eigenpairs(matrix, 3, without_constant=True)
+    found = values.join(eigen.residuals(matrix, values, vectors), "k")
+    size = matrix.where("row = col").agg(F.count("*").alias("n_nodes"), F.sum("value").alias("trace"), F.min("value").cast("long").alias("least_degree"))
+    before = F.coalesce(F.lag("eigenvalue").over(Window.orderBy("k")), F.lit(-1e-9))  # three rows
+    bounds = (F.col("eigenvalue") >= before) & ((F.col("k") > 1) | (F.col("eigenvalue") <= F.col("n_nodes") / (F.col("n_nodes") - 1) * F.col("least_degree") + 1e-9))
+    checks = {"solves": F.col("residual") < 1e-6, "unit": F.abs(F.col("length") - 1) < 1e-8, "sums_to_0": F.abs("total") < 1e-6, "in_bounds": bounds}
+    return found.crossJoin(size).select("k", "n_nodes", "trace", "least_degree", *(c.alias(name) for name, c in checks.items()))  # one row of sizes
+
+
+@query()
+def part_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that share an order, placed by the second and third eigenvectors."""
+    return eigen.placed(spectral.laplacian(_part_graph(spark, sf_dir)))
+
+
+@query()
+def part_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lowest levels of the magnetic Laplacian of parts that share an order, for some fields."""
+    edges = _part_graph(spark, sf_dir)
+    phased = written(spectral.phases(edges, eigen.placed(spectral.laplacian(edges))), "phased")
+    return eigen.lowest_levels(phased, spark.createDataFrame([(float(b),) for b in (0, 10, 25, 50)], "field double"))
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS u, -(l_partkey * 1000000 + l_suppkey) - 1 AS v FROM lineitem),
 both_ AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),

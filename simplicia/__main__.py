@@ -1,4 +1,9 @@
-"""Command line: python -m simplicia VERB ..."""
+"""Command line: python -m simplicia VERB ...
+
+Every verb of judged pairs takes ``-c``, a YAML file of settings; what the
+command line leaves out is taken from it, and ``--out`` with it replaces the
+settings' output folder.  Without settings ``--out`` is the verb's own output.
+"""
 
 from __future__ import annotations
 
@@ -14,9 +19,21 @@ from simplicia.sources import readers, writers
 from simplicia.tables import ranked, written
 
 
+def _archives(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    return readers.npz_triples(spark, *a.input)
+
+
+def _classes(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """(code, id, label) of the classes in the archives, by the class index if there is one."""
+    names = _archives(spark, a).select(F.explode(F.array("f0", "f1", "f2")).alias("name"))
+    return readers.class_ids(names, readers.class_index(spark, a.labels) if a.labels else None)
+
+
 def _triangles(spark: SparkSession, a: argparse.Namespace, seen: Observation | None = None) -> DataFrame:
     if a.format == "csv":
         return readers.triangle_csv(spark, a.input[0])
+    if a.format == "npz":
+        return triplets.soft_triangles(readers.classed_triples(_archives(spark, a), _classes(spark, a)), temperature=a.temperature)
     if a.format == "slates":
         slates = readers.slate_text(spark, *a.input)
         if seen is not None:
@@ -39,7 +56,7 @@ def convert(spark: SparkSession, a: argparse.Namespace) -> None:
 def decompose(spark: SparkSession, a: argparse.Namespace) -> None:
     tri = written(_triangles(spark, a), "triangles")
     triplets.violations(tri).show()
-    edges, nodes = complexes.edges(tri), complexes.nodes(tri, C.SOFT if a.soft else C.HARD)
+    edges, nodes = complexes.edges(tri), complexes.nodes(tri, C.SOFT if a.soft or a.format == "npz" else C.HARD)
     complexes.ranges(tri, "agreement", "total_count").show()
     s1, _ = hodge.edge_projection(tri)
     s1 = written(s1, "s1")
@@ -51,7 +68,10 @@ def decompose(spark: SparkSession, a: argparse.Namespace) -> None:
     fractions = written(hodge.triangle_fractions(tri), "fractions")
     fractions.show(truncate=False)
     labels = None
-    if a.labels:
+    if a.format == "npz":
+        labels = complexes.dense_labels(_classes(spark, a).select("id", "label"))
+        writers.concept_list(labels, f"{a.out}/concepts")
+    elif a.labels:
         labels = complexes.dense_labels(readers.class_index(spark, a.labels).select("id", "label"))
         writers.concept_list(labels, f"{a.out}/concepts")
     places = spectral.layout(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), rounds=a.layout) if a.layout else None
@@ -61,24 +81,48 @@ def decompose(spark: SparkSession, a: argparse.Namespace) -> None:
         writers.payload(tri, edges, nodes, complexes.tetrahedra(tri), s1, meta, f"{a.out}/payload.json{end}", gzip=bool(end))
 
 
+def _settled(a: argparse.Namespace) -> readers.RunConfig:
+    """The settings, and with a file of them the paths that the command line left out."""
+    if not a.config:
+        missing = [f"--{n}" for n in a.needs if getattr(a, n) is None]
+        if missing:
+            raise SystemExit(f"{a.verb} needs {', '.join(missing)} or -c")
+        return readers.RunConfig()
+    config = readers.run_config(a.config)
+    folder = a.out or str(config.out_dir)
+    paths = {"pairs": f"{folder}/pairs.parquet", "log": f"{folder}/{config.jsonl_name}", "labels": str(config.crowd_csv), "scores": str(config.gt_csv)}
+    for name in a.needs:
+        if name in paths and getattr(a, name) is None:
+            setattr(a, name, paths[name])
+    a.out = {"pairs": paths["pairs"], "sync": f"{folder}/{config.parquet_name}"}.get(a.verb, folder)
+    return config
+
+
 def make_pairs(spark: SparkSession, a: argparse.Namespace) -> None:
     """Once made, a pair list is used again."""
+    config = _settled(a)
+    source, selection, n, seed = a.source or config.pair_source, a.selection, a.n, config.run_seed if a.config else 0
+    if a.config:
+        # settings that name another selection than "connected" mean a sample, over gaps or plain
+        selection = selection or (config.selection if config.selection == "connected" else "stratified" if config.stratify_by_gap else "uniform")
+        n = config.n_pairs if n is None else n
     labels, scores = readers.label_csv(spark, a.labels), readers.score_csv(spark, a.scores)
     every = pairs.build_pairs(labels, scores)
-    if a.source == "clique":
-        every = pairs.build_pairs(pairs.clique_pairs(sampling.clique_items(every, a.items), labels, keep=a.keep), scores)
-    elif a.n and a.selection == "connected":
-        every = sampling.connected(every, a.n)
-    elif a.n and a.selection == "stratified":
-        every = sampling.stratified(every, a.n)
+    if source == "clique":
+        items, keep = a.items or config.clique_faces, config.clique_keep_frac if a.keep is None else a.keep
+        every = pairs.build_pairs(pairs.clique_pairs(sampling.clique_items(every, items), labels, keep=keep), scores)
+    elif n and selection in (None, "connected"):
+        every = sampling.connected(every, n, seed=seed)
+    elif n and selection == "stratified":
+        every = sampling.stratified(every, n, seed=seed)
     else:
-        every = sampling.uniform(every, a.n or None)
+        every = sampling.uniform(every, n or None, seed=seed)
     every.write.mode("ignore").parquet(a.out)
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
     """Judge open tasks and append the records to the log; a log with torn lines is written anew first."""
-    config = readers.run_config(a.config) if a.config else readers.RunConfig()
+    config = _settled(a)
     provider = "mock" if a.mock else config.provider
     todo = pairs.tasks(spark.read.parquet(a.pairs), swap_repeat=config.swap_repeat)
     done = 0
@@ -107,14 +151,17 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def sync(spark: SparkSession, a: argparse.Namespace) -> None:
+    _settled(a)
     writers.snapshot(readers.judgement_log(spark, a.log), a.out)
 
 
 def status(spark: SparkSession, a: argparse.Namespace) -> None:
+    _settled(a)
     reports.status(readers.judgement_log(spark, a.log)).show()
 
 
 def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
+    _settled(a)
     log = written(readers.judgement_log(spark, a.log), "log")
     summary = reports.summary(log, generated=datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S UTC")).orderBy("place").drop("place")
     for report in (reports.accuracy(log), reports.accuracy_by_gap(log), reports.order_consistency(log), summary):
@@ -142,39 +189,39 @@ def parser() -> argparse.ArgumentParser:
         v = verbs.add_parser(name)
         v.set_defaults(run=f)
         v.add_argument("input", nargs="+")
-        v.add_argument("--format", choices=["triplets", "tsv", "slates", "csv"], default="slates")
+        v.add_argument("--format", choices=["triplets", "tsv", "slates", "csv", "npz"], default="slates")
         v.add_argument("--max-slate", type=int)
         v.add_argument("--min-total", type=int, default=1)
         v.add_argument("--soft", action="store_true")
+        v.add_argument("--temperature", type=float, default=1.0, help="of the softmax over the similarities of archives")
         v.add_argument("--labels", help="class index, for labels of nodes")
         v.add_argument("--layout", type=int, default=0, help="rounds of the layout of nodes; 0 for none")
         v.add_argument("--out", required=True)
-    v = verbs.add_parser("pairs")
-    v.set_defaults(run=make_pairs)
-    v.add_argument("--labels", required=True)
-    v.add_argument("--scores", required=True)
-    v.add_argument("--source", choices=["human_judged", "clique"], default="human_judged")
-    v.add_argument("--selection", choices=["connected", "stratified", "uniform"], default="connected")
-    v.add_argument("--n", type=int, default=0)
-    v.add_argument("--items", type=int, default=70)
-    v.add_argument("--keep", type=float, default=0.75)
-    v.add_argument("--out", required=True)
-    v = verbs.add_parser("run")
-    v.set_defaults(run=run)
-    v.add_argument("--pairs", required=True)
-    v.add_argument("--log", required=True)
+    settings = argparse.ArgumentParser(add_help=False)
+    settings.add_argument("-c", "--config", help="YAML settings")
+    settings.add_argument("--out", help="the verb's output; with settings, their output folder")
+    v = verbs.add_parser("pairs", parents=[settings])
+    v.set_defaults(run=make_pairs, needs=("labels", "scores", "out"))
+    v.add_argument("--labels")
+    v.add_argument("--scores")
+    v.add_argument("--source", choices=["human_judged", "clique"])
+    v.add_argument("--selection", choices=["connected", "stratified", "uniform"])
+    v.add_argument("--n", type=int)
+    v.add_argument("--items", type=int, default=0)
+    v.add_argument("--keep", type=float)
+    v = verbs.add_parser("run", parents=[settings])
+    v.set_defaults(run=run, needs=("pairs", "log"))
+    v.add_argument("--pairs")
+    v.add_argument("--log")
     v.add_argument("--limit", type=int, default=0)
     v.add_argument("--retry-errors", action="store_true")
-    v.add_argument("-c", "--config", help="YAML settings")
     v.add_argument("--mock", action="store_true", help="the mock judge, whatever the settings say")
     v.add_argument("--workers", type=int, default=0, help="judges at a time")
     v.add_argument("--items", help="names of the items that are there, a line each; tasks of others become errors")
     for name, f in (("sync", sync), ("status", status), ("analyze", analyze)):
-        v = verbs.add_parser(name)
-        v.set_defaults(run=f)
-        v.add_argument("--log", required=True)
-        if name != "status":
-            v.add_argument("--out", required=name == "sync")
+        v = verbs.add_parser(name, parents=[settings])
+        v.set_defaults(run=f, needs=("log", "out") if name == "sync" else ("log",))
+        v.add_argument("--log")
     v = verbs.add_parser("verify")
     v.set_defaults(run=verify)
     v.add_argument("--manifest", required=True)

@@ -391,7 +391,7 @@ def test_text_readers(spark, tmp_path):
     (i := tmp_path / "i.json").write_text('{"0": ["n01", "cat"], "1": ["n02", "dog"]}')
     index = readers.class_index(spark, str(i))
     names = spark.createDataFrame([("n02_5.jpg",), ("n09_1.jpg",), ("n08_1.jpg",)], "name string")
-    assert {tuple(r) for r in readers.class_ids(names, index).collect()} == {("n02", 1), ("n08", 2), ("n09", 3)}
+    assert {tuple(r) for r in readers.class_ids(names, index).collect()} == {("n02", 1, "dog"), ("n08", 2, "n08"), ("n09", 3, "n09")}
     np.savez(tmp_path / "z.npz", filenames=np.array([["a", "b", "c"]]), similarities=np.array([[0.1, 0.2, 0.3]]))
     assert [tuple(r) for r in readers.npz_triples(spark, str(tmp_path / "z.npz")).collect()] == [("a", "b", "c", 0.1, 0.2, 0.3)]
     (c := tmp_path / "c.yaml").write_text("model:\n  name: x-q4\n  host: http://h//\n  timeout_s: '9'\nrun:\n  n_pairs: all\n  seed: 4\noutput:\n  dir: here\ndata:\n")

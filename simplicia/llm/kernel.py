@@ -37,17 +37,26 @@ _WEIGHTS = {False: (_WEIGHT, _PRIME_WEIGHT), True: (_lower(_WEIGHT), _lower(_PRI
 
 _powers = np.ones(1, U64)
 _inverses = np.ones(1, U64)
-_prime_powers = np.ones(1, U64)
-_prime_inverses = np.ones(1, U64)
+# remainders by the prime fit into half the room
+_prime_powers = np.ones(1, np.uint32)
+_prime_inverses = np.ones(1, np.uint32)
+
+#: Tables grow by steps of so many entries; a worker keeps them from task to task.
+_STEP = 1 << 16
+#: Text whose words are looked at together, in bytes; a longer text is looked at alone, as a whole.
+SLICE = 1 << 19
+
+
+def _room(n: int) -> int:
+    return -(-n // _STEP) * _STEP
 
 
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n of each at least."""
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, 1 << 16)
         for name, base in (("_powers", _BASE), ("_inverses", pow(_BASE, -1, 1 << 64))):
-            table = np.full(size, base, U64)
+            table = np.full(_room(n), base, U64)
             table[0] = 1
             np.cumprod(table, out=table)
             globals()[name] = table
@@ -58,8 +67,10 @@ def _prime_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the other base and of its inverse modulo the prime, n of each at least; doubled until they are enough."""
     for name, base in (("_prime_powers", _PRIME_BASE), ("_prime_inverses", pow(_PRIME_BASE, -1, _PRIME))):
         table = globals()[name]
-        while len(table) < n:
-            table = np.concatenate([table, table * U64(pow(base, len(table), _PRIME)) % U64(_PRIME)])
+        size = _room(n) if len(table) < n else len(table)
+        while len(table) < size:
+            more = table[: size - len(table)] * U64(pow(base, len(table), _PRIME)) % U64(_PRIME)
+            table = np.concatenate([table, more.astype(np.uint32)])
         globals()[name] = table
     return _prime_powers[:n], _prime_inverses[:n]
 
@@ -101,9 +112,14 @@ def byte_prefix(data: np.ndarray, *, lower: bool = False) -> Prefix:
     power, prime_power = power_tables(n + 1)[0][:n], _prime_tables(n + 1)[0][:n]
     weight, prime_weight = _WEIGHTS[lower]
     prefix = Prefix(np.zeros(n + 1, U64), np.zeros(n + 1, U64))
-    np.cumsum(weight[data] * power, out=prefix.wide[1:])
+    each = weight[data]
+    each *= power
+    np.cumsum(each, out=prefix.wide[1:])
     # fewer than 2**33 summands below 2**31: no overflow
-    np.cumsum(prime_weight[data] * prime_power % U64(_PRIME), out=prefix.prime[1:])
+    np.take(prime_weight, data, out=each)
+    each *= prime_power
+    each %= U64(_PRIME)
+    np.cumsum(each, out=prefix.prime[1:])
     return prefix
 
 
@@ -152,7 +168,7 @@ def slices(offsets: np.ndarray, max_bytes: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def words_of(column: pa.Array, *, lower: bool, max_bytes: int = 1 << 21) -> Iterator[Words]:
+def words_of(column: pa.Array, *, lower: bool, max_bytes: int = SLICE) -> Iterator[Words]:
     """Words of whole texts, some megabytes of text at a time."""
     data, offsets = text_buffers(column)
     for first, last in slices(offsets, max_bytes):

@@ -116,7 +116,7 @@ def byte_prefix(data: np.ndarray, *, lower: bool = False) -> Prefix:
     each *= power
     np.cumsum(each, out=prefix.wide[1:])
     # fewer than 2**33 summands below 2**31: no overflow
-    np.take(prime_weight, data, out=each)
+    np.take(prime_weight, data, out=each, mode="clip")  # a byte is always in range; this mode needs no copy
     each *= prime_power
     each %= U64(_PRIME)
     np.cumsum(each, out=prefix.prime[1:])

@@ -39,6 +39,17 @@ def test_features_of_many_texts_take_little_memory(monkeypatch):
     assert peak_of(lambda: [toxicity._hits(w, known) for w in words_of(column, lower=True)]) < 100
 
 
+def test_sketches_of_many_texts_take_little_memory(monkeypatch):
+    without_tables(monkeypatch)
+    column, rules = pa.array(TEXTS), near_dedup.DedupRules()
+
+    def run():
+        for w in words_of(column, lower=True):
+            near_dedup.sketch(list(near_dedup.shingle_sets(w, rules.shingle_words)), rules.bands * rules.rows, rules.seed)
+
+    assert peak_of(run) < 60
+
+
 def test_tables_that_stay_in_a_worker_are_small(monkeypatch):
     without_tables(monkeypatch)
     for _ in words_of(pa.array(TEXTS), lower=True):

@@ -7,6 +7,10 @@ Baum-Welch runs over all training texts; each task sends its expected counts,
 which Spark sums, and the driver holds only the model, whose size is fixed.
 A text's score is its exact likelihood by the scaled forward recursion, times
 the tokens' shares of their buckets.
+
+Texts are split twice: for the counts, and once more to write what the counts
+say of every text (its classes, sums over its tokens, the tokens that no task
+holds), which all later steps read.
 """
 
 from __future__ import annotations
@@ -44,6 +48,8 @@ class HmmRules:
 SLICE, COUNTED = 1 << 19, 1 << 18
 #: Tasks that add up what all others expect; the driver gets a row from each.
 ADDERS = 8
+#: Steps of a recursion between two that are scaled; probabilities fall by 1e-22 a step at the most for 10^10 tokens.
+SCALED = 4
 
 END = int(mix(np.array([0x454E44], U64)).view(np.int64)[0])
 
@@ -129,20 +135,33 @@ class Packed:
         self.text = np.arange(len(classes)) - np.repeat(self.at[:-1], self.active)
         time = np.repeat(np.arange(len(self.active)), self.active)
         self.classes = classes[first[self.text] + time]
+        self.last = self.at[length - 1] + np.arange(len(length))  # entry of each text's last token
 
     def forward(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled forward probabilities, emissions and scales of all entries."""
-        b = m.emit[self.classes]
-        alpha, scale = np.empty_like(b), np.empty(len(b))
+        """Forward probabilities, emissions over scales, and scales of all entries.
+
+        Every fourth step is scaled, and the last one of each text; a scale in between is 1.
+        """
+        b = np.take(m.emit, self.classes, axis=0, mode="clip")  # a class is always in range; this mode is faster
+        alpha, scale = np.empty_like(b), np.ones(len(b))
         at, active = self.at.tolist(), self.active.tolist()
-        a = np.broadcast_to(m.start, (active[0], len(m.start)))
-        for t, k in enumerate(active):
+        one = np.ones(b.shape[1])
+        np.multiply(b[: at[1]], m.start, out=alpha[: at[1]])
+        a = alpha[: at[1]]
+        for t in range(1, len(active)):
             i, j = at[t], at[t + 1]
-            x = b[i:j] * (a[:k] @ m.move if t else a[:k])
-            s = x.sum(1)
-            x /= s[:, None]
-            a = alpha[i:j] = x
-            scale[i:j] = s
+            x = alpha[i:j]
+            np.dot(a[: j - i], m.move, out=x)
+            x *= b[i:j]
+            if t % SCALED == 0:
+                s = scale[i:j] = x @ one
+                x /= s[:, None]
+                b[i:j] /= s[:, None]
+            a = x
+        s = alpha[self.last] @ one
+        alpha[self.last] /= s[:, None]
+        b[self.last] /= s[:, None]
+        scale[self.last] *= s
         return alpha, b, scale
 
     def log_likelihood(self, scale: np.ndarray) -> np.ndarray:
@@ -155,19 +174,20 @@ class Packed:
         """Expected starts, moves and emissions."""
         alpha, b, scale = self.forward(m)
         self.likelihood = float(np.log(scale).sum())
-        at, active = self.at.tolist(), self.active.tolist()
+        at = self.at.tolist()
         beta = np.ones_like(b)
         move_t = m.move.T.copy()
-        b /= scale[:, None]  # emission over scale, as the backward step needs it
-        for t in range(len(active) - 2, -1, -1):
-            i, j, k = at[t + 1], at[t + 2], active[t + 1]
-            beta[at[t] : at[t] + k] = (b[i:j] * beta[i:j]) @ move_t
-        gamma = alpha * beta
+        for t in range(len(at) - 3, -1, -1):
+            i, j = at[t + 1], at[t + 2]
+            x = b[i:j]
+            x *= beta[i:j]
+            np.dot(x, move_t, out=beta[at[t] : at[t] + j - i])
         later = np.arange(at[1], len(b))
         before = later - np.repeat(self.active[:-1], self.active[1:])
-        moves = (alpha[before].T @ (b[later] * beta[later])) * m.move
-        emits = np.stack([np.bincount(self.classes, weights=gamma[:, s], minlength=len(m.emit)) for s in range(b.shape[1])], 1)
-        return gamma[: at[1]].sum(0), moves, emits
+        moves = (np.take(alpha, before, axis=0, mode="clip").T @ b[at[1] :]) * m.move
+        alpha *= beta
+        emits = np.stack([np.bincount(self.classes, weights=alpha[:, s], minlength=len(m.emit)) for s in range(b.shape[1])], 1)
+        return alpha[: at[1]].sum(0), moves, emits
 
 
 def _groups(lengths: np.ndarray, together: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -191,19 +211,73 @@ def _batch_tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
 
 
-def _encoded(train: DataFrame, model: Model) -> DataFrame:
-    """Each text's classes as bytes, so that the steps needn't split texts again."""
-    held = train.sparkSession.sparkContext.broadcast(model)
+def _encoded(docs: DataFrame, model: Model) -> DataFrame:
+    """What the counts say of each text, so that no later step need split texts again.
+
+    ``classes`` has a text's classes as bytes; ``base`` and ``within`` are sums
+    over its tokens of which a task holds the counts (n_held of n_tokens);
+    ``open`` has the others, each once, with their numbers.  Columns other than
+    text are kept.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in docs.columns if c != "text"]
+    schema = [f"{c} {kind}" for c, kind in docs.dtypes if c != "text"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m = shared.value
+        r = m.rules
+        in_all = np.log10(m.total + r.smooth * (m.distinct + 1))
+        in_bucket = np.log10(m.bucket_tokens + r.smooth * (m.bucket_distinct + 1))
+        log_count = np.log10(m.held_count + r.smooth)
         for batch in batches:
-            for _, _, tokens, n in _token_rows(batch):
-                classes = m.lookup(tokens)[0].astype(_class_type(m))
-                at = np.concatenate([[0], np.cumsum(n)])
-                yield pa.RecordBatch.from_arrays([pa.array([classes[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], ["classes"])
-
-    return train.select("text").mapInArrow(encode, "classes binary")
+            for first, last, tokens, n in _token_rows(batch):
+                # each different token is looked up once
+                distinct, which = np.unique(tokens, return_inverse=True)
+                classes, held = m.lookup(distinct)
+                count = np.where(held >= 0, log_count[held], 0.0) if len(log_count) else np.zeros(len(held))
+                shared_class = classes >= r.own
+                within = np.where(shared_class, count - in_bucket[np.where(shared_class, classes - r.own, 0)], 0.0)
+                of = np.repeat(np.arange(len(n)), n)
+                rare = (held < 0)[which]
+                open_ = np.bincount(of[rare], minlength=len(n))
+                arrays = [
+                    *(batch.column(c).slice(first, last - first) for c in kept),
+                    pa.array(n.astype(np.int64)),
+                    pa.array((n - open_).astype(np.int64)),
+                    pa.array(np.bincount(of, weights=(count - in_all)[which], minlength=len(n))),
+                    pa.array(np.bincount(of, weights=within[which], minlength=len(n))),
+                    _binaries(classes.astype(_class_type(m))[which], n),
+                    _numbers(of[rare], tokens[rare], len(n)),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, [*kept, "n_tokens", "n_held", "base", "within", "classes", "open"])
+
+    return docs.mapInArrow(encode, ", ".join([*schema, "n_tokens long, n_held long, base double, within double, classes binary, open array<struct<token: long, n: long>>"]))
+
+
+def _binaries(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Binary values of n numbers each."""
+    at = np.concatenate([[0], np.cumsum(n)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbers(of: np.ndarray, tokens: np.ndarray, texts: int) -> pa.Array:
+    """Lists of the different tokens of each text, with how often each occurs."""
+    order = np.lexsort((tokens, of))
+    tokens, of = tokens[order], of[order]
+    new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (of[1:] != of[:-1])])[: len(tokens)]
+    at = np.flatnonzero(new)
+    n = np.diff(np.concatenate([at, [len(tokens)]]))
+    rows = pa.StructArray.from_arrays([pa.array(tokens[at].view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of[at], np.arange(texts + 1)).astype(np.int32)), rows)
+
+
+def _texts(column: pa.Array, m: Model) -> Iterator[tuple[np.ndarray, Packed]]:
+    """Texts of like length together, from their classes as bytes: their numbers, and the texts side by side."""
+    kind = np.dtype(_class_type(m))
+    data, at = text_buffers(column)
+    classes, n = np.frombuffer(data.tobytes(), kind), np.diff(at) // kind.itemsize
+    for rows, places in _groups(n, m.rules.together):
+        yield rows, Packed(classes[places].astype(np.int64), n[rows])
 
 
 def _class_type(m: Model) -> type:
@@ -218,13 +292,9 @@ def _improve(encoded: DataFrame, model: Model) -> Model:
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        kind = np.dtype(_class_type(m))
         total = np.zeros(size + 1)
         for batch in batches:
-            data, at = text_buffers(batch.column("classes"))
-            classes, n = np.frombuffer(data.tobytes(), kind), np.diff(at) // kind.itemsize
-            for rows, places in _groups(n, m.rules.together):
-                packed = Packed(classes[places].astype(np.int64), n[rows])
+            for _, packed in _texts(batch.column("classes"), m):
                 start, moves, emits = packed.expected(m)
                 total += np.concatenate([start, moves.ravel(), emits.ravel(), [packed.likelihood]])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
@@ -288,74 +358,40 @@ def _initial(counts: DataFrame, rules: HmmRules) -> Model:
     return _normalised(m, np.ones(s), np.ones((s, s)) + 200 * np.eye(s), emit)
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """(token, c) of all texts of ``docs``."""
+    return written(docs.select("text").mapInArrow(_count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")), "token-counts")
+
+
+def _fitted(encoded: DataFrame, model: Model) -> Model:
+    """All Baum-Welch steps over the texts of ``encoded``."""
+    for _ in range(model.rules.steps):
+        model = _improve(encoded.select("classes"), model)
+    return model
+
+
 def train(docs: DataFrame, rules: HmmRules = HmmRules()) -> tuple[Model, DataFrame]:
     """The model and the counts (token, c) of all texts of ``docs``, whose column is text."""
-    counts = written(docs.select("text").mapInArrow(_count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")), "token-counts")
+    counts = _counted(docs)
     model = _initial(counts, rules)
-    encoded = written(_encoded(docs, model), "classes")
-    for _ in range(rules.steps):
-        model = _improve(encoded, model)
-    return model, counts
+    return _fitted(written(_encoded(docs.select("text"), model), "classes"), model), counts
 
 
-def _partial_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """What the held tables say: sums over the tokens, those without a held count left open."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = dict(docs.dtypes)["doc_id"]
+def _partial_scores(encoded: DataFrame, model: Model) -> DataFrame:
+    """What the held tables and the states say; tokens without a held count are left open."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+    kept = ["doc_id", "key", "held_out", "n_tokens", "n_held", "base"]
+    kinds = dict(encoded.dtypes)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        r = m.rules
-        in_all = np.log10(m.total + r.smooth * (m.distinct + 1))
-        in_bucket = np.log10(m.bucket_tokens + r.smooth * (m.bucket_distinct + 1))
-        log_count = np.log10(m.held_count + r.smooth)
         for batch in batches:
-            tokens, n = _batch_tokens(batch)
-            known, open_, base, full = (np.zeros(len(n)) for _ in range(4))
-            for texts, places in _groups(n, r.together):
-                h = tokens[places]
-                classes, held = m.lookup(h)
-                of = np.repeat(np.arange(len(texts)), n[texts])
-                add = lambda x, of=of, k=len(texts): np.bincount(of, weights=x, minlength=k)
-                count = np.where(held >= 0, log_count[held], 0.0) if len(log_count) else np.zeros(len(h))
-                known[texts] = add((held >= 0).astype(float))
-                open_[texts] = add((held < 0).astype(float))
-                base[texts] = add(count - in_all)
-                shared_class = classes >= r.own
-                bucket = np.where(shared_class, classes - r.own, 0)
-                within = np.where(shared_class, count - in_bucket[bucket], 0.0)
-                packed = Packed(classes, n[texts])
-                full[texts] = add(within) + packed.log_likelihood(packed.forward(m)[2]) / np.log(10)
-            arrays = [batch.column("doc_id"), batch.column("key"), pa.array(n), pa.array(known.astype(np.int64)), pa.array(open_.astype(np.int64)), pa.array(base), pa.array(full)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n_tokens", "n_held", "n_open", "base", "full"])
-
-    return docs.mapInArrow(score, f"doc_id {kind}, key long, n_tokens long, n_held long, n_open long, base double, full double")
+            full = batch.column("within").to_numpy().copy()
+            for rows, packed in _texts(batch.column("classes"), m):
+                full[rows] += packed.log_likelihood(packed.forward(m)[2]) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(full)], [*kept, "full"])
 
-
-def _open_tokens(docs: DataFrame, model: Model) -> DataFrame:
-    """(of, key, token, n): tokens of each text whose counts no task holds."""
-    held = docs.sparkSession.sparkContext.broadcast(model.held_hash)
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = held.value
-        for batch in batches:
-            for first, last, tokens, n in _token_rows(batch):
-                of = np.repeat(np.arange(last - first), n)
-                if len(have):
-                    at = np.searchsorted(have, tokens)
-                    at[at == len(have)] = 0
-                    rare = have[at] != tokens
-                    tokens, of = tokens[rare], of[rare]
-                order = np.lexsort((tokens, of))
-                tokens, of = tokens[order], of[order]
-                new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (of[1:] != of[:-1])])[: len(tokens)]
-                at = np.flatnonzero(new)
-                n = np.diff(np.concatenate([at, [len(tokens)]]))
-                rows = pa.array(first + of[at])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array(tokens[at].view(np.int64)), pa.array(n.astype(np.int64))], ["of", "key", "token", "n"])
-
-    return docs.mapInArrow(find, f"of {kind}, key long, token long, n long")
+    return encoded.select(*kept, "within", "classes").mapInArrow(score, ", ".join([*(f"{c} {kinds[c]}" for c in kept), "full double"]))
 
 
 def score_texts(docs: DataFrame, rules: HmmRules = HmmRules()) -> DataFrame:
@@ -369,24 +405,25 @@ def score_texts(docs: DataFrame, rules: HmmRules = HmmRules()) -> DataFrame:
     rows have equal scores.  With nothing to learn from, counts are 0 and
     scores stay finite.  Tokens are told apart by 64-bit hashes.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    model, counts = train(rows.where(~is_held_out(F.col("doc_id"))), rules)
-    smooth = rules.smooth
-    tokens = _open_tokens(rows, model).join(counts, "token", "left")
-    rest = tokens.groupBy("of", "key").agg(
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key"), is_held_out(F.col("doc_id")).alias("held_out"))
+    counts = _counted(rows.where(~F.col("held_out")))
+    model = _initial(counts, rules)
+    encoded = written(_encoded(rows, model), "classes")
+    model = _fitted(encoded.where(~F.col("held_out")), model)
+    tokens = encoded.select(F.col("doc_id").alias("of"), F.col("key").alias("rest_key"), F.inline("open")).join(counts, "token", "left")
+    rest = tokens.groupBy("of", "rest_key").agg(
         F.sum("n").alias("all_n"),
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known_n"),
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(smooth))).alias("log_n"),
+        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(rules.smooth))).alias("log_n"),
     )
-    rest = rest.withColumnRenamed("key", "rest_key")
-    parts = _partial_scores(rows, model)
+    parts = _partial_scores(encoded, model)
     joined = parts.join(rest, parts["doc_id"].eqNullSafe(rest["of"]) & (parts["key"] == rest["rest_key"]), "left")
-    times = F.col("all_n") / F.col("n_open")  # rows that repeat add up in the sums
+    times = F.col("all_n") / (F.col("n_tokens") - F.col("n_held"))  # rows that repeat add up in the sums
     # a token outside the held ones always stands in a bucket, so both scores gain the same sum
     more = F.coalesce(F.col("log_n") / times, F.lit(0.0))
     return joined.select(
         "doc_id",
-        is_held_out(F.col("doc_id")).alias("held_out"),
+        "held_out",
         "n_tokens",
         (F.col("n_held") + F.coalesce(F.round(F.col("known_n") / times).cast("long"), F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),

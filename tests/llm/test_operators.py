@@ -582,6 +582,56 @@ def test_every_step_goes_over_all_training_texts(spark):
     assert np.allclose(model.likelihoods, seen) and seen[0] < seen[1] < seen[2]
 
 
+def test_steps_between_scaled_ones_keep_their_precision():
+    """Against recursions in logarithms, on texts that end at and between scaled steps and hold very rare classes."""
+    rng = np.random.default_rng(8)
+    s, k = 4, 6
+    start, move, emit = rng.random(s), rng.random((s, s)) ** 6, rng.random((k, s))
+    emit[4:] *= 1e-20
+    rules = hmm_lm.HmmRules(states=s)
+    m = hmm_lm.Model(0, 0, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(1), np.zeros(1), start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0), rules)
+    lengths = np.array([1, 2, 4, 5, 6, 8, 9, 13, 700, 13])
+    classes = rng.integers(0, k, lengths.sum())
+    classes[-13:] = 5  # nothing but rare ones
+    starts, moves, emits, likelihood = np.zeros(s), np.zeros((s, s)), np.zeros((k, s)), []
+    with np.errstate(divide="ignore"):
+        log_start, log_move, log_emit = np.log(m.start), np.log(m.move), np.log(m.emit)
+    for i, n in zip(np.cumsum(lengths) - lengths, lengths):
+        c = classes[i : i + n]
+        a, b = [log_start + log_emit[c[0]]], [np.zeros(s)]
+        for x in c[1:]:
+            a.append(np.logaddexp.reduce(a[-1][:, None] + log_move, 0) + log_emit[x])
+        for x in c[:0:-1]:
+            b.insert(0, np.logaddexp.reduce(log_move + log_emit[x] + b[0], 1))
+        total = np.logaddexp.reduce(a[-1])
+        likelihood.append(total)
+        for t in range(n):
+            gamma = np.exp(a[t] + b[t] - total)
+            emits[c[t]] += gamma
+            starts += gamma if t == 0 else 0
+            moves += np.exp(a[t - 1][:, None] + log_move + log_emit[c[t]] + b[t] - total) if t else 0
+    packed = hmm_lm.Packed(classes, lengths)
+    assert np.allclose(packed.log_likelihood(packed.forward(m)[2]), likelihood, rtol=1e-12)
+    for found, expected in zip(packed.expected(m), (starts, moves, emits), strict=True):
+        assert np.allclose(found, expected, rtol=1e-9)
+    assert math.isclose(packed.likelihood, sum(likelihood), rel_tol=1e-12)
+
+
+def test_texts_are_split_twice_whatever_the_number_of_steps(spark):
+    """Once for the counts and once for the classes; splitting texts is most of the work."""
+    read_rows = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for batch in batches:
+            read_rows.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, f"w{i % 7} w{i % 11} only{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(pass_on, "doc_id long, text string")
+    found = hmm_lm.score_texts(docs, hmm_lm.HmmRules(own=16, buckets=16, steps=3, held=20)).collect()
+    assert len(found) == 200 and read_rows.value <= 2 * 200
+
+
 def test_states_beat_the_unigram_on_held_out_texts(spark):
     rows = read(spark, "/root/testdata/sf0.01", "documents")
     base, score = hmm_lm.score_texts(rows).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()

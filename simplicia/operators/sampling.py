@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simplicia.functions import columns as C
 from simplicia.tables import written
 
 
+#: A sample of so many rows is the least of each task and then of all of them, in one pass that moves nothing else.
+FEW = 10_000
+
+
 def first_by_key(rows: DataFrame, n: int, key: str, *ties: str) -> DataFrame:
     """The n rows of the smallest sample keys, exactly, without sorting more than the few whose keys lie around the cut.
 
     Keys are evenly spread, so counts below two limits around n tell whether the
     cut lies between them; all rows below the lower one are taken as they are.
     """
+    if n <= FEW:
+        return rows.orderBy(key, *ties).limit(n)
     total = rows.count()
     if n >= total:
         return rows
@@ -36,7 +42,9 @@ def uniform(pairs: DataFrame, n: int | None, *, seed: int = 0) -> DataFrame:
     """
     keyed = pairs.withColumn("__key", C.sample_key(seed, F.col("pair_id")))
     if n is not None:
-        keyed = first_by_key(written(keyed, "keyed-pairs"), n, "__key", "pair_id", *_ties(pairs))
+        if n > FEW:
+            keyed = written(pairs, "pairs").withColumn("__key", C.sample_key(seed, F.col("pair_id")))
+        keyed = first_by_key(keyed, n, "__key", "pair_id", *_ties(pairs))
     return keyed.orderBy("__key", "pair_id").drop("__key")
 
 
@@ -46,16 +54,32 @@ def _ties(pairs: DataFrame) -> list[str]:
 
 def stratified(pairs: DataFrame, n: int, *, seed: int = 0) -> DataFrame:
     """n pairs, a fifth from each bin of gaps as far as a bin has them, the rest from all others, ties too."""
-    ties = _ties(pairs)
-    binned = written(pairs.withColumns({"__bin": C.gap_bin(F.col("gap")), "__key": C.sample_key(seed, F.col("pair_id"))}), "binned-pairs")
-    # the limit on the rank is applied before the shuffle too, so a bin sends few rows
-    ranked = binned.where("__bin IS NOT NULL").withColumn("__n", F.row_number().over(Window.partitionBy("__bin").orderBy("__key", "pair_id", *ties)))
+    ties, key = _ties(pairs), C.sample_key(seed, F.col("pair_id"))
+    binned = written(pairs.withColumn("__bin", C.gap_bin(F.col("gap"))), "binned-pairs")
+    near = _near_each(binned, n // len(C.GAP_BINS), key)
+    ranked = near.withColumn("__n", F.row_number().over(Window.partitionBy("__bin").orderBy("__key", "pair_id", *ties)))
     first = written(ranked.where(F.col("__n") <= n // len(C.GAP_BINS)).drop("__n"), "strata")
-    rest = written(binned.join(first.select("pair_id"), "pair_id", "left_anti").select(*binned.columns), "unpicked-pairs")
-    more = first_by_key(rest, max(n - first.count(), 0), "__key", "pair_id", *ties)
+    picked = first.select("pair_id")
+    rest = binned.join(F.broadcast(picked) if n <= FEW else picked, "pair_id", "left_anti").select(*binned.columns)
+    if n > FEW:
+        rest = written(rest, "unpicked-pairs")
+    more = first_by_key(rest.withColumn("__key", key), max(n - first.count(), 0), "__key", "pair_id", *ties)
     return first.unionByName(more).drop("__bin", "__key")
 
 
+def _near_each(binned: DataFrame, k: int, key: Column) -> DataFrame:
+    """Written rows with __key, among them the k of each bin's least keys, or all that it has, and few others: keys are evenly spread."""
+    sizes = {r["__bin"]: r["n"] for r in binned.where("__bin IS NOT NULL").groupBy("__bin").agg(F.count("*").alias("n")).collect()}  # five bins
+    around = 6 * k**0.5 + 10
+    while True:
+        limits = F.create_map(*(F.lit(x) for b, n in sizes.items() for x in (b, min(1.0, (k + around) / n)))) if sizes else F.lit(None).cast("map<string,double>")
+        near = written(binned.where("__bin IS NOT NULL").withColumn("__key", key).where(C.key_unit(F.col("__key")) < limits[F.col("__bin")]), "near")
+        held = {r["__bin"]: r["n"] for r in near.groupBy("__bin").agg(F.count("*").alias("n")).collect()}
+        if all(held.get(b, 0) >= min(k, n) for b, n in sizes.items()):
+            return near
+        around *= 4
+
+
 def connected(pairs: DataFrame, n: int, *, block: int = 40, fan_out: int = 20, seed: int = 0) -> DataFrame:
     """About n pairs that share items: a snowball from the item of most pairs.
 

@@ -8,8 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from simplicia.operators import pairs
-from simplicia.plans import fixtures
+from simplicia.operators import pairs, reports, sampling
+from simplicia.plans import catalogue, fixtures
 
 
 def plan(df):
@@ -43,3 +43,95 @@ def test_pairs_that_share_a_group(spark, width):
     table = spark.createDataFrame(rows, "group long, item long").repartition(5)
     found = pairs.sharing_pairs(table, 40, width=width).collect()
     assert len(found) == len(expected) and {(r["a"], r["b"]): r["first"] for r in found} == expected
+
+
+def hashed(df):
+    return [line for line in plan(df) if "Exchange hashpartitioning" in line]
+
+
+@pytest.fixture
+def tables(monkeypatch):
+    """Names and columns of the tables that are written in between."""
+    seen = []
+    for module in (sampling, reports):
+        inner = module.written
+        monkeypatch.setattr(module, "written", lambda df, name, inner=inner: seen.append((name, df.columns)) or inner(df, name))
+    return seen
+
+
+def judged(spark, n=300):
+    """A log, and how many of its rows were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def touch(x):
+        made.add(1)
+        return x
+
+    rows = [(k, f"{k // 2 % 97}|x", ("as_shown", "swapped")[k % 2], ("left", "right", None)[k % 3], k * 7 % 40, float(k % 5 > 1), None if k % 11 == 0 else float(k % 4 > 0), float(k % 7 > 2), "m-q4", k % 9 / 2, "x" if k % 3 == 2 else None) for k in range(n)]
+    names = "row long, pair_id string, presentation string, model_side string, gap int, model_correct double, human_correct double, model_agrees_with_human double, model_name string, latency_s double, error string"
+    log = spark.createDataFrame(rows, names).withColumn("human_side", F.lit("left"))
+    return log.withColumn("row", F.udf(touch, "long")("row")), made, rows
+
+
+def test_small_samples_write_no_keys(spark, tables):
+    table = spark.range(3000).select(F.concat("id", F.lit("|x")).alias("pair_id"), (F.col("id") % 50).cast("int").alias("gap"))
+    assert sampling.uniform(table, 40).count() == 40 and not tables
+    found = sampling.stratified(table, 100).collect()
+    assert len(found) == len({r["pair_id"] for r in found}) == 100
+    assert "unpicked-pairs" not in dict(tables) and "__key" not in dict(tables)["binned-pairs"]
+    assert dict(tables)["near"] and sampling.stratified(table.where("false"), 100).count() == 0
+
+
+def test_bins_of_one_digest_are_whole(spark):
+    """Keys that aren't spread at all: every row of a bin has the same one."""
+    table = spark.createDataFrame([("same", 2, str(n)) for n in range(90)] + [("other", 9, "x")], "pair_id string, gap int, annotator string")
+    found = [(r["gap"], r["annotator"]) for r in sampling.stratified(table, 25).collect()]
+    assert sorted(found) == sorted([(2, x) for x in sorted(map(str, range(90)))[:5]] + [(9, "x")])
+
+
+def test_a_log_is_made_once_for_its_running_counts(spark):
+    log, made, rows = judged(spark)
+    assert reports.running_accuracy(log).count() == len(rows)
+    assert made.value == len(rows)
+
+
+def test_a_log_is_made_once_for_its_overview(spark):
+    log, made, rows = judged(spark)
+    assert reports.summary(log).count() >= 9
+    assert made.value == len(rows)
+
+
+def test_a_pair_is_moved_once_for_a_report(spark):
+    log, _, rows = judged(spark)
+    assert len(hashed(reports.order_consistency(log))) == 1
+    assert len(hashed(reports.accuracy(log))) == 1
+    assert len(hashed(reports.accuracy_by_gap(log))) == 2
+    ok = [r for r in rows if r[3] is not None]
+    first = {}
+    for r in ok:
+        if r[6] is not None:
+            first.setdefault(r[1], r)
+    bins = ((1, 3, "1-3"), (4, 7, "4-7"), (8, 15, "8-15"), (16, 30, "16-30"), (31, 200, "31+"))
+    name = lambda gap: next((b for low, high, b in bins if low <= gap <= high), None)
+    one = reports.accuracy(log).first()
+    assert (one["n_judgements"], one["n_pairs"]) == (len(ok), len({r[1] for r in ok}))
+    assert one["model_accuracy"] == pytest.approx(sum(r[5] for r in ok) / len(ok))
+    assert one["human_accuracy"] == pytest.approx(sum(r[6] for r in first.values()) / len(first))
+    assert reports.accuracy(log.where("false")).first().asDict() == {"n_judgements": 0, "n_pairs": 0, "model_accuracy": None, "model_human_agreement": None, "model_left_rate": None, "human_accuracy": None}
+    firsts = {}
+    for r in ok:
+        if r[6] is not None and name(r[4]):
+            firsts.setdefault(r[1], r)
+    for r in reports.accuracy_by_gap(log).collect():
+        inside = [x for x in ok if name(x[4]) == r["bin"]]
+        people = [x[6] for x in firsts.values() if name(x[4]) == r["bin"]]
+        assert (r["n"], r["n_correct"], r["human_n"] or 0, r["human_correct"] or 0) == (len(inside), sum(x[5] for x in inside), len(people), sum(people))
+
+
+def test_flows_are_moved_once(spark, sf_dir):
+    log = fixtures.judgement_log(spark, sf_dir, of=spark.read.schema(fixtures.supplier_pairs(spark, sf_dir).schema).parquet(f"{sf_dir}/nation.parquet"))
+    assert len(hashed(pairs.flows(log))) == 1
+
+
+def test_open_tasks_make_the_pairs_once(spark, sf_dir):
+    assert not [line for line in plan(catalogue.tasks_open(spark, sf_dir)) if "lineitem" in line]

@@ -5,10 +5,11 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from simplicia.operators import pairs, reports, sampling
+from simplicia.operators import complexes, hodge, pairs, reports, sampling
 from simplicia.plans import catalogue, fixtures
 
 
@@ -135,3 +136,62 @@ def test_flows_are_moved_once(spark, sf_dir):
 
 def test_open_tasks_make_the_pairs_once(spark, sf_dir):
     assert not [line for line in plan(catalogue.tasks_open(spark, sf_dir)) if "lineitem" in line]
+
+
+def test_no_triangles_are_made_where_there_are_no_holes(spark, monkeypatch):
+    """Two cones and a graph with a hole: only the last one's triangles are needed."""
+    cone = [(0, v) for v in range(1, 8)] + [(2, 5), (3, 4), (4, 5)]
+    ring = [(20, 21), (21, 22), (22, 23), (20, 23), (20, 24), (21, 24)]
+    graph = sorted(cone + [(u + 10, v + 10) for u, v in cone[:5]] + ring)
+    draw = random.Random(5)
+    flow = {label: [draw.gauss(0, 1) for _ in graph] for label in ("model", "null")}
+    rows = [(k, u, v, y) for k, ys in flow.items() for (u, v), y in zip(graph, ys, strict=True)]
+    seen = []
+    inner = complexes.pair_triangles
+    monkeypatch.setattr(complexes, "pair_triangles", lambda p: seen.append(sorted((r["u"], r["v"]) for r in p.collect())) or inner(p))
+    found = {r["label"]: r for r in hodge.flow_fractions(spark.createDataFrame(rows, "label string, u long, v long, value double")).collect()}
+    assert seen == [sorted(ring)]
+    at = {e: n for n, e in enumerate(graph)}
+    d1, tri = np.zeros((25, len(graph))), [t for t in itertools.combinations(range(25), 3) if {t[:2], t[1:], (t[0], t[2])} <= set(graph)]
+    d2 = np.zeros((len(graph), len(tri)))
+    for (u, v), n in at.items():
+        d1[u, n], d1[v, n] = -1, 1
+    for n, (a, b, c) in enumerate(tri):
+        d2[at[a, b], n], d2[at[b, c], n], d2[at[a, c], n] = 1, 1, -1
+    for label, y in flow.items():
+        y = np.array(y)
+        for name, m in (("gradient", d1.T), ("curl", d2)):
+            fit = m @ np.linalg.lstsq(m, y, rcond=None)[0]
+            assert found[label][name] == pytest.approx(fit @ fit / (y @ y), abs=1e-8)
+
+
+def test_triangles_are_counted_by_missing_pairs(spark):
+    draw = random.Random(6)
+    for share in (0.0, 0.3, 0.8, 1.0):
+        graph = [(f"{c}{u:02}", f"{c}{v:02}") for c in "ab" for u in range(14) for v in range(u) if draw.random() < (share if c == "a" else 0.9)]
+        edges = {tuple(sorted(e)) for e in graph}
+        names = sorted({x for e in edges for x in e})
+        expected = sum({t[:2], t[1:], (t[0], t[2])} <= edges for t in itertools.combinations(names, 3))
+        table = spark.createDataFrame(sorted(edges), "u string, v string")
+        assert complexes.triangle_count(table).first()["n_triangles"] == expected
+    assert complexes.triangle_count(table.where("false")).first()["n_triangles"] == 0
+
+
+def test_whole_components_need_no_steps(spark, monkeypatch):
+    """All triangles of four and of six items, and a part of those of five."""
+    whole = [*itertools.combinations(range(4), 3), *itertools.combinations(range(10, 16), 3)]
+    part = [t for t in itertools.combinations(range(20, 25), 3) if t != (20, 21, 22)]
+    draw = random.Random(7)
+    rows = [(*t, draw.random()) for t in (*whole, *part)]
+    asked = []
+    inner = hodge.project
+    monkeypatch.setattr(hodge, "project", lambda m, *a, **k: asked.append(m.select("col").distinct().count()) or inner(m, *a, **k))
+    s1, hats = hodge.edge_projection(spark.createDataFrame(rows, "i long, j long, k long, agreement double"))
+    assert asked == [len(part)]
+    edges = sorted({e for t in (*whole, *part) for e in itertools.combinations(t, 2)})
+    d2, y = np.zeros((len(rows), len(edges))), np.array([r[3] for r in rows])
+    for n, (i, j, k, _) in enumerate(rows):
+        d2[n, edges.index((i, j))], d2[n, edges.index((j, k))], d2[n, edges.index((i, k))] = 1, 1, -1
+    x = np.linalg.lstsq(d2, y, rcond=None)[0]
+    assert {(r["a"], r["b"]): r["s1_star"] for r in s1.collect()} == pytest.approx(dict(zip(edges, x)), abs=1e-8)
+    assert {(r["i"], r["j"], r["k"]): r["residual"] for r in hats.collect()} == pytest.approx({r[:3]: z for r, z in zip(rows, y - d2 @ x)}, abs=1e-8)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from simplicia.operators import complexes, hodge, pairs, reports, sampling
+from simplicia.operators import complexes, eigen, hodge, pairs, reports, sampling, spectral
 from simplicia.plans import catalogue, fixtures
 
 
@@ -195,3 +195,36 @@ def test_whole_components_need_no_steps(spark, monkeypatch):
     x = np.linalg.lstsq(d2, y, rcond=None)[0]
     assert {(r["a"], r["b"]): r["s1_star"] for r in s1.collect()} == pytest.approx(dict(zip(edges, x)), abs=1e-8)
     assert {(r["i"], r["j"], r["k"]): r["residual"] for r in hats.collect()} == pytest.approx({r[:3]: z for r, z in zip(rows, y - d2 @ x)}, abs=1e-8)
+
+
+def test_components_give_the_kernel(spark, monkeypatch):
+    """Four components: three pairs of value 0, and no steps."""
+    graph = [(0, 1), (1, 2), (0, 2), (5, 6), (6, 7), (7, 8), (10, 11), (20, 21), (20, 22), (20, 23)]
+    matrix = spectral.laplacian(spark.createDataFrame(graph, "u long, v long")).cache()
+    values, vectors = eigen.eigenpairs(matrix, 3, without_constant=True)
+    assert [(r["k"], r["eigenvalue"], r["steps"]) for r in values.orderBy("k").collect()] == [(1, 0, 0), (2, 0, 0), (3, 0, 0)]
+    for r in eigen.residuals(matrix, values, vectors).collect():
+        assert r["residual"] < 1e-12 and abs(r["length"] - 1) < 1e-12 and abs(r["total"]) < 1e-12
+    found = vectors.toPandas().pivot(index="row", columns="k", values="value").to_numpy()
+    assert found.shape == (13, 3) and np.allclose(found.T @ found, np.eye(3))
+    values, _ = eigen.eigenpairs(matrix, 5, without_constant=True)  # more than the components give
+    dense = np.zeros((24, 24))
+    for r in matrix.collect():
+        dense[r["row"], r["col"]] += r["value"]
+    used = sorted({x for e in graph for x in e})
+    expected = np.sort(np.linalg.eigvalsh(dense[np.ix_(used, used)]))[1:6]
+    assert np.allclose([r["eigenvalue"] for r in values.orderBy("k").collect()], expected, atol=1e-8)
+
+
+def test_levels_of_components_without_turns(spark, monkeypatch):
+    asked = []
+    inner = eigen.eigenpairs
+    monkeypatch.setattr(eigen, "eigenpairs", lambda m, *a, **k: asked.append(sorted(r["graph"] for r in m.select("graph").distinct().collect())) or inner(m, *a, **k))
+    rows = [(0, 1, 0.3), (1, 2, 0.1), (0, 2, 0.2), (5, 6, 0.0), (6, 7, 0.0), (8, 9, 0.0)]
+    phased, fields = spark.createDataFrame(rows, "u long, v long, phase double"), spark.createDataFrame([(0.0,), (2.0,)], "field double")
+    assert {(r["field"], r["k"]): r["eigenvalue"] for r in eigen.lowest_levels(phased, fields, 2).collect()} == {(f, k): 0.0 for f in (0.0, 2.0) for k in (0, 1)}
+    assert not asked
+    found = {(r["field"], r["k"]): r["eigenvalue"] for r in eigen.lowest_levels(phased, fields, 3).collect()}
+    assert asked == [[2.0]] and len(found) == 6
+    m = np.array([[2, -np.exp(0.6j), -np.exp(0.4j)], [-np.exp(-0.6j), 2, -np.exp(0.2j)], [-np.exp(-0.4j), -np.exp(-0.2j), 2]])
+    assert found[2.0, 2] == pytest.approx(np.linalg.eigvalsh(m)[0], abs=1e-8) and found[0.0, 2] == 0
